@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import fingerprints, line_dedup
+from colloquy.llm import chat_format, fingerprints, langid, line_dedup, packing, warc
 from colloquy.session import table
 
 
@@ -19,7 +19,40 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"), min_bytes=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, ~langid.held_out())
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+#: Where the public vocabulary of the packing query lies on every machine.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, VOCABULARY, size=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op4_warc": op4_warc,
+    "op6_chat_format": op6_chat_format,
+    "op8_language_id": op8_language_id,
+    "op9_packing": op9_packing,
     "op7_line_dedup": op7_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
@@ -36,6 +69,23 @@ _KEYED_LINES = """
 """
 
 ORACLE_SQL = {
+    "op6_chat_format": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        sized AS (
+            SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>')
+                THEN 1 + length(replace(replace(replace(text, '\\', '\\\\'), '#', '\\#'), '<', '\\<'))
+                ELSE length(text) END AS shown
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(4 + length(role) + 2 + shown + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
     "op7_line_dedup": f"""
         WITH {_KEYED_LINES.format(docs="documents")},
         flagged AS (SELECT keyed.*, frequent.key IS NOT NULL AS gone FROM keyed LEFT JOIN frequent USING (key))
