@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, fingerprints, langid, line_dedup, packing, warc
+from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, line_dedup, packing, warc
 from colloquy.session import table
 
 
@@ -19,6 +19,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"), min_bytes=0)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +58,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_decontamination": op2_decontamination,
     "op4_warc": op4_warc,
     "op6_chat_format": op6_chat_format,
     "op8_language_id": op8_language_id,
