@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once per application, so that their Python can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_colloquy_shipped", None) != sc.applicationId:
+        root = Path(__file__).resolve().parent
+        with tempfile.TemporaryDirectory() as tmp:
+            archive = shutil.make_archive(f"{tmp}/colloquy", "zip", root.parent, root.name)
+            kept = shutil.copy(archive, Path(tempfile.mkdtemp(prefix="colloquy-code-")) / "colloquy_code.zip")
+        sc.addPyFile(str(kept))
+        sc._colloquy_shipped = sc.applicationId
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read lazily through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
