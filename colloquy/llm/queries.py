@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, line_dedup, packing, warc
+from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, line_dedup, lm_scoring, packing, warc
 from colloquy.session import table
 
 
@@ -28,6 +28,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = lm_scoring.held_out()
+    out = lm_scoring.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"), min_bytes=0)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,17 +56,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Where the public vocabulary of the packing query lies on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.pack(docs, VOCABULARY, size=2048)
+    pieces = packing.pack(docs, VOCABULARY, RANKS, size=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
     "op6_chat_format": op6_chat_format,
     "op8_language_id": op8_language_id,
