@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, line_dedup, lm_scoring, packing, warc
+from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, licenses, line_dedup, lm_scoring, packing, warc
 from colloquy.session import table
 
 
@@ -20,7 +20,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.join_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -70,6 +74,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_warc": op4_warc,
+    "op5_licenses": op5_licenses,
     "op6_chat_format": op6_chat_format,
     "op8_language_id": op8_language_id,
     "op9_packing": op9_packing,

@@ -1,15 +1,84 @@
-"""A corpus pipeline over ``documents`` in stages (being built up stage by stage)."""
+"""A corpus pipeline over ``documents``: language, repeated lines, near copies, leaks, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
+return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads
+them back for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.llm import decontamination, jaccard_join, langid, line_dedup, packing
+from colloquy.llm.queries import RANKS, VOCABULARY
+from colloquy.session import materialize, ship, table
+
+#: Lines found in so many documents go.
+MIN_DOCS = 10
+#: Up to this many dropped documents (16 bytes each) are broadcast, more are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: texts without letters and texts whose best two languages are tied go."""
+    ship(spark)
+    model = langid.train(docs, F.lit(True))
+    kept = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
+    return kept.select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines found in ``MIN_DOCS`` documents or more go from every text."""
+    out = line_dedup.dedup_lines(docs, MIN_DOCS)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each class of near copies the document with the least id stays."""
+    ship(spark)
+    classes = jaccard_join.join_classes(docs)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marked = materialize(classes.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), own.alias("_first")), "classes")
+    gone = marked.where("not _first").select("_id", "_key").distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    keyed = docs.withColumn("_text_key", jaccard_join.text_key(F.col("text")))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
+    if marked.where("_first").groupBy("_id", "_key").count().where("count > 1").isEmpty():
+        return kept.select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that contain a benchmark item go."""
+    ship(spark)
+    return decontamination.remove(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of sequences of at most 2048 tokens."""
+    ship(spark)
+    pieces = packing.pack(docs, VOCABULARY, RANKS, size=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_class),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Language ID and packing can't be said in SQL; the tests hold run() against plain Python instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
