@@ -19,8 +19,10 @@ a null ``doc_id`` stays null; other columns are ignored; an empty table gives an
 
 from __future__ import annotations
 
+import base64
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +34,48 @@ OPEN_BINS = 48
 #: Words whose ids a worker remembers before it forgets the older half.
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+#: Fixed value: the pre-token pattern of this vocabulary.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORKER: dict = {}
 
 
+def _ranked(path: str):
+    """The encoding of a rank file (a token in base64 and its rank on each line)."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
     A blank between two characters that aren't white space always begins a new pre-token of this
     kind of vocabulary, so the ids of a text are those of its first word followed by those of every
     further word with its leading blank. Ids of words seen lately are remembered.
+
+    ``ranks`` may name the same vocabulary as a rank file; new words are then encoded from that,
+    which gives the same ids (see the tests) in a third of the time. Words with a special token in
+    them always go through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = _ranked(ranks).encode_ordinary if ranks else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.ranked and not any(t in x for t in self.special for x in texts):
+            one = self.ranked
+            return [array("I", one(x)).tobytes() for x in texts]
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in many(texts, add_special_tokens=False)]
 
@@ -201,7 +223,7 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], list(names))
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = 2048, max_segments: int = 256, max_loss: int | None = None, end_id: int = 1, loss_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int = 2048, max_segments: int = 256, max_loss: int | None = None, end_id: int = 1, loss_tokens: str | None = None) -> DataFrame:
     """Pieces of documents in sequences (``SCHEMA``); ``ids`` are little-endian unsigned 32-bit.
 
     ``docs`` has ``doc_id`` and ``text``; ``loss_tokens`` may name a column with the number of
@@ -213,7 +235,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, max_segments: int =
 
     def run(batches):
         if _WORKER.get("path") != vocabulary:
-            _WORKER.update(path=vocabulary, encoder=WordEncoder(vocabulary))
+            _WORKER.update(path=vocabulary, encoder=WordEncoder(vocabulary, ranks))
         encoder = _WORKER["encoder"]
         packer = Packer(TaskContext.get().partitionId(), size, max_segments, most)
         for b in batches:
