@@ -531,3 +531,95 @@ def federated_hits(spark, sf_dir):
 def uptimes(spark, sf_dir):
     """Uptime in its largest unit."""
     return table(spark, sf_dir, "events").select("event_id", tx.uptime(F.col("event_id") * 37 - 100).alias("uptime"))
+
+
+# -- ids, names, places
+
+
+@query("""SELECT page_id, coalesce(nullif(regexp_extract(stem, '_(.+)$', 1), ''), stem) AS native_id,
+    regexp_matches(url, '^[^/]+/[^/]+/.+') AS valid, starts_with(list_extract(string_split(url, '/'), -1), 'conv-') AS conversation
+    FROM (SELECT page_id, url, regexp_extract(replace(url, '.', '_') || '.jsonl', '([^/]*?)(?:\\.jsonl)?$', 1) AS stem FROM pages)""")
+def native_ids(spark, sf_dir):
+    """SC4 F20 F21: ids from file names, addresses, conversation addresses."""
+    from colloquy.operators import names
+    from colloquy.sources.transcripts import native_id
+
+    file = F.concat(F.replace("url", F.lit("."), F.lit("_")), F.lit(".jsonl"))
+    return table(spark, sf_dir, "pages").select("page_id", native_id(file, "after_underscore").alias("native_id"), names.valid_address(F.col("url")).alias("valid"), names.is_conversation(F.col("url")).alias("conversation"))
+
+
+@query("""SELECT doc_id, length(left(text, 70 + doc_id % 3 - 6)) BETWEEN 1 AND 64 AND NOT regexp_matches(left(text, 70 + doc_id % 3 - 6), '[\\x00-\\x1f\\x7f-\\x9f]') AS displayable FROM documents""")
+def displayable_names(spark, sf_dir):
+    """names that may be shown."""
+    from colloquy.operators import names
+
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", names.displayable(F.left("text", (70 + F.col("doc_id") % 3 - 6).cast("int"))).alias("displayable"))
+
+
+@query("""WITH b AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'v' || (event_id % 3) || CASE WHEN event_id % 7 = 0 THEN '-dirty' ELSE '' END END AS a, 'v' || (event_id % 2) AS b FROM events)
+    SELECT event_id, CASE WHEN a IS NULL OR a LIKE '%-dirty' THEN 'Unknown' WHEN a = b THEN 'Same' ELSE 'Different' END AS builds FROM b""")
+def build_comparison(spark, sf_dir):
+    """Same, different or unknown builds."""
+    from colloquy.operators import names
+
+    i = F.col("event_id")
+    mine = F.when(i % 5 != 0, F.concat(F.lit("v"), (i % 3).cast("string"), F.when(i % 7 == 0, "-dirty").otherwise("")))
+    return table(spark, sf_dir, "events").select("event_id", names.compare_builds(mine, F.concat(F.lit("v"), (i % 2).cast("string"))).alias("builds"))
+
+
+@query("""WITH p AS (SELECT event_id AS pid, CASE WHEN event_id % 6 = 0 THEN '??' ELSE '/dev/tty' || (user_id % 30) END AS tty, (['codex run', 'Blocks', 'vim', 'my-TREE'])[CAST(event_id % 4 + 1 AS INT)] AS command FROM events),
+    h AS (SELECT pid, replace(tty, '/dev/', '') AS tty, CASE WHEN lower(command) = 'blocks' THEN 'blocks' WHEN contains(lower(command), 'tree') THEN 'tree' WHEN contains(lower(command), 'codex') THEN 'events' END AS runtime_id FROM p WHERE tty <> '??')
+    SELECT tty, max(pid) AS pid, max_by(runtime_id, pid) AS runtime_id FROM h WHERE runtime_id IS NOT NULL GROUP BY tty""")
+def process_matches(spark, sf_dir):
+    """processes by signature, the last one per terminal."""
+    from colloquy.operators import names
+
+    i = F.col("event_id")
+    p = table(spark, sf_dir, "events").select(i.alias("pid"), F.when(i % 6 == 0, "??").otherwise(F.concat(F.lit("/dev/tty"), (F.col("user_id") % 30).cast("string"))).alias("tty"), F.get(F.array(*map(F.lit, ("codex run", "Blocks", "vim", "my-TREE"))), (i % 4).cast("int")).alias("command"))
+    return names.match_processes(p, [("=blocks", "blocks"), ("tree", "tree"), ("codex", "events")])
+
+
+@query(f"""{SQL}, a AS (SELECT '/w/' || (user_id % 6) AS cwd, 'name-' || event_id AS name, event_id AS n FROM events)
+    SELECT session_id, live.cwd, alias FROM live LEFT JOIN (SELECT cwd, max_by(name, n) AS alias FROM a GROUP BY 1) x ON live.cwd = x.cwd""")
+def aliased_sessions(spark, sf_dir):
+    """The latest alias of a folder."""
+    from colloquy.operators import names
+
+    e = table(spark, sf_dir, "events")
+    alias = e.select(F.concat(F.lit("/w/"), (F.col("user_id") % 6).cast("string")).alias("cwd"), F.concat(F.lit("name-"), F.col("event_id").cast("string")).alias("name"), F.col("event_id").alias("at"))
+    return names.with_alias(views.live(spark, sf_dir), alias).select("session_id", "cwd", "alias")
+
+
+@query("""WITH s AS (SELECT 'd' || (user_id % 60) AS device_id, 'addr' || event_id AS addr, event_id AS n FROM events), p AS (SELECT 'd' || i AS device_id, 'old' AS addr, 0 AS last_seen_at FROM range(0, 100, 3) r(i))
+    SELECT p.device_id, coalesce(max_by(s.addr, s.n), any_value(p.addr)) AS addr, coalesce(max(s.n), any_value(p.last_seen_at)) AS last_seen_at FROM p LEFT JOIN s USING (device_id) GROUP BY 1""")
+def touched_peers(spark, sf_dir):
+    """Seeing a device updates it but never adds it."""
+    from colloquy.operators import names
+
+    e = table(spark, sf_dir, "events")
+    seen = e.select(F.concat(F.lit("d"), (F.col("user_id") % 60).cast("string")).alias("device_id"), F.concat(F.lit("addr"), F.col("event_id").cast("string")).alias("addr"), F.col("event_id").alias("at"))
+    peers = spark.range(0, 100, 3).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("device_id"), F.lit("old").alias("addr"), F.lit(0).cast("long").alias("last_seen_at"))
+    return names.touch_peers(peers, seen)
+
+
+@query(f"""{SQL} SELECT count(*) FILTER (seq <> 2) AS indexed, max(ts) FILTER (seq <> 2) AS indexed_until, max(ts) AS newest, max(ts) - max(ts) FILTER (seq <> 2) > 3600000 AS stale FROM turn""")
+def index_status(spark, sf_dir):
+    """How far the index reaches."""
+    from colloquy.operators import names
+
+    t = views.turns(spark, sf_dir)
+    return names.index_status(t, t.where("seq <> 2"))
+
+
+@query(f"""{SQL} SELECT session_id, max(ts) AS last_ts, CAST(NULL AS BIGINT) AS turns FROM turn WHERE ts >= {SINCE} GROUP BY 1""")
+def scanned_sessions(spark, sf_dir):
+    """A2: the scan's session list, which knows no counts."""
+    t = views.turns(spark, sf_dir).where(retrieval.in_session_window(F.col("ts"), SINCE))
+    return t.groupBy("session_id").agg(F.max("ts").alias("last_ts")).withColumn("turns", F.lit(None).cast("long"))
+
+
+@query("""SELECT page_id, url_encode(url) AS encoded FROM pages""")
+def encoded_urls(spark, sf_dir):
+    """Percent-encoding."""
+    return table(spark, sf_dir, "pages").select("page_id", tx.percent_encode(F.col("url")).alias("encoded"))
