@@ -28,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import scratch_path
+from colloquy.session import materialize, scratch_path
 
 END = "\r\n\r\n"
 #: Rows an archive file holds at most, and keys that are drawn to place the range bounds.
 ROWS_PER_FILE = 4000
 SAMPLE_KEYS = 20_000
+#: Up to this many revisits (16 bytes each) are broadcast to the writer, more are shuffled.
+BROADCAST_ROWS = 200_000
 #: Captures are dated from this second on, one second for each page id, as pages carry no time.
 EPOCH = 1_704_067_200
 CDX = "url_key string, captured_at long, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
@@ -108,7 +110,9 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             out = [record(p, u or "", (h or "").encode(), r).decode() for p, u, h, r in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    refs = originals(pages, min_bytes).withColumnRenamed("page_id", "_p")
+    refs = materialize(originals(pages, min_bytes).withColumnRenamed("page_id", "_p"), "refs")
+    if refs.count() <= BROADCAST_ROWS:
+        refs = F.broadcast(refs)
     known = pages.select(F.col("page_id").cast("long"), "url", "html")
     rows = known.join(refs, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "refers_to")
     rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
