@@ -5,13 +5,14 @@ least ``num/den`` (0.75). The result is exact for every set of documents; steps
 down, without loss, which documents can have a partner at all and which may meet each other.
 
 1. *Shared counts.* Of each distinct set of n shingles, the q lowest in one global (hash) order are
-   dealt to hash ranges. Two linked sets share at least ``need`` of these (prefix filter with
-   q = n - T + need, T the overlap a partner requires), so a set that shares fewer with all others
-   together has no partner. A task sends a shingle that several of its own documents hold just once.
-2. *Candidates.* The sets left, with all their shingles, are indexed by the n - T + 1 first shingles
-   in an order that puts frequent ones last; sets that meet at a shingle are joined to the least of them.
-3. *Groups.* The connected components of these star edges (large-star/small-star rounds, each
-   written to the shared folder) hold all possible links.
+   dealt to hash ranges, and there compared. Two linked sets share at least ``need`` of these (prefix
+   filter with q = n - T + need, T the overlap a partner requires), so a set that shares fewer with
+   all others together has no partner. Of a shingle held by many sets of a task one copy is dealt.
+2. *Candidates.* The ranges report the shared shingles with their exact number of holders. Sets meet
+   at those of their n - T + 1 first shingles in an order that puts rare ones first, and sets that
+   meet are joined to the least of them.
+3. *Groups.* The connected components of sets that meet hold all possible links. They are found by
+   contraction and large-star/small-star rounds, each written to the shared folder.
 4. *T-occurrence search.* In each group an inverted index is built. A query merges its short lists,
    keeps the sets reaching the required overlap less the number of long lists, and probes the long
    lists for these by binary search (DivideSkip); the sets reaching the required overlap are linked
@@ -33,7 +34,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.llm.words import WordIds, grams, split
@@ -43,8 +44,12 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 #: Share of a set's shingles that partners must share among the q lowest (step 1).
 NEED_SHARE = 0.2
-#: A shingle held by more sets than this is put last in step 2; at most so many are remembered.
-HEAVY, HEAVY_MOST = 48, 1 << 20
+#: Share of the hash ranges whose shingles are low: all of these are dealt, so their holders are counted.
+LOW_SHARE = 0.42
+#: A shingle with more holders in one chunk is hot: it is sent once, and ordered behind all others counted.
+HOT = 64
+MANY = (1 << 31) - 1
+MASK48 = np.uint64((1 << 48) - 1)
 BLOOM_BITS = 1 << 26
 #: Shingles of a chunk of documents in a task, and of a group searched in one task.
 CHUNK, GROUP_SHINGLES = 2_000_000, 4_000_000
@@ -108,35 +113,72 @@ def _chunks(batches):
 
 # -- step 1
 
-_DEALT = "bucket int, shingles binary, owners binary, nodes binary, needs binary"
+_DEALT = "bucket int, kind int, nodes binary, numbers binary, shingles binary"
 
 
-def _deal(keys: list[int]):
-    """Deal shingles to as many hash ranges as there are keys; the i-th range travels under the i-th key."""
+def _packed(x: np.ndarray) -> bytes:
+    """The low 48 bits of 64-bit numbers, 6 bytes each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _dealt_size(s: np.ndarray, limit: int) -> tuple[int, int]:
+    """How many lowest shingles of a set are dealt, and how many of all are low."""
+    low = int(np.searchsorted(s, np.uint64(min(limit, (1 << 64) - 1))))
+    return max(low, len(s) - least_overlap(len(s)) + _need(len(s))), low
+
+
+def _deal(keys: list[int], limit: int):
+    """Deal shingles to as many hash ranges as there are keys; the i-th range travels under the i-th key.
+
+    Kind 0 holds, for the sets of a chunk, how many shingles each has in the range, and these; kind 1
+    the sets' sizes; kind 2 the hot shingles of the chunk, each once for every holder; kind 3 each once.
+    """
     buckets = len(keys)
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def run(batches):
         for sets in _chunks(batches):
             nodes = np.array([_node(d) for d, _ in sets], np.uint64)
-            needs = np.array([_least_need(len(s)) for _, s in sets], np.uint32)
-            heads = [s[: len(s) - least_overlap(len(s)) + _need(len(s))] for _, s in sets]
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(h) for h in heads])
-            token = np.concatenate(heads)
+            sizes = np.array([_dealt_size(s, limit) for _, s in sets], np.int64)
+            total = np.array([len(s) for _, s in sets], np.int64)
+            token = np.concatenate([s[:k] for (_, s), k in zip(sets, sizes[:, 0].tolist(), strict=True)])
+            owner = np.repeat(np.arange(len(sets)), sizes[:, 0])
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             times = np.diff(np.append(first, len(token)))
-            # shared within the chunk: every holder counts it here, one entry with the number of holders goes on
-            within = np.repeat(times > 1, times)
-            count = np.bincount(owner[within], minlength=len(sets)).astype(np.uint32)
-            have = np.flatnonzero(count)
-            entry = np.where(times > 1, np.minimum(times, (1 << 31) - 1).astype(np.uint32) | np.uint32(1 << 31), owner[first])
-            token = token[first]
-            cut = np.searchsorted(token, [np.uint64((i << 64) // buckets) for i in range(1, buckets)])
-            rows = [(keys[i], t.tobytes(), e.tobytes(), nodes.tobytes(), needs.tobytes()) for i, (t, e) in enumerate(zip(np.split(token, cut), np.split(entry.astype(np.uint32), cut), strict=True)) if len(t)]
-            # counts made here go along as rows without shingles
-            rows.append((keys[int(nodes[0] % np.uint64(buckets))], b"", count[have].tobytes(), nodes[have].tobytes(), needs[have].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "shingles", "owners", "nodes", "needs"])
+            hot = np.repeat(times > HOT, times)
+            part = np.searchsorted(bounds, token, "right")
+            rows = []
+            cold = np.flatnonzero(~hot)
+            cold = cold[np.lexsort((owner[cold], part[cold]))]
+            ends = np.searchsorted(part[cold], np.arange(buckets + 1))
+            for i in range(buckets):
+                mine = cold[ends[i] : ends[i + 1]]
+                if len(mine):
+                    n = np.bincount(owner[mine], minlength=len(sets))
+                    have = np.flatnonzero(n)
+                    rows.append((keys[i], 0, nodes[have].tobytes(), n[have].astype(np.uint32).tobytes(), _packed(token[mine])))
+            spread = (nodes % np.uint64(buckets)).astype(np.int64)
+            for i in np.unique(spread).tolist():
+                mine = np.flatnonzero(spread == i)
+                rows.append((keys[i], 1, nodes[mine].tobytes(), np.stack([total[mine], sizes[mine, 1]], 1).astype(np.uint32).tobytes(), b""))
+            if hot.any():
+                name = token & MASK48 | part.astype(np.uint64) << np.uint64(48)
+                held = np.flatnonzero(hot)
+                for i in np.unique(spread[owner[held]]).tolist():
+                    mine = held[spread[owner[held]] == i]
+                    rows.append((keys[i], 2, nodes[owner[mine]].tobytes(), b"", name[mine].tobytes()))
+                once = first[times > HOT]
+                for i in np.unique(part[once]).tolist():
+                    rows.append((keys[i], 3, b"", b"", _packed(token[once[part[once] == i]])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in _DEALT.split(", ")])
 
     return run
 
@@ -149,66 +191,151 @@ def _keys(spark, parts: int) -> list[int]:
     return sorted(r["k"] for r in rows)
 
 
-_COUNTED = "node long, need int, n long, heavy boolean"
+_SHARED = "node long, size int, low int, shared long, names binary, holders binary"
 
 
-def _counted(node, need, n, heavy: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_signed(node), pa.array(need.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(np.full(len(node), heavy))], ["node", "need", "n", "heavy"])
+def _slices(values: np.ndarray, width: int, counts: np.ndarray) -> pa.Array:
+    """A binary array whose i-th value holds the next ``counts[i]`` numbers."""
+    offsets = np.concatenate([[0], np.cumsum(counts * width)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def _count(batches):
-    """For each set, how many of the shingles of this hash range others hold too; and the heavy shingles."""
-    tokens, entries, owners, needs = [], [], [], []
-    base = 0
-    out_nodes, out_needs, out_counts = [_NONE], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for b in batches:
-        for t, e, n, k in zip(*[b.column(i) for i in range(1, 5)], strict=True):
-            t, e = np.frombuffer(t.as_py(), np.uint64), np.frombuffer(e.as_py(), np.uint32)
-            n, k = np.frombuffer(n.as_py(), np.uint64), np.frombuffer(k.as_py(), np.uint32)
-            if not len(t):
-                out_nodes.append(n)
-                out_needs.append(k)
-                out_counts.append(e.astype(np.int64))
-                continue
-            single = e < (1 << 31)
-            used, back = np.unique(e[single], return_inverse=True)
-            e = e.astype(np.int64)
-            e[single] = back + base
-            e[~single] = -(e[~single] - (1 << 31))
-            tokens.append(t)
-            entries.append(e)
-            owners.append(n[used])
-            needs.append(k[used])
-            base += len(used)
-    if tokens:
-        token, entry = np.concatenate(tokens), np.concatenate(entries)
-        owner, need = np.concatenate(owners), np.concatenate(needs)
-        order = np.argsort(token, kind="stable")
-        token, entry = token[order], entry[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        times = np.diff(np.append(first, len(token)))
-        held = np.add.reduceat(np.where(entry < 0, -entry, 1), first)
-        mine = np.repeat(times > 1, times) & (entry >= 0)
-        count = np.bincount(entry[mine], minlength=base)
-        have = np.flatnonzero(count)
-        out_nodes.append(owner[have])
-        out_needs.append(need[have])
-        out_counts.append(count[have])
-        heavy = held > HEAVY
-        yield _counted(token[first][heavy], np.zeros(heavy.sum()), held[heavy], True)
-    node, back = np.unique(np.concatenate(out_nodes), return_inverse=True)
-    n = np.bincount(back, np.concatenate(out_counts), len(node))
-    need = np.full(len(node), np.iinfo(np.int32).max, np.int64)
-    np.minimum.at(need, back, np.concatenate(out_needs).astype(np.int64))
-    yield _counted(node, need, n, False)
+def _shared_rows(node, name, holders) -> pa.RecordBatch:
+    order = np.argsort(node, kind="stable")
+    node, name, holders = node[order], name[order], holders[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    n = np.diff(np.append(first, len(node)))
+    none = pa.nulls(len(first), pa.int32())
+    return pa.RecordBatch.from_arrays([_signed(node[first]), none, none, pa.array(n), _slices(name, 8, n), _slices(holders.astype(np.uint32), 4, n)], [c.split()[0] for c in _SHARED.split(", ")])
+
+
+def _count(keys: list[int]):
+    """For each set the shingles of a hash range that other sets hold too, with the number of holders."""
+    place = {k: i for i, k in enumerate(keys)}
+
+    def run(batches):
+        names, nodes, hot = [], [], []
+        for b in batches:
+            for key, kind, node, number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *[b.column(i) for i in (2, 3, 4)], strict=True):
+                node, number, raw = np.frombuffer(node.as_py(), np.uint64), np.frombuffer(number.as_py(), np.uint32), raw.as_py()
+                at = np.uint64(place[key] << 48)
+                if kind == 0:
+                    names.append(_unpacked(raw) | at)
+                    nodes.append(np.repeat(node, number))
+                elif kind == 1:
+                    n = number.reshape(-1, 2).astype(np.int32)
+                    none = pa.nulls(len(node), pa.binary())
+                    yield pa.RecordBatch.from_arrays([_signed(node), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(np.zeros(len(node), np.int64)), none, none], [c.split()[0] for c in _SHARED.split(", ")])
+                elif kind == 2:
+                    yield _shared_rows(node, np.frombuffer(raw, np.uint64), np.full(len(node), MANY))
+                else:
+                    hot.append(_unpacked(raw) | at)
+        if not names:
+            return
+        name, node = np.concatenate(names), np.concatenate(nodes)
+        order = np.lexsort((node, name))
+        name, node = name[order], node[order]
+        keep = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1])])
+        name, node = name[keep], node[keep]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        times = np.diff(np.append(first, len(name)))
+        holders = np.minimum(times, MANY - 1)
+        if hot:
+            hot = np.unique(np.concatenate(hot))
+            at = np.minimum(np.searchsorted(hot, name[first]), len(hot) - 1)
+            holders = np.where(hot[at] == name[first], MANY, holders)
+        holders = np.repeat(holders, times)
+        shared = holders > 1
+        if shared.any():
+            yield _shared_rows(node[shared], name[shared], holders[shared])
+
+    return run
 
 
 # -- step 2
 
-_SETS = "doc_id long, digest binary, node long, n_shingles long, shingles binary"
+_MEET = "shingle long, node long, other long"
+
+
+def _prefix(size: int, low: int, name: np.ndarray, holders: np.ndarray, is_low: np.ndarray) -> np.ndarray:
+    """Shared shingles among the first n - T + 1 in the order: low ones by holders, then the others."""
+    most = size - least_overlap(size) + 1
+    own = np.flatnonzero(is_low)
+    own = own[np.lexsort((name[own], holders[own]))]
+    alone = low - len(own)
+    picked = own[: max(0, most - alone)]
+    if most > low:
+        picked = np.concatenate([picked, np.flatnonzero(~is_low)])
+    return name[picked]
+
+
+def _meet(low_buckets: int):
+    """Prefixes of the sets that share enough: (shingle, node) rows, sets of a batch that meet as the least of them."""
+
+    def run(batches):
+        for b in batches:
+            nodes, heads = [], []
+            cols = [b.column(i).to_pylist() for i in range(4)]
+            for node, size, low, shared, raw, count in zip(*cols, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                if size is None or shared < _least_need(size):
+                    continue
+                name = np.frombuffer(b"".join(raw), np.uint64)
+                holders = np.frombuffer(b"".join(count), np.uint32)
+                is_low = (name >> np.uint64(48)).astype(np.int64) < low_buckets
+                nodes.append(node)
+                heads.append(_prefix(size, low, name, holders, is_low))
+            if not nodes:
+                continue
+            token = np.concatenate(heads)
+            if not len(token):
+                continue
+            node, at = np.unique(np.repeat(np.array(nodes, np.int64), [len(h) for h in heads]), return_inverse=True)
+            order = np.argsort(token, kind="stable")
+            token, at = token[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+            # least set of each local component: spread over shared shingles until nothing changes
+            label, before = np.arange(len(node)), None
+            while before is None or (label != before).any():
+                before = label.copy()
+                least = np.minimum.reduceat(label[at], first)
+                np.minimum.at(label, at, least[place])
+                label = label[label]
+            pairs = np.unique(np.stack([place, label[at]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([_signed(token[first][pairs[:, 0]]), pa.array(node[pairs[:, 1]]), pa.nulls(len(pairs), pa.int64())], ["shingle", "node", "other"])
+            down = np.flatnonzero(label != np.arange(len(node)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(down), pa.int64()), pa.array(node[down]), pa.array(node[label[down]])], ["shingle", "node", "other"])
+
+    return run
+
+
+def _groups(met: DataFrame) -> DataFrame:
+    """(``node``, ``component``) of all sets that meet others, from (shingle, node) and (node, other) rows.
+
+    Every set first takes the least set it meets at a shingle as its parent, and the rows are
+    rewritten with the parents, which leaves most shingles with one set; the others give edges to the
+    least set at each. Components of the parent and these edges are then found in rounds.
+    """
+    at = met.where("shingle is not null").select("shingle", "node")
+    edges = met.where("shingle is null").select("node", "other")
+    # a shingle has a row for each batch of sets at most, so a window over it stays small
+    met_at = Window.partitionBy("shingle")
+    both = {"low": F.min("node").over(met_at), "high": F.max("node").over(met_at)}
+    here = materialize(at.withColumns(both).where("low <> high").drop("high"), "clash")
+    up = materialize(here.groupBy("node").agg(F.min("low").alias("other")), "parents")
+    at = here.select("shingle", "node").join(up, "node").select("shingle", F.col("other").alias("node")).distinct()
+    at = materialize(at, "contracted")
+    forget(here)
+    rest = at.withColumn("other", F.min("node").over(met_at)).where("node <> other").select("node", "other")
+    return components(edges.unionByName(up.where("node <> other")).unionByName(rest), "node", "other")
+
+
+_SETS = "doc_id long, text_key long, digest binary, node long, n_shingles long, shingles binary"
 
 
 def _sets(bloom):
+    """Every document with its digest; the shingles only of sets whose node may be in a group."""
+
     def run(batches):
         has = np.frombuffer(bloom.value, np.uint8)
         known: set[bytes] = set()
@@ -228,41 +355,7 @@ def _sets(bloom):
                 nodes.append(node if len(s) else 0)
                 sizes.append(len(s))
                 sent.append(s.tobytes() if keep else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array(sent, pa.binary())], ["doc_id", "digest", "node", "n_shingles", "shingles"])
-
-    return run
-
-
-_MEET = "shingle long, node long, other long"
-
-
-def _meet(heavy):
-    """Step 2's prefix of each set: (shingle, least node of the chunk) and star edges inside the chunk."""
-
-    def run(batches):
-        order, level = heavy.value
-        for b in batches:
-            nodes, heads = [], []
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = np.frombuffer(raw.as_py(), np.uint64)
-                if len(order):
-                    at = np.minimum(np.searchsorted(order, s), len(order) - 1)
-                    weight = np.where(order[at] == s, level[at], 0)
-                    s = s[np.argsort(weight, kind="stable")]
-                nodes.append(node)
-                heads.append(s[: len(s) - least_overlap(len(s)) + 1])
-            if not nodes:
-                continue
-            token = np.concatenate(heads)
-            node = np.repeat(np.array(nodes, np.int64), [len(h) for h in heads])
-            at = np.lexsort((node, token))
-            token, node = token[at], node[at]
-            new = np.concatenate([[True], token[1:] != token[:-1]])
-            least = node[new][np.cumsum(new) - 1]
-            edge = np.flatnonzero(node != least)
-            pairs = np.unique(np.stack([node[edge], least[edge]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([_signed(token[new]), pa.array(node[new]), pa.array([None] * int(new.sum()), pa.int64())], ["shingle", "node", "other"])
-            yield pa.RecordBatch.from_arrays([pa.array([None] * len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["shingle", "node", "other"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array(sent, pa.binary())], ["doc_id", "text_key", "digest", "node", "n_shingles", "shingles"])
 
     return run
 
@@ -503,54 +596,44 @@ def _links(groups: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame]:
     return edges, small.mapInArrow(_search_groups, _EDGE)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one ``doc_id`` with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links), ``class_size``."""
+    """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links), ``class_size``, ``text_key``."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    dealt = texts.select("text").mapInArrow(_deal(_keys(spark, buckets)), _DEALT)
-    counted = materialize(dealt.repartition(buckets, "bucket").mapInArrow(_count, _COUNTED), "counted")
-    kept = counted.where("not heavy").groupBy("node").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need")
-    maps = kept.groupBy(F.expr(f"pmod(node, {BLOOM_BITS}) div 32768").alias("part")).agg(F.expr(f"bitmap_construct_agg(pmod(node, {BLOOM_BITS}) % 32768)").alias("bits"))
+    keys = _keys(spark, buckets)
+    low_buckets = max(1, round(LOW_SHARE * len(keys)))
+    limit = (low_buckets << 64) // len(keys)
+    dealt = texts.select("text").mapInArrow(_deal(keys, limit), _DEALT)
+    shared = dealt.repartition(buckets, "bucket").mapInArrow(_count(keys), _SHARED)
+    each = shared.groupBy("node").agg(F.max("size").alias("size"), F.max("low").alias("low"), F.sum("shared").alias("shared"), F.collect_list("names").alias("names"), F.collect_list("holders").alias("holders"))
+    met = materialize(each.where("shared > 0").mapInArrow(_meet(low_buckets), _MEET), "met")
+    groups = _groups(met)
+    forget(met)
+
+    part = F.expr(f"pmod(node, {BLOOM_BITS}) div 32768").alias("part")
+    maps = groups.groupBy(part).agg(F.expr(f"bitmap_construct_agg(pmod(node, {BLOOM_BITS}) % 32768)").alias("bits"))
     bloom = bytearray(BLOOM_BITS // 8)
     for r in maps.toLocalIterator():
         bloom[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
-    shared_bloom = spark.sparkContext.broadcast(bytes(bloom))
-
-    held = counted.where("heavy").select(F.col("node").alias("shingle"), "n")
-    steps = {r["level"]: r["k"] for r in held.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()}
-    total, least = 0, 64
-    for level in sorted(steps, reverse=True):
-        total += steps[level]
-        if total > HEAVY_MOST:
-            break
-        least = level
-    rows = held.where(F.floor(F.log2("n")) >= least).toArrow()
-    token = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64)
-    at = np.argsort(token)
-    level = np.floor(np.log2(np.maximum(rows["n"].to_numpy().astype(np.float64), 1))).astype(np.int8)
-    shared_heavy = spark.sparkContext.broadcast((token[at], level[at]))
-
-    sets = materialize(texts.mapInArrow(_sets(shared_bloom), _SETS), "sets")
-    forget(counted)
+    sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(bytes(bloom))), _SETS), "sets")
     survivors = sets.where("shingles is not null")
-    met = materialize(survivors.select("node", "shingles").mapInArrow(_meet(shared_heavy), _MEET), "met")
-    at_shingle = met.where("shingle is not null").select("shingle", "node")
-    least_node = at_shingle.groupBy("shingle").agg(F.min("node").alias("other"), F.max("node").alias("top")).where("top <> other").drop("top")
-    edges = at_shingle.join(least_node, "shingle").where("node <> other").select("node", "other")
-    edges = edges.unionByName(met.where("shingle is null").select("node", "other"))
-    groups = components(edges, "node", "other")
     grouped = survivors.join(groups, "node").select("component", "digest", "shingles")
     extra, star = _links(grouped, group_shingles)
     star = materialize(star if extra is None else star.unionByName(extra), "links")
     if extra is not None:
         named = components(star, "digest", "root")
         star = named.select(F.col("node").alias("digest"), F.col("component").alias("root"))
-    ids = sets.select("doc_id", "n_shingles", "digest")
+    ids = sets.select("doc_id", "text_key", "n_shingles", "digest")
     known = ids.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     known = known.join(star, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     best = known.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("copies").alias("class_size"))
     named = known.join(best, "root").select("digest", "component_id", "class_size")
     out = ids.join(named, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "text_key")

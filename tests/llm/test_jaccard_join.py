@@ -57,7 +57,7 @@ EDGE = [(900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "ONE  two\
 
 @pytest.mark.parametrize("limit", [jj.GROUP_SHINGLES, 150])
 def test_classes_equal_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(jj, "HEAVY", 3)
+    monkeypatch.setattr(jj, "HOT", 6)
     rows = corpus() + EDGE
     df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, node string, component long").repartition(3)
     got = jj.join_classes(df, limit).select("doc_id", "n_shingles", "component_id").collect()
