@@ -5,14 +5,15 @@ A softmax regression over the sparse n-grams of the licence templates gives each
 the class ``unknown`` a probability; the probabilities are calibrated by a temperature fitted on held-out
 paragraphs. The predicted family is confirmed when one of its templates has at least ``CONFIRM`` of its
 word trigrams in the paragraph; without that, or when ``unknown`` is likeliest, the family is ``unknown``.
+Reported are all paragraphs with a confirmed family, and those with any of ``MARKS``.
 
 The classifier is trained when it is first used, from the templates below: each is varied by a rule
 (words dropped, other words around it), and ``unknown`` is trained on filler and on scrambled licence
-words. Scanning uses built-in Spark functions only. A paragraph without any of ``MARKS`` holds no
-trigram of any template's confirmation and is left out before it is split into words; that changes
-no reported row, as only paragraphs with a mark are reported.
+words. Scanning uses built-in Spark functions only. A paragraph that has none of ``MARKS`` and none of the
+words of ``keys()`` is left out before it is split into words. That changes no reported row: of each
+template so many trigrams hold a key that fewer than ``CONFIRM`` of them are without one.
 
-Defined cases: null and empty texts have no paragraph with a mark; repeated rows are reported each; a
+Defined cases: null and empty texts have no paragraph to report; repeated rows are reported each; a
 null ``doc_id`` stays null; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -43,10 +45,19 @@ TEMPLATES = {
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
+        "CC BY 4.0",
+        "Licensed under CC-BY-4.0.",
+        "Available under CC-BY-4.0.",
+        "Creative Commons Attribution 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0.",
+        "CC BY-NC 4.0",
+        "CC BY NC 4.0",
+        "Licensed under CC-BY-NC-4.0.",
+        "Available under CC-BY-NC-4.0.",
+        "Creative Commons Attribution-NonCommercial 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "gpl-3.0": [
@@ -65,6 +76,7 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
     "proprietary": [
+        "All rights reserved.",
         "Copyright. All rights reserved. No part of this work may be reproduced without prior written permission.",
     ],
     "public-domain": [
@@ -72,8 +84,8 @@ TEMPLATES = {
         "The author has waived all copyright and related or neighboring rights to this work.",
     ],
 }
-#: Every template has one of these; a paragraph without them is never reported.
-MARKS = ("licens", "licenc", "copyright", "redistribution", "public domain", "permission is hereby")
+#: Every template has one of these; a paragraph with one is reported even when no family is confirmed.
+MARKS = ("licens", "licenc", "copyright", "redistribution", "public domain", "permission is hereby", "rights reserved", "creative commons", "cc by", "cc-by", "gpl-", "gplv", "mpl-2", "apache-2", "bsd-3")
 
 
 def words(text: str) -> list[str]:
@@ -84,6 +96,26 @@ def ngrams(seq: list[str]) -> set[str]:
     return {" ".join(seq[i : i + n]) for n in (1, 2, 3) for i in range(len(seq) - n + 1)}
 
 
+def trigrams(template: str) -> list[str]:
+    """What confirms a template."""
+    return sorted(g for g in ngrams(words(template)) if g.count(" ") == 2)
+
+
+@lru_cache(maxsize=1)
+def keys() -> tuple[str, ...]:
+    """Words of which every confirmed paragraph has one, chosen greedily; long ones or with digits, as these are rare."""
+    every = [trigrams(t) for many in TEMPLATES.values() for t in many]
+    able = sorted({w for own in every for g in own for w in g.split(" ") if len(w) > 5 or len(w) > 2 and w[0].isdigit()})
+    chosen: list[str] = []
+    bare = lambda own, more: sum(not any(k in g for k in more) for g in own)
+    while open_ := [own for own in every if bare(own, chosen) >= CONFIRM * len(own)]:
+        best = min(able, key=lambda w: sum(bare(own, [*chosen, w]) for own in open_))
+        if all(bare(own, [*chosen, best]) == bare(own, chosen) for own in open_):
+            raise ValueError(f"no key for {open_[0]}")
+        chosen.append(best)
+    return tuple(k for k in chosen if not any(o != k and o in k for o in chosen))
+
+
 class Model:
     """Families (``unknown`` last), one weight row per n-gram, and the bias, all scaled by the temperature."""
 
@@ -151,31 +183,34 @@ def _grams(seq: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Paragraphs with a licence mark: ``doc_id``, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``."""
+    """Paragraphs with a licence or a mark of one: ``doc_id``, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``."""
     spark = docs.sparkSession
     model = train()
     k = len(model.families)
-    has_mark = lambda c: F.greatest(*[F.contains(F.lower(c), F.lit(m)) for m in MARKS])
-    rows = docs.where(has_mark(F.col("text"))).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    rows = rows.where(has_mark(F.col("line"))).withColumn("_row", F.monotonically_increasing_id())
+    # in an array function the text is lower-cased once for all words
+    has = lambda c, some: F.exists(F.array(F.lower(c)), lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in some]))
+    able = (*MARKS, *(k for k in keys() if not any(m in k for m in MARKS)))
+    rows = docs.where(has(F.col("text"), able)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    rows = rows.where(has(F.col("line"), able)).withColumn("_marked", has(F.col("line"), MARKS)).withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))
     rows = rows.withColumn("_three", F.array_distinct(_grams(F.col("_words"), 3)))
     near = []
     for family in model.families[:-1]:
         likeness = []
         for t in TEMPLATES[family]:
-            own = sorted(g for g in ngrams(words(t)) if g.count(" ") == 2)
+            own = trigrams(t)
             shared = F.size(F.array_intersect(F.col("_three"), F.array(*[F.lit(g) for g in own])))
             likeness.append(shared / F.lit(len(own)))
         near.append(F.greatest(*likeness) if len(likeness) > 1 else likeness[0])
     rows = rows.withColumn("_near", F.array(*near, F.lit(0.0)))
     grams = F.array_distinct(F.concat(F.col("_words"), _grams(F.col("_words"), 2), F.col("_three")))
-    each = rows.select("_row", "doc_id", "paragraph", "_near", F.explode_outer(grams).alias("gram"))
+    each = rows.select("_row", "doc_id", "paragraph", "_marked", "_near", F.explode_outer(grams).alias("gram"))
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
     each = each.join(F.broadcast(table), "gram", "left")
     sums = each.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("paragraph").alias("paragraph"),
+        F.first("_marked").alias("_marked"),
         F.first("_near").alias("_near"),
         F.array(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + F.lit(model.bias[i]) for i in range(k)]).alias("_z"),
     )
@@ -185,7 +220,7 @@ def scan(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(f) for f in model.families])
     sums = sums.withColumn("_at", place).withColumn("similarity", F.element_at("_near", F.col("_at")))
     sure = F.col("similarity") >= CONFIRM
-    return sums.select(
+    return sums.where(F.col("_marked") | sure).select(
         "doc_id",
         F.col("paragraph").cast("long"),
         F.when(sure, F.element_at(names, F.col("_at"))).otherwise(UNKNOWN).alias("family"),

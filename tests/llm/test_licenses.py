@@ -47,3 +47,40 @@ def test_every_template_is_recognised(family):
 def test_other_paragraphs_are_unknown():
     for t in ("my driving license was lost", "copyright law is a field of study", "public license domain version free"):
         assert brute(t)[0][1] == li.UNKNOWN
+
+
+#: The licence lines of the given tables, and short forms of two families.
+LINES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+    "Released under the MIT License.": "mit",
+    "All rights reserved.": "proprietary",
+    "Copyright 2024 X. All rights reserved.": "proprietary",
+    "(c) 2019 Some Body Ltd, all  rights reserved": "proprietary",
+    "Available under CC BY 4.0.": "cc-by-4.0",
+    "Available under CC BY-NC 4.0.": "cc-by-nc-4.0",
+    "Text: CC-BY-4.0, see below": li.UNKNOWN,
+    "The photographs are available under CC-BY-4.0": "cc-by-4.0",
+    "Creative Commons Attribution 4.0": "cc-by-4.0",
+}
+
+
+def test_every_licence_line_is_reported_with_its_family(spark):
+    df = spark.createDataFrame([(i, f"some prose\n\n{line}\n\nmore") for i, line in enumerate(LINES)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in li.scan(df).collect())
+    assert got == [(i, 2, family) for i, family in enumerate(LINES.values())]
+
+
+def test_no_paragraph_without_a_key_can_be_confirmed():
+    for many in li.TEMPLATES.values():
+        for t in many:
+            own = li.trigrams(t)
+            assert sum(not any(k in g for k in li.keys()) for g in own) < li.CONFIRM * len(own)
+
+
+def test_a_confirmed_line_is_reported_without_a_mark(spark):
+    line = "is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    assert not any(m in line for m in li.MARKS)
+    (r,) = li.scan(spark.createDataFrame([(1, line)], "doc_id long, text string")).collect()
+    assert (r["paragraph"], r["family"]) == (0, "mit")
