@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph (a line of a document) is described by its distinct word n-grams of one to three words.
+A paragraph is a line of a document, or all of several lines without a blank one between them (a wrapped
+notice), once comment leaders are stripped; a line with nothing else is blank. It is described by its distinct word n-grams of one to three words.
 A softmax regression over the sparse n-grams of the licence templates gives each licence family and
 the class ``unknown`` a probability; the probabilities are calibrated by a temperature fitted on held-out
 paragraphs. The predicted family is confirmed when one of its templates has at least ``CONFIRM`` of its
 word trigrams in the paragraph; without that, or when ``unknown`` is likeliest, the family is ``unknown``.
-Reported are all paragraphs with a confirmed family, and those with any of ``MARKS``.
+Reported are all lines with a confirmed family or any of ``MARKS``, and of paragraphs of several lines
+those with a confirmed family that none of their lines has alone; ``lines`` tells how many lines there are.
 
 The classifier is trained when it is first used, from the templates below: each is varied by a rule
 (words dropped, other words around it), and ``unknown`` is trained on filler and on scrambled licence
@@ -25,7 +27,7 @@ from functools import lru_cache, reduce
 from operator import or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -88,6 +90,10 @@ TEMPLATES = {
 MARKS = ("licens", "licenc", "copyright", "redistribution", "public domain", "permission is hereby", "rights reserved", "creative commons", "cc by", "cc-by", "gpl-", "gplv", "mpl-2", "apache-2", "bsd-3")
 
 
+#: What stands before the text of a comment's line.
+LEADER = r"^\s*(?:(?:<!--|[/*#;%>|!\"'-]+|(?i:dnl|rem)(?=\s|$))\s*)*"
+
+
 def words(text: str) -> list[str]:
     return re.findall(_WORD, text.lower())
 
@@ -183,15 +189,28 @@ def _grams(seq: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Paragraphs with a licence or a mark of one: ``doc_id``, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``."""
+    """Paragraphs with a licence or a mark of one: ``doc_id``, ``paragraph`` (from 0), ``family``, ``probability``, ``similarity``, ``lines``."""
     spark = docs.sparkSession
     model = train()
     k = len(model.families)
     # in an array function the text is lower-cased once for all words
     has = lambda c, some: F.exists(F.array(F.lower(c)), lambda low: reduce(or_, [F.contains(low, F.lit(m)) for m in some]))
     able = (*MARKS, *(k for k in keys() if not any(m in k for m in MARKS)))
-    rows = docs.where(has(F.col("text"), able)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
-    rows = rows.where(has(F.col("line"), able)).withColumn("_marked", has(F.col("line"), MARKS)).withColumn("_row", F.monotonically_increasing_id())
+    # each line that is not blank gets its number and a mark in front; empty lines then part the paragraphs
+    bare = lambda line: F.regexp_replace(line, F.lit(LEADER), F.lit(""))
+    numbered = lambda line, i: F.when(F.rlike(bare(line), F.lit(r"\S")), F.concat(i.cast("string"), F.lit("\x01"), bare(line))).otherwise("")
+    blocks = F.split(F.array_join(F.transform(F.split("text", "\n", -1), numbered), "\n"), "\n{2,}", -1)
+    rows = docs.where(has(F.col("text"), able)).select("doc_id", F.explode(blocks).alias("_text"))
+    rows = rows.where(has(F.col("_text"), able)).withColumn("_block", F.monotonically_increasing_id())
+    kind = "struct<paragraph:int,lines:int,line:string>"
+    parts = F.split(F.btrim("_text", F.lit("\n")), "\n", -1)
+    lines = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x01", 1).cast("int").alias("paragraph"), F.lit(1).alias("lines"), F.regexp_replace(p, r"^\d+\x01", "").alias("line")).cast(kind))
+    rows = rows.select("doc_id", "_block", lines.alias("_lines"))
+    joined = F.struct(F.col("_lines")[0]["paragraph"], F.size("_lines"), F.array_join(F.col("_lines.line"), " ")).cast(kind)
+    able_lines = F.filter("_lines", lambda p: has(p["line"], able))
+    rows = rows.select("doc_id", "_block", F.explode(F.when(F.size("_lines") > 1, F.concat(able_lines, F.array(joined))).otherwise(able_lines)).alias("_p"))
+    rows = rows.select("doc_id", "_block", "_p.*").withColumn("_marked", (F.col("lines") == 1) & has(F.col("line"), MARKS))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0)))
     rows = rows.withColumn("_three", F.array_distinct(_grams(F.col("_words"), 3)))
     near = []
@@ -204,12 +223,14 @@ def scan(docs: DataFrame) -> DataFrame:
         near.append(F.greatest(*likeness) if len(likeness) > 1 else likeness[0])
     rows = rows.withColumn("_near", F.array(*near, F.lit(0.0)))
     grams = F.array_distinct(F.concat(F.col("_words"), _grams(F.col("_words"), 2), F.col("_three")))
-    each = rows.select("_row", "doc_id", "paragraph", "_marked", "_near", F.explode_outer(grams).alias("gram"))
+    each = rows.select("_row", "_block", "doc_id", "paragraph", "lines", "_marked", "_near", F.explode_outer(grams).alias("gram"))
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram string, w array<double>")
     each = each.join(F.broadcast(table), "gram", "left")
     sums = each.groupBy("_row").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("_block").alias("_block"),
         F.first("paragraph").alias("paragraph"),
+        F.first("lines").alias("lines"),
         F.first("_marked").alias("_marked"),
         F.first("_near").alias("_near"),
         F.array(*[F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)) + F.lit(model.bias[i]) for i in range(k)]).alias("_z"),
@@ -220,10 +241,17 @@ def scan(docs: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(f) for f in model.families])
     sums = sums.withColumn("_at", place).withColumn("similarity", F.element_at("_near", F.col("_at")))
     sure = F.col("similarity") >= CONFIRM
-    return sums.where(F.col("_marked") | sure).select(
+    sums = sums.select(
         "doc_id",
+        "_block",
+        "_marked",
+        sure.alias("_sure"),
         F.col("paragraph").cast("long"),
         F.when(sure, F.element_at(names, F.col("_at"))).otherwise(UNKNOWN).alias("family"),
         (F.lit(1.0) / total).alias("probability"),
         "similarity",
-    )
+        "lines",
+    ).where("_marked or _sure")
+    alone = F.collect_set(F.when((F.col("lines") == 1) & F.col("_sure"), F.col("family"))).over(Window.partitionBy("_block"))
+    out = sums.withColumn("_alone", alone).where((F.col("lines") == 1) | ~F.array_contains("_alone", F.col("family")))
+    return out.drop("_block", "_marked", "_sure", "_alone")

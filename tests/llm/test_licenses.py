@@ -84,3 +84,36 @@ def test_a_confirmed_line_is_reported_without_a_mark(spark):
     assert not any(m in line for m in li.MARKS)
     (r,) = li.scan(spark.createDataFrame([(1, line)], "doc_id long, text string")).collect()
     assert (r["paragraph"], r["family"]) == (0, "mit")
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "gpl-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "proprietary": "(c) 2020 X. All rights\nreserved.",
+}
+
+
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "// ", "dnl ", ";; "])
+def test_wrapped_notices_are_found(spark, leader):
+    rng = __import__("random").Random(4)
+    prose = lambda: " ".join(rng.choice("the of a to in is and for you it with file text page".split()) for _ in range(14))
+    before, rows = ["", "\n", "one\n\n", "\x01 7\x01\n12\n"], []
+    for i, text in enumerate(WRAPPED.values()):
+        rows.append((i, before[i] + leader.rstrip() + "\n" + "\n".join(leader + x for x in text.split("\n")) + "\n" + leader.rstrip() + "\nend"))
+        rows.append((10 + i, "\n".join([prose() for _ in range(9)] + text.split("\n") + [prose() for _ in range(9)])))
+    rows.append((20, "a\nReleased under the MIT License.\nb"))
+    got = li.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("family <> 'unknown'").collect()
+    want = []
+    for i, (family, text) in enumerate(WRAPPED.items()):
+        n = text.count("\n") + 1
+        want.append((i, before[i].count("\n") + 1 if leader or before[i] != "" else 1, n, family))
+        want.append((10 + i, 0, 18 + n, family))
+    assert sorted((r["doc_id"], r["paragraph"], r["lines"], r["family"]) for r in got) == sorted([*want, (20, 1, 1, "mit")])
