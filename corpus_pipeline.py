@@ -21,9 +21,14 @@ BROADCAST_ROWS = 200_000
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without letters and texts whose best two languages are tied go."""
+    """Language ID: texts without letters and texts whose best two languages are tied go.
+
+    When no row has a language to learn from, every text with letters stays.
+    """
     ship(spark)
     model = langid.train(docs, F.lit(True))
+    if not model.languages:
+        return docs.where(F.udf(lambda text: bool(langid.letters(text)), "boolean")("text")).select(*docs.columns)
     kept = langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous"))
     return kept.select(*docs.columns)
 
@@ -37,17 +42,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each class of near copies the document with the least id stays."""
+    """N-gram Jaccard join: of each class of near copies one document stays, that with the least id.
+
+    Ids may repeat or be null (these come last), so classes are formed by a key of id and text, which
+    also decides between different texts of one id.
+    """
     ship(spark)
-    classes = jaccard_join.join_classes(docs)
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    marked = materialize(classes.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), own.alias("_first")), "classes")
-    gone = marked.where("not _first").select("_id", "_key").distinct()
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    classes = jaccard_join.join_classes(docs.select(key.alias("doc_id"), "text"))
+    many = classes.where("class_size > 1").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
+    many = materialize(many.groupBy("_key", "_class").agg(F.count(F.lit(1)).alias("_rows")), "classes")
+    ids = docs.select(key.alias("_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", jaccard_join.text_key(F.col("text")).alias("text"), key.alias("key")).alias("_id"))
+    first = many.join(ids, "_key").groupBy("_class").agg(F.min("_id")["key"].alias("_key"))
+    marked = materialize(many.join(first.withColumn("_first", F.lit(True)), ["_class", "_key"], "left"), "marked")
+    gone = marked.where("_first is null").select("_key").distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn("_text_key", jaccard_join.text_key(F.col("text")))
-    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti").drop("_text_key")
-    if marked.where("_first").groupBy("_id", "_key").count().where("count > 1").isEmpty():
+    kept = docs.withColumn("_key", key).join(gone, "_key", "left_anti").drop("_key")
+    if marked.where("_first and _rows > 1").isEmpty():
         return kept.select(*docs.columns)
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 

@@ -90,3 +90,22 @@ def test_stages_equal_brute_force(stages):
 
 def test_n_chars_follow_the_text(stages):
     assert all(r["n_chars"] == len(r["text"]) for r in stages[2]["line_dedup"].collect())
+
+
+def test_documents_without_any_language_stay(spark):
+    rows = [(1, "some words here"), (2, "12 34"), (3, None), (4, "Ωμέγα")]
+    docs = spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_identified(spark, docs, "").collect()) == [1, 4]
+
+
+def test_one_row_of_a_class_stays_though_ids_repeat_or_are_null(spark):
+    rng = random.Random(3)
+    base = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(80)]
+    near = lambda ws: " ".join([*ws[:-1], "other"])
+    a, b, c, d, e = (base() for _ in range(5))
+    plain = " ".join
+    # near copies with one id, near copies without id, a class with and without id, unrelated texts of one id
+    rows = [(1, plain(a)), (1, near(a)), (None, plain(b)), (None, near(b)), (None, plain(c)), (2, near(c)), (5, plain(d)), (5, plain(e))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = Counter((r["doc_id"], r["text"].split()[0]) for r in corpus_pipeline.keep_one_of_each_class(spark, docs, "").collect())
+    assert got == Counter([(1, a[0]), (None, b[0]), (2, c[0]), (5, d[0]), (5, e[0])])
