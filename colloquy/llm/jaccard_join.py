@@ -17,23 +17,28 @@ down, without loss, which documents can have a partner at all and which may meet
    keeps the sets reaching the required overlap less the number of long lists, and probes the long
    lists for these by binary search (DivideSkip); the sets reaching the required overlap are linked
    to it. Sets already reached leave the index, so a group of thousands of copies costs one pass.
-   Groups over ``GROUP_SHINGLES`` shingles are first thinned around a leader, in parallel tasks, with
-   the triangle inequality of the Jaccard distance, and what remains is searched in blocks.
+   Groups over ``GROUP_SHINGLES`` shingles are first thinned around a leader, row by row in parallel
+   tasks, with the triangle inequality of the Jaccard distance, and what remains is searched in blocks:
+   a set is a query only against the blocks of sets of its size or up to 4/3 of it, and a block reports
+   a spanning forest of the links it finds, so no block's output outgrows its queries.
 
-Shingles are 64-bit hashes; sets are told apart by a 128-bit digest of theirs.
+Shingles are 64-bit hashes; sets are told apart by a 128-bit digest of theirs. The number of hash
+ranges follows the bytes of the texts, so that a task holds about ``RANGE_BYTES`` of shingles.
 
 Defined cases: null or empty texts have the empty set and link with nothing; texts of fewer words
 than the shingle size have one shingle, the whole sequence; repeated rows are documents of one
-class; a null ``doc_id`` never names a class unless all its members are null; other columns are
-ignored; an empty table gives an empty result.
+class; a null ``doc_id`` never names a class unless all its members are null; ids are integers (other
+types are cast to long); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from hashlib import blake2b
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +54,21 @@ LOW_SHARE = 0.42
 #: A shingle with more holders in one chunk is hot: it is sent once, and ordered behind all others counted.
 HOT = 64
 MANY = (1 << 31) - 1
-MASK48 = np.uint64((1 << 48) - 1)
-BLOOM_BITS = 1 << 26
+#: A dealt shingle's name: its hash range above, the low bits of its hash below.
+NAME_BITS = 44
+MASK = np.uint64((1 << NAME_BITS) - 1)
+#: Bytes of dealt shingles that one hash range aims at, and of text for each of these.
+RANGE_BYTES, TEXT_PER_DEALT = 24_000_000, 2
+#: Bits of the filter for each grouped set; the filter is at most 2**MOST_BLOOM bits, beyond which more sets are written.
+BLOOM_EACH, LEAST_BLOOM, MOST_BLOOM = 16, 20, 30
+#: Up to this many grouped sets (some 50 bytes each) are broadcast, more are shuffled.
+BROADCAST_ROWS = 250_000
 #: Shingles of a chunk of documents in a task, and of a group searched in one task.
-CHUNK, GROUP_SHINGLES = 2_000_000, 4_000_000
+CHUNK, GROUP_SHINGLES = 2_000_000, 100_000
 LEADER_ROUNDS = 4
+#: Sizes of one size class differ by less than this factor, which is over 4/3.
+SIZE_CLASS = 1.34
 _WORDS = WordIds()
-_NONE = np.zeros(0, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -170,7 +183,7 @@ def _deal(keys: list[int], limit: int):
                 mine = np.flatnonzero(spread == i)
                 rows.append((keys[i], 1, nodes[mine].tobytes(), np.stack([total[mine], sizes[mine, 1]], 1).astype(np.uint32).tobytes(), b""))
             if hot.any():
-                name = token & MASK48 | part.astype(np.uint64) << np.uint64(48)
+                name = token & MASK | part.astype(np.uint64) << np.uint64(NAME_BITS)
                 held = np.flatnonzero(hot)
                 for i in np.unique(spread[owner[held]]).tolist():
                     mine = held[spread[owner[held]] == i]
@@ -218,9 +231,9 @@ def _count(keys: list[int]):
         for b in batches:
             for key, kind, node, number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *[b.column(i) for i in (2, 3, 4)], strict=True):
                 node, number, raw = np.frombuffer(node.as_py(), np.uint64), np.frombuffer(number.as_py(), np.uint32), raw.as_py()
-                at = np.uint64(place[key] << 48)
+                at = np.uint64(place[key] << NAME_BITS)
                 if kind == 0:
-                    names.append(_unpacked(raw) | at)
+                    names.append(_unpacked(raw) & MASK | at)
                     nodes.append(np.repeat(node, number))
                 elif kind == 1:
                     n = number.reshape(-1, 2).astype(np.int32)
@@ -229,7 +242,7 @@ def _count(keys: list[int]):
                 elif kind == 2:
                     yield _shared_rows(node, np.frombuffer(raw, np.uint64), np.full(len(node), MANY))
                 else:
-                    hot.append(_unpacked(raw) | at)
+                    hot.append(_unpacked(raw) & MASK | at)
         if not names:
             return
         name, node = np.concatenate(names), np.concatenate(nodes)
@@ -281,7 +294,7 @@ def _meet(low_buckets: int):
                     continue
                 name = np.frombuffer(b"".join(raw), np.uint64)
                 holders = np.frombuffer(b"".join(count), np.uint32)
-                is_low = (name >> np.uint64(48)).astype(np.int64) < low_buckets
+                is_low = (name >> np.uint64(NAME_BITS)).astype(np.int64) < low_buckets
                 nodes.append(node)
                 heads.append(_prefix(size, low, name, holders, is_low))
             if not nodes:
@@ -330,14 +343,15 @@ def _groups(met: DataFrame) -> DataFrame:
     return components(edges.unionByName(up.where("node <> other")).unionByName(rest), "node", "other")
 
 
-_SETS = "doc_id long, text_key long, digest binary, node long, n_shingles long, shingles binary"
+_SETS = "doc_id long, text_key long, digest binary, node long, n_shingles long, task int, shingles binary"
 
 
 def _sets(bloom):
-    """Every document with its digest; the shingles only of sets whose node may be in a group."""
+    """Every document with its digest; the shingles only of sets whose node may be in a group, once in a task."""
 
     def run(batches):
         has = np.frombuffer(bloom.value, np.uint8)
+        bits, task = 8 * len(has), TaskContext.get().partitionId()
         known: set[bytes] = set()
         for b in batches:
             digests, nodes, sizes, sent = [], [], [], []
@@ -345,7 +359,7 @@ def _sets(bloom):
                 s = shingles(text.as_py())
                 d = digest(s)
                 node = _node(d)
-                at = node % BLOOM_BITS
+                at = node % bits
                 keep = len(s) and (has[at >> 3] >> (at & 7)) & 1 and d not in known
                 if keep:
                     if len(known) > 200_000:
@@ -355,7 +369,7 @@ def _sets(bloom):
                 nodes.append(node if len(s) else 0)
                 sizes.append(len(s))
                 sent.append(s.tobytes() if keep else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array(sent, pa.binary())], ["doc_id", "text_key", "digest", "node", "n_shingles", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array([task] * b.num_rows, pa.int32()), pa.array(sent, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
 
     return run
 
@@ -426,11 +440,11 @@ class Index:
         longest = len(lists[-1])
         skip = min(need - 1, int(need / (0.01 * np.log2(longest + 1) + 1)))
         short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
-        # the sorted short lists are merged (a merge sort of runs), equal numbers are counted
-        merged = np.concatenate(short)
-        merged = np.sort(merged[alive[merged]], kind="stable")
-        if not len(merged):
-            return merged
+        # the sorted short lists go through a heap, equal numbers are counted
+        heads = [run for r in short if len(run := r[alive[r]])]
+        if not heads:
+            return np.zeros(0, np.int64)
+        merged = np.fromiter(merge(*[r.tolist() for r in heads]), np.int64, sum(map(len, heads)))
         new = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
         found, count = merged[new], np.diff(np.append(new, len(merged)))
         fit = (count >= need - skip) & (DEN * self.size[found] >= NUM * len(s)) & (NUM * self.size[found] <= DEN * len(s))
@@ -535,18 +549,22 @@ def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return links, rest
 
 
-_BLOCK_IN = "component long, shard int, query boolean, digest binary, shingles binary"
-
-
 def _search_block(batches):
-    """Links between all queries and the indexed sets of one (component, shard); rows come sorted, index first."""
-    key, names, sets, index = None, [], [], None
+    """Spanning forest of the links between the queries and the indexed sets of a block; index rows come first."""
+    key, names, sets, index, above = None, [], [], None, {}
     out: list[tuple[bytes, bytes]] = []
+
+    def top(d: bytes) -> bytes:
+        while (up := above.get(d, d)) != d:
+            above[d] = above.get(up, up)
+            d = up
+        return d
+
     for b in batches:
-        for c, shard, query, d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+        for *block, query, d, s in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5), strict=True):
             s = np.frombuffer(s.as_py(), np.uint64)
-            if (c, shard) != key:
-                key, names, sets, index = (c, shard), [], [], None
+            if block != key:
+                key, names, sets, index, above = block, [], [], None, {}
             if not query:
                 names.append(d)
                 sets.append(s)
@@ -554,45 +572,54 @@ def _search_block(batches):
             if index is None and sets:
                 index, alive = Index(sets), np.ones(len(sets), bool)
             if index is not None:
-                out += [(d, names[i]) for i in index.search(s, alive).tolist() if names[i] != d]
+                for i in index.search(s, alive).tolist():
+                    x, y = top(d), top(names[i])
+                    if x != y:
+                        above[max(x, y)] = min(x, y)
+                        out.append((d, names[i]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["digest", "root"])
             out = []
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Exact links inside large groups: each group's sets in shards, all sets as queries against each shard."""
-    spread = rows.join(sizes, "component").withColumn("k", F.ceil(F.col("total") / most).cast("int"))
-    index = spread.withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")).withColumn("query", F.lit(False))
-    query = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("query", F.lit(True))
-    cols = ["component", "shard", "query", "digest", "shingles"]
-    both = index.select(cols).unionByName(query.select(cols))
-    both = both.repartition("component", "shard").sortWithinPartitions("component", "shard", "query")
+def _blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Exact links inside large groups: sets are indexed in blocks of a size class, and are queries against
+    the blocks of their own class and the next one, the only ones that hold partners of their size or more."""
+    rows = rows.withColumn("size_class", F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(SIZE_CLASS))).cast("int"))
+    sizes = rows.groupBy("component", "size_class").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias("k"))
+    sizes = materialize(sizes, "blocks")
+    cols = ["component", "size_class", "block", "query", "digest", "shingles"]
+    own = rows.join(sizes, ["component", "size_class"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
+    asked = rows.withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1))).join(sizes, ["component", "size_class"])
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    both = own.withColumn("query", F.lit(False)).select(cols).unionByName(asked.withColumn("query", F.lit(True)).select(cols))
+    both = both.repartition("component", "size_class", "block").sortWithinPartitions("component", "size_class", "block", "query")
     return both.mapInArrow(_search_block, _EDGE)
 
 
-def _links(groups: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame]:
-    """Verified star edges (digest, root) of small groups, and edges of the large ones (None without such)."""
-    sizes = groups.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("total"))
-    large = materialize(sizes.where(F.col("total") > most), "large")
+def _links(wide: DataFrame, large: bool, most: int) -> tuple[DataFrame | None, DataFrame]:
+    """Verified star edges (digest, root) of small groups, and edges of the large ones (None without such).
+
+    ``wide`` has (component, total, digest, shingles), each set once, and ``total`` shingles of its group.
+    """
     edges = None
-    small = groups
-    if not large.isEmpty():
-        small = groups.join(large, "component", "left_anti")
-        rows = groups.join(large.select("component"), "component", "left_semi").dropDuplicates(["component", "digest"])
-        parts = []
+    cols = ["component", "digest", "shingles"]
+    if large:
+        rows, parts, last = wide.where(F.col("total") > most).select(cols), [], None
         for _ in range(LEADER_ROUNDS):
             links, rows = _thin(rows)
             parts.append(links)
             rows = materialize(rows, "thinned")
+            if last is not None:
+                forget(last)
+            last = rows
             if rows.isEmpty():
                 break
-        left = rows.groupBy("component").agg((F.sum(F.octet_length("shingles")) / 8).alias("total"))
-        parts.append(_blocks(rows, left, most))
+        parts.append(_blocks(rows, most))
         edges = parts[0]
         for p in parts[1:]:
             edges = edges.unionByName(p)
-    small = small.select("component", "digest", "shingles").repartition("component").sortWithinPartitions("component")
+    small = wide.where(F.col("total") <= most).select(cols).repartition("component").sortWithinPartitions("component")
     return edges, small.mapInArrow(_search_groups, _EDGE)
 
 
@@ -605,7 +632,8 @@ def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (least id reachable by links), ``class_size``, ``text_key``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TEXT_PER_DEALT // RANGE_BYTES)
 
     keys = _keys(spark, buckets)
     low_buckets = max(1, round(LOW_SHARE * len(keys)))
@@ -614,18 +642,27 @@ def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     shared = dealt.repartition(buckets, "bucket").mapInArrow(_count(keys), _SHARED)
     each = shared.groupBy("node").agg(F.max("size").alias("size"), F.max("low").alias("low"), F.sum("shared").alias("shared"), F.collect_list("names").alias("names"), F.collect_list("holders").alias("holders"))
     met = materialize(each.where("shared > 0").mapInArrow(_meet(low_buckets), _MEET), "met")
-    groups = _groups(met)
+    groups = materialize(_groups(met), "groups")
     forget(met)
 
-    part = F.expr(f"pmod(node, {BLOOM_BITS}) div 32768").alias("part")
-    maps = groups.groupBy(part).agg(F.expr(f"bitmap_construct_agg(pmod(node, {BLOOM_BITS}) % 32768)").alias("bits"))
-    bloom = bytearray(BLOOM_BITS // 8)
+    bits = 1 << min(MOST_BLOOM, max(LEAST_BLOOM, (BLOOM_EACH * groups.count()).bit_length()))
+    part = F.expr(f"pmod(node, {bits}) div 32768").alias("part")
+    maps = groups.groupBy(part).agg(F.expr(f"bitmap_construct_agg(pmod(node, {bits}) % 32768)").alias("bits"))
+    bloom = bytearray(bits // 8)
     for r in maps.toLocalIterator():
         bloom[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(bytes(bloom))), _SETS), "sets")
+    # one of the tasks that wrote a set is its home, so that each set travels once
     survivors = sets.where("shingles is not null")
-    grouped = survivors.join(groups, "node").select("component", "digest", "shingles")
-    extra, star = _links(grouped, group_shingles)
+    home = survivors.groupBy("node", "digest").agg(F.min("task").alias("task"), F.first("n_shingles").alias("n"))
+    home = materialize(home.join(groups, "node").select("digest", "task", "component", "n"), "home")
+    totals = home.groupBy("component").agg(F.sum("n").alias("total"))
+    grouped, large = home.count(), not totals.where(F.col("total") > group_shingles).isEmpty()
+    home = home.join(totals, "component").drop("n")
+    if grouped <= BROADCAST_ROWS:
+        home = F.broadcast(home)
+    wide = survivors.join(home, ["digest", "task"]).select("component", "total", "digest", "shingles")
+    extra, star = _links(wide, large, group_shingles)
     star = materialize(star if extra is None else star.unionByName(extra), "links")
     if extra is not None:
         named = components(star, "digest", "root")
