@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,21 +32,55 @@ FIELD_BYTES = 4000
 TEXT_CUT, THINKING_CUT = "… [turn truncated]", "… [thinking truncated]"
 
 
+#: Literal parts of the patterns, in lower case: a text with none of them holds no secret.
+_SIGNS = ("akia", "sk-", "gh", "bearer", "-----begin", "token", "_live_", "_test_", "whsec_", "://", "eyj", "aiza", "xox", "npm_", "github_pat_")
+_GITHUB = re.compile("gh[pousr]_")
+
+
 def scrub(text: Column) -> Column:
-    """The text with every secret replaced."""
+    """The text with every secret replaced; texts without any sign of one are passed on after a single look."""
+    sign = "(?i)" + "|".join(_GITHUB.pattern if s == "gh" else re.escape(s) for s in _SIGNS)
+    clean = text
     for pattern, replacement in SECRETS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        clean = F.regexp_replace(clean, pattern, replacement)
+    return F.when(F.rlike(text, F.lit(sign)), clean).otherwise(text)
+
+
+def literal_position(text: Column, query: str) -> Column:
+    """Where a literal first occurs in any case, counted in characters of the text itself; 0 if nowhere.
+
+    Lower case keeps a text's length but for the dotted capital I, which becomes two characters; those
+    before the match are counted back.
+    """
+    at = F.locate(query.lower(), F.lower(text))
+    wide = F.left(F.replace(text, F.lit("\u0130"), F.lit("\ue000\ue001")), at - 1)
+    extra = F.length(wide) - F.length(F.replace(wide, F.lit("\ue000\ue001"), F.lit("\ue000"))) + F.endswith(wide, F.lit("\ue000")).cast("int")
+    return F.when(F.contains(text, F.lit("\u0130")) & (at > 0), at - extra).otherwise(at)
 
 
-def excerpt(text: Column, query: str) -> Column:
+def pattern_position(text: Column, pattern: str) -> Column:
+    """Where a regular expression first matches, counted in characters; 0 if nowhere."""
+    before = F.regexp_extract(text, f"\\A[\\s\\S]*?(?=(?:{pattern}))", 0)
+    return F.when(F.rlike(text, F.lit(pattern)), F.length(before) + 1).otherwise(0)
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)``, with the value worked out once however often it is used there."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), F.lit(0))
+
+
+def excerpt(text: Column, query: str, regex: bool = False) -> Column:
     """Up to ``EXCERPT_RADIUS`` characters around the first match, with ``…`` where it was cut."""
-    pos = F.locate(query.lower(), F.lower(text))
-    start = F.greatest(F.lit(1), pos - EXCERPT_RADIUS - 1)
-    stop = pos + 2 * EXCERPT_RADIUS
-    cut = F.trim(F.substring(text, start, stop - start), F.lit(" \t\n\r\x0b\x0c"))
-    found = F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(stop <= F.length(text), "…").otherwise(""))
-    return F.when(pos > 0, found).otherwise(F.left(text, F.lit(2 * EXCERPT_RADIUS)))
+
+    def around(text: Column, pos: Column) -> Column:
+        start = F.greatest(F.lit(1), pos - EXCERPT_RADIUS - 1)
+        stop = pos + 2 * EXCERPT_RADIUS
+        cut = F.trim(F.substring(text, start, stop - start), F.lit(" \t\n\r\x0b\x0c"))
+        found = F.concat(F.when(start > 1, "…").otherwise(""), cut, F.when(stop <= F.length(text), "…").otherwise(""))
+        return F.when(pos > 0, found).otherwise(F.left(text, F.lit(2 * EXCERPT_RADIUS)))
+
+    place = pattern_position if regex else literal_position
+    return let(text, lambda t: let(place(t, query), lambda p: around(t, p)))
 
 
 def cap_bytes(text: Column, most: int = FIELD_BYTES, marker: str = TEXT_CUT) -> Column:

@@ -36,3 +36,12 @@ def parse_bound(text: str, now_ms: int, zone: tzinfo) -> int:
     if re.fullmatch(r"\d{10,}", text):
         return int(text)
     return now_ms - parse_duration(text)
+
+
+def fmt_ts(ms, zone: str):
+    """A column of milliseconds as local date and time of ``zone``; ``-`` for an unknown time."""
+    from pyspark.sql import functions as F
+
+    utc = F.timestamp_millis(ms).cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    return F.coalesce(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit("-"))

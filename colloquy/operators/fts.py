@@ -1,14 +1,23 @@
-"""A full-text index as a postings table: phrase search and BM25 ranking."""
+"""A full-text index as a stored postings table: phrase search by positions, BM25 ranking, snippets.
+
+``store`` writes three tables in one pass over the turns: postings dealt by token into ``BUCKETS`` folders
+and sorted, the length of each turn, and one row of statistics. A search reads the folders of its tokens
+alone, joins their positions, and ranks what is left; turns are only needed to show snippets.
+"""
 
 from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.functions.text import let
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("text", "thinking", "tool_calls")
+#: Folders of the stored postings, dealt by the token's hash.
+BUCKETS = 64
 
 
 def fold(text: Column) -> Column:
@@ -64,19 +73,98 @@ def search(indexed: DataFrame, phrase: list[str], include_thinking: bool = False
     tf = sum((occurrences(F.col(c), phrase) for c in cols), F.lit(0).cast("long"))
     hits = indexed.where(may).withColumn("tf", tf).where("tf > 0")
     n, mean = indexed.agg(F.count(F.lit(1)), F.avg("length")).first()
-    df = hits.count()
+    return ranked(hits, n, hits.count(), mean)
+
+
+def bucket(token: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def store(turns: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write the index of ``turns`` under ``path``, which must not exist yet."""
+    spark = turns.sparkSession
+    own = index(turns)
+    p = postings(own).withColumn("bucket", bucket(F.col("token"), buckets))
+    p.repartition("bucket", "token").sortWithinPartitions("bucket", "token", "session_id", "seq").write.partitionBy("bucket").parquet(f"{path}/postings")
+    own.select("session_id", "seq", "length").write.parquet(f"{path}/lengths")
+    lengths = spark.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
+
+
+def _back(k: int):
+    return lambda p: p - k
+
+
+class Stored:
+    """An index that ``store`` wrote."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.postings, self.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        row = spark.read.parquet(f"{path}/stats").first()
+        self.n, self.mean, self.buckets = row["n"], row["mean"], row["buckets"]
+
+    def phrase(self, phrase: list[str], include_thinking: bool = False) -> DataFrame:
+        """(``session_id``, ``seq``, ``tf``) of the turns with the phrase in one column, by joining positions."""
+        cols = [c for c in COLUMNS if include_thinking or c != "thinking"]
+        key, out = ["session_id", "seq", "col"], None
+        for k, w in enumerate(phrase):
+            where = self.spark.range(1).select(bucket(F.lit(w), self.buckets)).first()[0]
+            mine = self.postings.where((F.col("bucket") == where) & (F.col("token") == w) & F.col("col").isin(*cols))
+            mine = mine.select(*key, F.transform("positions", _back(k)).alias("p"))
+            if out is None:
+                out = mine.withColumnRenamed("p", "at")
+            else:
+                out = out.join(mine, key).withColumn("at", F.array_intersect("at", "p")).drop("p").where(F.size("at") > 0)
+        return out.groupBy("session_id", "seq").agg(F.sum(F.size("at").cast("long")).alias("tf"))
+
+    def search(self, phrase: list[str], include_thinking: bool = False) -> DataFrame:
+        """As ``search``: turns with the whole phrase and their rank, lower is better."""
+        if not phrase:
+            return self.lengths.where(F.lit(False)).select("session_id", "seq", F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("rank"))
+        hits = self.phrase(phrase, include_thinking)
+        return ranked(hits.join(self.lengths, ["session_id", "seq"]), self.n, hits.count(), self.mean)
+
+
+def ranked(hits: DataFrame, n: int, df: int, mean: float | None) -> DataFrame:
+    """Rank of hits (``tf``, ``length``) among ``n`` turns of ``mean`` tokens, ``df`` of which have the phrase."""
     idf = log((n - df + 0.5) / (df + 0.5)) if n else 0.0
     idf = idf if idf > 0 else LEAST_IDF
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
     return hits.select("session_id", "seq", "tf", (-idf * part).alias("rank"))
 
 
-def snippet(column: Column, phrase: list[str], width: int = 10) -> Column:
-    """``width`` tokens around the first match, the match in brackets, ``…`` where it was cut."""
+def top_k(hits: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best hits, ties by session and number."""
+    return hits.orderBy("rank", "session_id", "seq").limit(k)
+
+
+_TOKEN = "\\p{L}\\p{N}\\p{Co}\\p{Mn}"
+
+
+def snippet(text: Column, phrase: list[str], width: int = 10) -> Column:
+    """``width`` tokens of the text itself around the phrase's first match, the match in brackets, ``…`` where it was cut.
+
+    What stands between tokens is kept; null if the text doesn't hold the phrase.
+    """
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{_TOKEN}]*[{_TOKEN}]+"), F.lit(0))
+    return let(F.struct(units.alias("units"), tokens(text).alias("own")), lambda s: _around(s["units"], s["own"], phrase, width))
+
+
+def _around(units: Column, own: Column, phrase: list[str], width: int) -> Column:
+    """A snippet from the tokens of a text as they are written, each with what stands before it, and as they are folded."""
     n = len(phrase)
-    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(column) - n, F.lit(0))), lambda i: F.reduce(F.array(*[F.get(column, i + k) == F.lit(w) for k, w in enumerate(phrase)]), F.lit(True), lambda a, b: a & b))
-    first = F.get(at, F.lit(0))
-    start = F.greatest(F.lit(0), first - (width - n) // 2)
-    words = F.concat(F.slice(column, start + 1, F.greatest(first - start, F.lit(0))), F.array(F.lit("[" + " ".join(phrase) + "]")), F.slice(column, first + n + 1, F.greatest(F.lit(width - n) - (first - start), F.lit(0))))
-    body = F.array_join(words, " ")
-    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + width < F.size(column), "…").otherwise(""))
+    last = F.size(own) - n
+    same = lambda i: F.reduce(F.array(*[F.get(own, i + k) == F.lit(w) for k, w in enumerate(phrase)]), F.lit(True), lambda a, b: a & b)
+    places = F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), same)
+    join = lambda low, count: F.array_join(F.slice(units, low + 1, F.greatest(count, F.lit(0))), "")
+
+    def shown(first: Column) -> Column:
+        start = F.greatest(F.lit(0), first - (width - n) // 2)
+        hit = join(first, F.lit(n))
+        marked = F.concat(F.regexp_extract(hit, f"^[^{_TOKEN}]*", 0), F.lit("["), F.regexp_replace(hit, f"^[^{_TOKEN}]+", ""), F.lit("]"))
+        body = F.concat(join(start, first - start), marked, join(first + n, F.lit(width - n) - (first - start)))
+        body = F.regexp_replace(body, f"^[^{_TOKEN}\\[]+", "")
+        return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(start + width < F.size(units), "…").otherwise(""))
+
+    return let(F.get(places, F.lit(0)), lambda first: F.when(first.isNotNull(), shown(first)))

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import scrub
 from colloquy.operators import fts, retrieval
+from colloquy.session import materialize
+from colloquy.sources import transcripts
+
+HOUR = 3_600_000
+#: Windows and limits when the caller states none.
+SEARCH_WINDOW, SEARCH_LIMIT = 6 * HOUR, 20
+SESSION_WINDOW, SESSION_LIMIT = 7 * 24 * HOUR, 20
+TURN_LIMIT = 200
 
 
 @dataclass(frozen=True)
@@ -49,28 +57,58 @@ class ScanProvider:
 
     capabilities = Capabilities(ranked=False, unscoped=False, regex=True)
 
-    def __init__(self, turns: DataFrame, sessions: DataFrame, unreadable: tuple[str, ...] = ()):
-        self.turn_rows, self.session_rows, self.unreadable = turns, sessions, unreadable
+    def __init__(self, turns: DataFrame, sessions: DataFrame, unreadable: tuple[str, ...] = (), notes: tuple[str, ...] = ()):
+        self.turn_rows, self.session_rows, self.unreadable, self.notes = turns, sessions, unreadable, notes
+
+    @classmethod
+    def over(cls, spark: SparkSession, roots: dict[str, str], descriptors: dict, machine_id: str, since_ms: int | None = None, budget: int = transcripts.FILE_BUDGET) -> ScanProvider:
+        """A provider over transcript folders (by runtime), newest files first within the budget.
+
+        A runtime whose folder isn't there is reported as unreadable, files left out by the budget and
+        files that could not be read as notes; none of these is taken for an absence of turns.
+        """
+        unreadable, notes, turns, sessions = [], [], None, None
+        for runtime, root in roots.items():
+            if not transcripts.readable(spark, root):
+                unreadable.append(runtime)
+                continue
+            d = descriptors[runtime]
+            kept, over = transcripts.within_budget(transcripts.files(spark, root, d, since_ms), budget)
+            rows = transcripts.lines(spark, root, d, since_ms, kept=kept if over else None)
+            failed = transcripts.unread(kept, rows).count()
+            notes += over + ([f"{failed} files of {runtime} could not be read"] if failed else [])
+            t, s = transcripts.tables(transcripts.parse(rows, d, machine_id), d)
+            turns, sessions = (t, s) if turns is None else (turns.unionByName(t), sessions.unionByName(s))
+        if turns is None:
+            raise FileNotFoundError(f"none of the runtimes can be read: {', '.join(unreadable)}")
+        return cls(turns, sessions, tuple(unreadable), tuple(notes))
 
     def coverage(self) -> Coverage:
-        return Coverage(degraded=[f"runtime {r} could not be read" for r in self.unreadable])
+        return Coverage(degraded=[f"runtime {r} could not be read" for r in self.unreadable] + list(self.notes))
+
+    def session_list(self, scope: Scope, limit: int) -> DataFrame:
+        return retrieval.list_sessions(self.turn_rows, self.session_rows, scope.since, scope.until, scope.folder, scope.runtimes, limit)
 
     def search(self, query: str, scope: Scope, regex: bool, limit: int) -> DataFrame:
         return retrieval.scan_search(self.turn_rows, self.session_rows, query, scope.since, scope.until, scope.folder, scope.runtimes, scope.include_thinking, regex, limit)
 
 
 class IndexProvider(ScanProvider):
-    """Answers from the postings table; phrases of whole tokens, ranked."""
+    """Answers from a stored postings table; phrases of whole tokens, ranked.
+
+    ``archive`` may be a second provider of this kind: its answers are added to this one's, and the
+    whole is sorted and cut again.
+    """
 
     capabilities = Capabilities(ranked=True, unscoped=True, regex=False)
 
-    def __init__(self, turns: DataFrame, sessions: DataFrame, indexed: DataFrame, indexed_until: int | None = None, newest: int | None = None):
+    def __init__(self, turns: DataFrame, sessions: DataFrame, indexed: DataFrame | fts.Stored, indexed_until: int | None = None, newest: int | None = None, archive: IndexProvider | None = None):
         super().__init__(turns, sessions)
-        self.indexed, self.lag = indexed, None if None in (indexed_until, newest) else newest - indexed_until
+        self.indexed, self.archive, self.lag = indexed, archive, None if None in (indexed_until, newest) else newest - indexed_until
 
     def coverage(self) -> Coverage:
         out = Coverage()
-        if self.indexed.isEmpty():
+        if (self.indexed.lengths if isinstance(self.indexed, fts.Stored) else self.indexed).isEmpty():
             out.degraded.append("the index is empty")
         if self.lag is not None and self.lag > 3_600_000:
             out.degraded.append("the index is older than the newest transcript by more than an hour")
@@ -79,15 +117,23 @@ class IndexProvider(ScanProvider):
     def search(self, query: str, scope: Scope, regex: bool, limit: int) -> DataFrame:
         if regex:
             raise ValueError("the index can't answer regular expressions")
-        phrase = fts.phrase_tokens(self.indexed.sparkSession, query)
-        hits = fts.search(self.indexed, phrase, scope.include_thinking)
+        phrase = fts.phrase_tokens(self.turn_rows.sparkSession, query)
+        hits = self.indexed.search(phrase, scope.include_thinking) if isinstance(self.indexed, fts.Stored) else fts.search(self.indexed, phrase, scope.include_thinking)
         rows = self.turn_rows.where(retrieval.in_search_window(F.col("ts"), scope.since, scope.until))
         if scope.runtimes:
             rows = rows.where(F.col("runtime_id").isin(*scope.runtimes))
         places = self.session_rows.where(retrieval.in_folder(F.col("cwd"), scope.folder)).select("session_id", "cwd")
         kept = rows.join(hits, ["session_id", "seq"]).join(places, "session_id")
-        shown = kept.withColumn("excerpt", F.coalesce(F.when(F.size(F.array_intersect(fts.tokens(F.col("text")), F.array(*map(F.lit, phrase)))) > 0, fts.snippet(fts.tokens(scrub(F.col("text"))), phrase)), fts.snippet(fts.tokens(F.to_json("tool_calls")), phrase)))
-        return shown.select("session_id", "seq", "role", "ts", "cwd", "excerpt", "rank").orderBy("rank", "session_id", "seq").limit(max(1, min(limit, retrieval.MOST_ROWS)))
+        shown = kept.withColumn("excerpt", F.coalesce(fts.snippet(scrub(F.col("text")), phrase), fts.snippet(F.to_json("tool_calls"), phrase)) if phrase else F.lit(""))
+        out = shown.select("session_id", "seq", "role", "ts", "cwd", "excerpt", "rank")
+        cut = max(1, min(limit, retrieval.MOST_ROWS))
+        more = self.archive.search(query, scope, regex, limit) if self.archive else None
+        return retrieval.archive_too(fts.top_k(out, cut), more, cut, F.col("rank"), F.col("session_id"), F.col("seq"))
+
+    def session_list(self, scope: Scope, limit: int) -> DataFrame:
+        own = super().session_list(scope, limit)
+        more = self.archive.session_list(scope, limit) if self.archive else None
+        return retrieval.archive_too(own, more, limit, F.col("last_ts").desc_nulls_last(), F.col("session_id"))
 
 
 class Retrieval:
@@ -101,32 +147,60 @@ class Retrieval:
             return "no folder and more than a day: this reads every transcript"
         return None
 
-    def search(self, query: str, scope: Scope, regex: bool = False, limit: int = 20) -> tuple[DataFrame, Coverage]:
+    def search(self, query: str, scope: Scope, regex: bool = False, limit: int = SEARCH_LIMIT) -> tuple[DataFrame, Coverage]:
         if regex and not self.provider.capabilities.regex:
             raise ValueError("this provider can't answer regular expressions")
-        found = self.provider.search(query, scope, regex, min(limit, retrieval.MOST_ROWS - 1) + 1)
-        coverage = self.provider.coverage()
-        coverage.truncated = found.count() > max(1, limit)
-        return found.limit(max(1, min(limit, retrieval.MOST_ROWS))).withColumn("excerpt", scrub(F.col("excerpt"))), coverage
+        most = max(1, min(limit, retrieval.MOST_ROWS - 1))
+        found = self.provider.search(query, scope, regex, most + 1).withColumn("excerpt", scrub(F.col("excerpt")))
+        return self._cut(found, most)
 
-    def sessions(self, scope: Scope, limit: int = 50) -> tuple[DataFrame, Coverage]:
-        p = self.provider
-        found = retrieval.list_sessions(p.turn_rows, p.session_rows, scope.since, scope.until, scope.folder, scope.runtimes, min(limit, retrieval.MOST_ROWS - 1) + 1)
-        coverage = p.coverage()
-        coverage.truncated = found.count() > max(1, limit)
-        return found.limit(max(1, min(limit, retrieval.MOST_ROWS))), coverage
-
-    def turns(self, session_id: str, after: int | None = None, window: tuple[int, int | None] | None = None, include_thinking: bool = False, limit: int = 200, budget: int = retrieval.BUDGET_BYTES) -> tuple[DataFrame, Coverage]:
+    def _cut(self, found: DataFrame, most: int) -> tuple[DataFrame, Coverage]:
+        """At most ``most`` rows and whether there are more; the rows, one over the limit, are kept in the shared folder."""
+        found = materialize(found, "answer")
+        coverage = self.provider.coverage()
+        coverage.truncated = found.count() > most
+        order = [F.col("rank")] if "rank" in found.columns else [F.col(c).desc_nulls_last() for c in ("ts", "last_ts") if c in found.columns]
+        return found.orderBy(*order, *[c for c in ("session_id", "seq") if c in found.columns]).limit(most), coverage
+
+    def sessions(self, scope: Scope, limit: int = SESSION_LIMIT) -> tuple[DataFrame, Coverage]:
+        most = max(1, min(limit, retrieval.MOST_ROWS - 1))
+        return self._cut(self.provider.session_list(scope, most + 1), most)
+
+    def search_or(self, fallback: Retrieval, query: str, scope: Scope, limit: int = SEARCH_LIMIT) -> tuple[DataFrame, Coverage]:
+        """The answer of this provider, or of ``fallback`` when this one finds nothing; the note says which.
+
+        A partial answer is never replaced, nor are two rankings merged.
+        """
+        found, coverage = self.search(query, scope, limit=limit)
+        if found.isEmpty():
+            other, theirs = fallback.search(query, scope, limit=limit)
+            if not other.isEmpty():
+                theirs.degraded.append("nothing found in the transcripts themselves; answered from the index")
+                return other, theirs
+        return found, coverage
+
+    def turns(self, session_id: str, after: int | None = None, window: tuple[int, int | None] | None = None, include_thinking: bool = False, limit: int = TURN_LIMIT, budget: int = retrieval.BUDGET_BYTES) -> tuple[DataFrame, Coverage]:
         own = self.provider.turn_rows.where(F.col("session_id") == session_id)
         found = retrieval.read_latest(own, *window, include_thinking, limit, budget) if window else retrieval.read_forward(own, after, include_thinking, limit, budget)
         coverage = self.provider.coverage()
         coverage.truncated = bool(found.agg(F.max("more")).first()[0])
         return found.orderBy("seq"), coverage
 
-    def resolve(self, scope: Scope) -> tuple[str, list[str]]:
-        """``None``, ``One`` or ``Ambiguous`` and the newest sessions it could be."""
+    def resolve(self, scope: Scope, guess: bool = False) -> tuple[str, list[str], str | None]:
+        """``None``, ``One`` or ``Ambiguous``, the newest sessions it could be, and a note.
+
+        Without a folder several sessions are ambiguous; a caller that lets it ``guess`` gets the newest
+        one, and the note says so.
+        """
         ids = [r["session_id"] for r in self.sessions(scope, 2)[0].collect()]
-        return ("None", "One", "Ambiguous")[min(len(ids), 2)], ids
+        if len(ids) > 1 and guess:
+            return "One", ids[:1], "several sessions fit; this is the newest"
+        return ("None", "One", "Ambiguous")[min(len(ids), 2)], ids, None
+
+
+def default_scope(now: int, of_sessions: bool = False) -> Scope:
+    """The window looked at when the caller states none."""
+    return Scope(since=now - (SESSION_WINDOW if of_sessions else SEARCH_WINDOW))
 
 
 def empty_note(query: str, regex: bool, hits: int) -> str | None:

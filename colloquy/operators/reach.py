@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import materialize
+
 STALE_MS, EVICT_MS, GRACE_MS = 90_000, 600_000, 300_000
 WAKE_GAP_MS, MOST_ATTEMPTS, MOST_PENDING = 10_000, 5, 32
+CHALLENGE_MS, MOST_LEVELS = 60_000, 16
 
 
 def presence_state(last_seen: Column, registered: Column, presence: Column, now: int) -> Column:
@@ -17,10 +20,54 @@ def presence_state(last_seen: Column, registered: Column, presence: Column, now:
 
 
 def registered(events: DataFrame) -> DataFrame:
-    """Current registration of each session: the latest event wins; registering again clears staleness."""
-    last = F.max_by(F.struct("pid", "cwd", "presence"), F.struct("at", "event_id"))
-    first = F.min("at").alias("registered_at")
-    return events.groupBy("session_id").agg(last.alias("l"), first, F.max("at").alias("last_seen_at")).select("session_id", "l.*", "registered_at", "last_seen_at")
+    """Presence rows folded from events (``session_id``, ``kind``, ``pid``, ``cwd``, ``presence``, ``at``, ``event_id``).
+
+    ``register`` states all of a row, clears its stale mark and makes it the session's own word
+    (``hook``); ``scan`` adds a row or moves an existing one, whose source and presence it keeps;
+    ``beat`` renews one; ``stale`` marks one; ``leave`` drops the row if it still belongs to that
+    process. Beats and marks of unknown sessions do nothing. Rows live from the last dropping leave on.
+    """
+    when = F.struct("at", "event_id")
+    w = Window.partitionBy("session_id").orderBy("at", "event_id")
+    places = F.when(F.col("kind").isin("register", "scan"), F.col("pid"))
+    holder = F.last(places, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumns({"ends": F.coalesce((F.col("kind") == "leave") & (F.col("pid") == holder), F.lit(False)), "when": when})
+    life = F.sum(F.col("ends").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    drops = F.sum(F.col("ends").cast("long")).over(Window.partitionBy("session_id"))
+    rows = rows.withColumns({"life": F.coalesce(life, F.lit(0)), "drops": drops}).where((F.col("life") == F.col("drops")) & ~F.col("ends"))
+    return _current(rows)
+
+
+def _current(rows: DataFrame) -> DataFrame:
+    """The presence row of each session's events, all of one life of it."""
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    last = lambda c, *k: F.max_by(F.when(is_kind(*k), F.col(c)), F.when(is_kind(*k), F.col("when")))
+    first = F.min(F.when(is_kind("register", "scan"), F.col("when")))
+    out = rows.groupBy("session_id").agg(
+        last("pid", "register", "scan").alias("pid"),
+        last("cwd", "register", "scan").alias("cwd"),
+        F.max(F.when(is_kind("register"), F.lit("hook"))).alias("hooked"),
+        last("presence", "register").alias("presence"),
+        first["at"].alias("registered_at"),
+        F.max(F.when(is_kind("register", "scan", "beat"), F.col("when"))).alias("seen"),
+        F.max(F.when(is_kind("register", "beat"), F.col("when"))).alias("fresh"),
+        F.max(F.when(is_kind("stale"), F.col("when"))).alias("marked"),
+        first.alias("born"),
+    )
+    stale = F.when(F.col("marked").isNotNull() & (F.col("marked") > F.col("born")) & (F.col("fresh").isNull() | (F.col("marked") > F.col("fresh"))), F.col("marked")["at"])
+    out = out.where("born is not null").withColumn("stale_at", stale)
+    return out.select("session_id", "pid", "cwd", F.coalesce("hooked", F.lit("scan")).alias("source"), F.coalesce("presence", F.lit("scan")).alias("presence"), "registered_at", F.greatest(F.col("seen")["at"], "registered_at").alias("last_seen_at"), "stale_at")
+
+
+def heartbeats(beats: DataFrame, live: DataFrame) -> DataFrame:
+    """For each beat (``session_id``, ``at``) whether its row exists; one that doesn't must register again."""
+    known = live.select("session_id", F.lit(True).alias("known"))
+    return beats.join(known, "session_id", "left").select("session_id", "at", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def leave(live: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows left when sessions leave; a row goes only if it still belongs to the process that leaves."""
+    return live.join(gone.select("session_id", "pid").distinct(), ["session_id", "pid"], "left_anti").select(live.columns)
 
 
 def reconcile(live: DataFrame) -> DataFrame:
@@ -31,8 +78,29 @@ def reconcile(live: DataFrame) -> DataFrame:
 
 def prune(live: DataFrame, pids: DataFrame) -> DataFrame:
     """Rows left after a scan: scanned, undeclared rows whose process is gone drop out."""
-    gone = live.join(pids.select("pid").distinct(), "pid", "left_anti").where((F.col("source") == "scan") & (F.col("presence") != "declared"))
-    return live.join(gone.select("session_id"), "session_id", "left_anti")
+    alive = pids.select("pid", F.lit(True).alias("_alive")).distinct()
+    owned = (F.col("source") == "scan") & (F.col("presence") != "declared")
+    return live.join(alive, "pid", "left").where(~owned | F.col("_alive").isNotNull()).select(live.columns)
+
+
+def discover(live: DataFrame, processes: DataFrame, now: int) -> DataFrame:
+    """One discovery cycle: sessions found by their process are added or moved, dead ones pruned, the rest reconciled.
+
+    ``processes`` has ``session_id``, ``pid`` and ``cwd``; an existing row keeps its source and presence.
+    """
+    seen = processes.select("session_id", F.col("pid").alias("_pid"), F.col("cwd").alias("_cwd"), F.lit(now).alias("_at"))
+    both = live.join(seen, "session_id", "full_outer")
+    new = F.col("registered_at").isNull()
+    merged = both.select(
+        "session_id",
+        F.coalesce("_pid", "pid").alias("pid"),
+        F.when(F.col("_at").isNotNull(), F.col("_cwd")).otherwise(F.col("cwd")).alias("cwd"),
+        F.when(new, "scan").otherwise(F.col("source")).alias("source"),
+        F.when(new, "scan").otherwise(F.col("presence")).alias("presence"),
+        F.coalesce("registered_at", "_at").alias("registered_at"),
+        F.coalesce("_at", "last_seen_at").alias("last_seen_at"),
+    )
+    return reconcile(prune(merged, processes))
 
 
 def conversations(touches: DataFrame) -> DataFrame:
@@ -92,12 +160,81 @@ def inbox(messages: DataFrame, kind: str, since: int = 0) -> DataFrame:
     return messages.where({"unread": ~read, "wakeable": ~read & (F.col("attempts") < MOST_ATTEMPTS), "pending_ack": read & ~acked, "acked": acked & (F.col("acked_at") >= since)}[kind])
 
 
+def inbox_summary(messages: DataFrame, since: int = 0) -> DataFrame:
+    """How many messages of each kind the four inbox views hold, in one pass."""
+    read, acked = F.col("read_at").isNotNull(), F.col("acked_at").isNotNull()
+    return messages.groupBy("kind").agg(F.count_if(~read).alias("unread"), F.count_if(~read & (F.col("attempts") < MOST_ATTEMPTS)).alias("wakeable"), F.count_if(read & ~acked).alias("pending_ack"), F.count_if(acked & (F.col("acked_at") >= since)).alias("acked"))
+
+
 def for_conversation(messages: DataFrame, members: DataFrame, conversation_id: str) -> DataFrame:
     """Messages to any member of a conversation, oldest first."""
     own = members.where(F.col("conversation_id") == conversation_id).select(F.col("session_id").alias("to_session"))
     return messages.join(own, "to_session", "left_semi").orderBy("created_at", "id")
 
 
+def pane_mail(messages: DataFrame, members: DataFrame, asking: DataFrame, kind: str, since: int = 0) -> DataFrame:
+    """Messages of each asking session (``session_id``): those to any member of any conversation of its pane.
+
+    A session without a conversation reads its own mailbox alone. Ordered by ``place``: oldest first,
+    but the acknowledged ones of a session without conversation newest first.
+    """
+    mine = members.join(asking.select("session_id"), "session_id", "left_semi")
+    panes_of = panes(members).join(mine.select("session_id").distinct(), "session_id", "left_semi")
+    boxes = panes_of.join(members.select("conversation_id", F.col("session_id").alias("to_session")), "conversation_id").select("session_id", "to_session").distinct()
+    alone = asking.select("session_id").distinct().join(members.select("session_id"), "session_id", "left_anti")
+    boxes = boxes.withColumn("alone", F.lit(False)).unionByName(alone.select("session_id", F.col("session_id").alias("to_session"), F.lit(True).alias("alone")))
+    rows = boxes.join(inbox(messages, kind, since), "to_session")
+    order = F.when(F.col("alone") & F.lit(kind == "acked"), -F.col("acked_at")).otherwise(F.col("created_at"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(order, "id"))
+    return rows.withColumn("place", place.cast("long"))
+
+
+def history(messages: DataFrame, members: DataFrame, since: int) -> DataFrame:
+    """Acknowledged messages of every conversation, newest acknowledgement first (``place``)."""
+    rows = inbox(messages, "acked", since).join(members.select("conversation_id", F.col("session_id").alias("to_session")).distinct(), "to_session")
+    place = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.col("acked_at").desc(), "id"))
+    return rows.withColumn("place", place.cast("long"))
+
+
+def resolve(addresses: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
+    """The session that now answers each address (``address``): a conversation's current one, or that of a
+    session's conversation; any other address stands for itself."""
+    now = current_session(members, live).withColumnRenamed("session_id", "current")
+    of = members.groupBy(F.col("session_id").alias("address")).agg(F.max_by("conversation_id", F.struct("joined_at", "conversation_id")).alias("of"))
+    rows = addresses.join(of, "address", "left").withColumn("conversation_id", F.coalesce("of", "address"))
+    rows = rows.join(now, "conversation_id", "left")
+    return rows.select(*addresses.columns, F.coalesce("current", "address").alias("target"))
+
+
+def send(messages: DataFrame, members: DataFrame, live: DataFrame) -> DataFrame:
+    """Replies with the session they go to now: the sender of what they answer, followed to its current session."""
+    rows = replies(messages).withColumnRenamed("to_session", "address")
+    return resolve(rows, members, live).withColumn("target", F.when(F.col("outcome") == "Sent", F.col("target")))
+
+
+def own_sessions(asking: DataFrame, processes: DataFrame, live: DataFrame, levels: int = MOST_LEVELS) -> DataFrame:
+    """Which session each process (``pid``) belongs to: the nearest of its ancestors that owns one.
+
+    Rows of a scan are a process's own session and come before declared ones, which may share it.
+    ``state`` is Resolved, Ambiguous or Unknown; ambiguous ones name no session. Each level is one join
+    of the processes that are still unresolved.
+    """
+    own = F.col("presence") == "scan"
+    owners = live.groupBy("pid").agg(F.sum(own.cast("int")).alias("scans"), F.count(F.lit(1)).alias("rows"), F.min(F.when(own, F.col("session_id"))).alias("scan"), F.min("session_id").alias("any"))
+    one = F.when(F.col("scans") == 1, F.col("scan")).when((F.col("scans") == 0) & (F.col("rows") == 1), F.col("any"))
+    owners = owners.select(F.col("pid").alias("at"), one.alias("session_id"), F.lit(True).alias("owned"))
+    step = processes.where("ppid > 0 and ppid <> pid").select(F.col("pid").alias("at"), F.col("ppid").alias("next"))
+    climb, out = asking.select("pid").distinct().withColumn("at", F.col("pid")), None
+    for _ in range(levels):
+        met = climb.join(owners, "at", "left")
+        done = met.where("owned").select("pid", "session_id", F.when(F.col("session_id").isNull(), "Ambiguous").otherwise("Resolved").alias("state"))
+        out = done if out is None else out.unionByName(done)
+        climb = materialize(met.where("owned is null").join(step, "at").select("pid", F.col("next").alias("at")), "climb")
+        if climb.isEmpty():
+            break
+    return asking.join(out, "pid", "left").select("pid", "session_id", F.coalesce("state", F.lit("Unknown")).alias("state"))
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """Replies with the message they answer; the reply goes to the original's sender, without one it is refused."""
     r, o = messages.where("reply_to is not null").alias("r"), messages.alias("o")
@@ -125,37 +262,89 @@ def dead_letters(wakes: DataFrame) -> DataFrame:
     return wakes.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == MOST_ATTEMPTS).select("id", F.col("at").alias("dead_at"))
 
 
+def _folded(rows: DataFrame, key: str, kind: str, flag: str, start, step) -> DataFrame:
+    """A fold over each key's rows in order of time, with a state of a few numbers.
+
+    Rows come sorted by key and time in batches, so a key of any size is folded in constant memory.
+    """
+
+    def run(batches):
+        now, state = None, None
+        for pdf in batches:
+            flags = []
+            for k, at in zip(pdf[key], pdf["at"], strict=True):
+                if k != now or state is None:
+                    now, state = k, start()
+                state, passed = step(state, at)
+                flags.append(passed)
+            yield pdf.assign(**{flag: flags})
+
+    rows = rows.select(key, "at").repartition(key).sortWithinPartitions(key, "at")
+    return rows.mapInPandas(run, f"{key} {kind}, at long, {flag} boolean")
+
+
 def wakes_sent(requests: DataFrame) -> DataFrame:
     """Requests that lead to a wake: one within the gap after the last *sent* wake is skipped.
 
     A skipped request doesn't restart the clock, so it is a sequential fold per session.
     """
 
-    def run(pdf):
-        last, keep = None, []
-        for at in (pdf := pdf.sort_values("at"))["at"]:
-            sent = last is None or at - last >= WAKE_GAP_MS
-            last = at if sent else last
-            keep.append(sent)
-        return pdf.assign(sent=keep)[["session_id", "at", "sent"]]
+    def step(last, at):
+        sent = last[0] is None or at - last[0] >= WAKE_GAP_MS
+        return ((at,) if sent else last), sent
 
-    return requests.select("session_id", "at").groupBy("session_id").applyInPandas(run, "session_id string, at long, sent boolean")
+    return _folded(requests, "session_id", "string", "sent", lambda: (None,), step)
 
 
 def rate_limited(requests: DataFrame, capacity: int = 5, per_minute: int = 5) -> DataFrame:
     """Token bucket per key: whether each request (``key``, ``at``) passes."""
 
-    def run(pdf):
-        level, last, out = float(capacity), None, []
-        for at in (pdf := pdf.sort_values("at"))["at"]:
-            if last is not None:
-                level = min(float(capacity), level + (at - last) * per_minute / 60_000)
-            last = at
-            out.append(level >= 1)
-            level -= out[-1]
-        return pdf.assign(passed=out)[["key", "at", "passed"]]
-
-    return requests.select("key", "at").groupBy("key").applyInPandas(run, "key string, at long, passed boolean")
+    def step(state, at):
+        level, last = state
+        if last is not None:
+            level = min(float(capacity), level + (at - last) * per_minute / 60_000)
+        passed = level >= 1
+        return (level - passed, at), passed
+
+    return _folded(requests, "key", "string", "passed", lambda: (float(capacity), None), step)
+
+
+def challenges(events: DataFrame) -> DataFrame:
+    """Whether each answer to a challenge counts: events ``issue`` and ``consume`` (``nonce``, ``kind``, ``at``, ``event_id``).
+
+    A challenge is good once and for its lifetime; it is spent by any answer, in time or not. A table of
+    events needs no cap on open challenges, which only bounds a server's memory.
+    """
+    issued = events.where(F.col("kind") == "issue").groupBy("nonce").agg(F.min("at").alias("issued_at"))
+    answers = events.where(F.col("kind") == "consume")
+    first = Window.partitionBy("nonce").orderBy("at", "event_id")
+    rows = answers.withColumn("rn", F.row_number().over(first)).join(issued, "nonce", "left")
+    in_time = (F.col("at") >= F.col("issued_at")) & (F.col("at") - F.col("issued_at") <= CHALLENGE_MS)
+    return rows.select("nonce", "at", F.coalesce((F.col("rn") == 1) & in_time, F.lit(False)).alias("accepted"))
+
+
+def pending_requests(peers: DataFrame) -> DataFrame:
+    """Incoming pairing requests that wait, and whether the list is full; outgoing ones don't count."""
+    waiting = F.count_if(F.col("trust") == "pending_in")
+    return peers.agg(waiting.alias("waiting"), (waiting >= MOST_PENDING).alias("full"))
+
+
+def admit(asked: DataFrame, peers: DataFrame) -> DataFrame:
+    """Outcome of incoming requests (``device_id``, ``at``), in order of time: Recorded, Inert or ListFull.
+
+    A known device only renews its row (a trusted one stays as it is); a new one is refused when as many
+    wait as the list holds, those admitted before it included.
+    """
+    known = asked.join(peers.select("device_id", "trust"), "device_id", "left")
+    room = peers.agg((F.lit(MOST_PENDING) - F.count_if(F.col("trust") == "pending_in")).alias("room"))
+    first = Window.partitionBy("device_id").orderBy("at")
+    rows = known.withColumn("rn", F.row_number().over(first))
+    new = rows.where("trust is null and rn = 1").orderBy("at", "device_id").limit(MOST_PENDING)
+    order = Window.orderBy("at", "device_id")
+    taken = new.withColumn("n", F.row_number().over(order)).join(F.broadcast(room), F.col("n") <= F.col("room")).select("device_id", F.lit(True).alias("taken"))
+    rows = rows.join(F.broadcast(taken), "device_id", "left")
+    state = F.when(F.col("trust") == "trusted", "Inert").when(F.col("trust").isNotNull() | F.col("taken"), "Recorded").otherwise("ListFull")
+    return rows.select("device_id", "at", state.alias("outcome"))
 
 
 def trust_step(state: Column, action: Column) -> Column:

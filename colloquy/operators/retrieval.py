@@ -82,7 +82,7 @@ def scan_search(turns: DataFrame, sessions: DataFrame, query: str, since: int, u
         rows = rows.where(F.col("runtime_id").isin(*runtimes))
     tool = F.get(F.filter(F.transform("tool_calls", lambda t: t["name"]), hit), F.lit(0))
     with_tool = F.concat(F.lit("[tool] "), tool)
-    show = lambda c: F.when(hit(c), tx.excerpt(tx.scrub(c), query))
+    show = lambda c: F.when(hit(c), tx.excerpt(tx.scrub(c), query, regex))
     found = F.coalesce(show(F.col("text")), show(F.col("thinking")) if include_thinking else F.lit(None).cast("string"), with_tool)
     rows = rows.withColumn("excerpt", found).where(F.col("excerpt").isNotNull())
     rows = rows.join(sessions.select("session_id", "cwd"), "session_id").where(in_folder(F.col("cwd"), folder))
@@ -90,6 +90,23 @@ def scan_search(turns: DataFrame, sessions: DataFrame, query: str, since: int, u
     return _limited(out, limit, F.col("ts").desc_nulls_last(), F.col("session_id"), F.col("seq"))
 
 
+def in_file_order(hits: DataFrame, sessions: DataFrame, limit: int = 20) -> DataFrame:
+    """Hits as a scan meets them: the file changed last first, and each file's lines in order; the first ``limit``.
+
+    ``sessions`` names each session's file (``source_path``) and when it changed (``mtime``).
+    """
+    files = sessions.select("session_id", "source_path", "mtime")
+    rows = hits.join(files, "session_id")
+    return _limited(rows, limit, F.col("mtime").desc_nulls_last(), F.col("source_path"), F.col("seq"))
+
+
+def archive_too(main: DataFrame, archive: DataFrame | None, limit: int, *order: Column) -> DataFrame:
+    """Rows of the main and the archive table, sorted again and cut again after both were cut."""
+    if archive is None:
+        return _limited(main, limit, *order)
+    return _limited(main.unionByName(archive), limit, *order)
+
+
 def title(user: Column, ai: Column, derived: Column) -> Column:
     return F.coalesce(user, ai, derived)
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_PEERS = 8
+#: Peers asked for ``all``, asked at once, and how long one may take.
+MOST_PEERS, AT_ONCE, PEER_SECONDS = 8, 4, 5.0
 
 
 def integrity(sessions: DataFrame, turns: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Sessions with a wrong count, turns without a session, turns that aren't indexed."""
-    real = turns.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    wrong = sessions.join(real, "session_id", "left").where(F.col("turn_count") != F.coalesce("n", F.lit(0))).agg(F.count(F.lit(1)).alias("miscounted"))
-    orphans = turns.join(sessions.select("session_id"), "session_id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    missing = turns.join(indexed.select("session_id", "seq"), ["session_id", "seq"], "left_anti").agg(F.count(F.lit(1)).alias("unindexed"))
-    return wrong.crossJoin(orphans).crossJoin(missing)
+    """Sessions with a wrong count, turns without a session, turns that aren't indexed: one aggregate by session."""
+    turn = turns.select("session_id", "seq", F.lit(1).alias("t"), F.lit(0).alias("i")).unionByName(indexed.select("session_id", "seq", F.lit(0).alias("t"), F.lit(1).alias("i")))
+    each = turn.groupBy("session_id", "seq").agg(F.sum("t").alias("t"), F.sum("i").alias("i"))
+    each = each.groupBy("session_id").agg(F.sum("t").alias("n"), F.sum(F.when(F.col("i") == 0, F.col("t")).otherwise(0)).alias("missing"))
+    rows = sessions.select("session_id", "turn_count").withColumn("known", F.lit(True)).join(each, "session_id", "full_outer")
+    n = F.coalesce("n", F.lit(0))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(F.count_if(F.col("known") & (F.col("turn_count") != n)).alias("miscounted"), whole(F.when(F.col("known").isNull(), n)).alias("orphans"), whole("missing").alias("unindexed"))
 
 
 def growth(turns: DataFrame, now: int, bytes_stored: int) -> DataFrame:
@@ -57,12 +63,36 @@ def select_peers(peers: DataFrame, wanted: list[str]) -> tuple[str, list[str]]:
     return ("Ready" if ready else "NoneUsable"), ready
 
 
-def merge_hits(local: DataFrame, peers: dict[str, DataFrame | Exception], limit: int) -> tuple[DataFrame, dict[str, str]]:
-    """Hits of all machines, newest first, unknown times last; and what failed, by peer, never as zero hits."""
-    out, failed = local, {}
+def ask_peers(peers: dict[str, Callable[[], DataFrame]], at_once: int = AT_ONCE, seconds: float = PEER_SECONDS) -> dict[str, DataFrame | Exception]:
+    """The answers of all peers, a few at a time; a peer that fails or is late is an exception, not zero hits."""
+    pool, out = ThreadPoolExecutor(at_once), {}
+
+    def ask(f):
+        hits = f()
+        if hits is None:
+            raise ValueError("the answer has no hits")
+        return hits
+
+    jobs = {name: pool.submit(ask, f) for name, f in peers.items()}
+    for name, job in jobs.items():
+        try:
+            out[name] = job.result(timeout=seconds)
+        except Exception as e:
+            out[name] = e if str(e) else TimeoutError(f"no answer within {seconds} seconds")
+    pool.shutdown(wait=False, cancel_futures=True)
+    return out
+
+
+def merge_hits(local: DataFrame, peers: dict[str, DataFrame | Exception], limit: int, with_local: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """Hits of all machines, newest first, unknown times last; and what failed, by peer, never as zero hits.
+
+    Local hits take part in the order and the limit; without ``with_local`` they go afterwards.
+    """
+    out, failed = local.withColumn("_here", F.lit(True)), {}
     for name, hits in peers.items():
         if isinstance(hits, Exception):
             failed[name] = str(hits)
         else:
-            out = out.unionByName(hits.withColumn("machine_id", F.lit(name)))
-    return out.orderBy(F.coalesce("ts", F.lit(0)).desc(), "machine_id", "session_id", "seq").limit(limit), failed
+            out = out.unionByName(hits.withColumns({"machine_id": F.lit(name), "_here": F.lit(False)}))
+    out = out.orderBy(F.coalesce("ts", F.lit(0)).desc(), "machine_id", "session_id", "seq").limit(limit)
+    return (out if with_local else out.where(~F.col("_here"))).drop("_here"), failed

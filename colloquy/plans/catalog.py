@@ -70,7 +70,7 @@ def sessions_in_folder(spark, sf_dir):
         WHEN contains(lower(tool_name), 'the') THEN '[tool] ' || tool_name END AS excerpt
     FROM turn t JOIN session s USING (session_id)) WHERE excerpt IS NOT NULL AND {_WIN_SEARCH}""")
 def search_literal(spark, sf_dir):
-    """Literal search with thinking, excerpts, window."""
+    """Literal search with thinking, excerpts, window."""
     return retrieval.scan_search(views.turns(spark, sf_dir), views.sessions(spark, sf_dir), "the", SINCE, UNTIL, include_thinking=True, limit=FAR)
 
 
@@ -81,19 +81,21 @@ def search_tool_names(spark, sf_dir):
     return retrieval.scan_search(views.turns(spark, sf_dir), views.sessions(spark, sf_dir), "tool1", SINCE, limit=FAR)
 
 
-@query(f"""{SQL} SELECT session_id, seq, role, ts, cwd FROM turn JOIN session USING (session_id)
-    WHERE regexp_matches(text, '(^|[^a-z])th[aeiou]n?[^a-z]') AND (ts IS NULL OR ts >= {SINCE})""")
+_PATTERN = "(^|[^a-z])th[aeiou]n?[^a-z]"
+
+
+@query(f"""{SQL}, hit AS (SELECT *, CASE WHEN regexp_matches(text, '{_PATTERN}') THEN length(regexp_extract(text, '^([\\s\\S]*?)(?:{_PATTERN})', 1)) + 1 ELSE 0 END AS p FROM turn)
+    SELECT session_id, seq, role, ts, cwd, {_EXCERPT.format(c="text", p="p")} AS excerpt FROM hit JOIN session USING (session_id) WHERE p > 0 AND (ts IS NULL OR ts >= {SINCE})""")
 def search_regex(spark, sf_dir):
-    """Regular-expression search of the scan provider."""
-    hits = retrieval.scan_search(views.turns(spark, sf_dir), views.sessions(spark, sf_dir), "(^|[^a-z])th[aeiou]n?[^a-z]", SINCE, regex=True, limit=FAR)
-    return hits.drop("excerpt")
+    """Regular-expression search of the scan provider, with excerpts around the match."""
+    return retrieval.scan_search(views.turns(spark, sf_dir), views.sessions(spark, sf_dir), _PATTERN, SINCE, regex=True, limit=FAR)
 
 
 @query(f"""{SQL} SELECT session_id, seq, role, ts, cwd, {_excerpt("text", "de")} AS excerpt FROM turn JOIN session USING (session_id)
     WHERE contains(lower(text), 'de') AND (ts IS NULL OR ts >= {SINCE}) AND {_FOLDER.format("u2/proj", "u2-proj")}
     ORDER BY ts DESC NULLS LAST, session_id, seq LIMIT 20""")
 def search_top_k(spark, sf_dir):
-    """Newest hits in a folder."""
+    """newest hits in a folder."""
     return retrieval.scan_search(views.turns(spark, sf_dir), views.sessions(spark, sf_dir), "de", SINCE, folder="u2/proj", limit=20)
 
 
@@ -263,7 +265,7 @@ def numbered_turns(spark, sf_dir):
     fresh AS (SELECT session_id, uuid FROM batch WHERE uuid IS NULL UNION ALL SELECT DISTINCT session_id, uuid FROM batch WHERE uuid IS NOT NULL AND (session_id, uuid) NOT IN (SELECT (session_id, uuid) FROM turn WHERE seq <= 2 AND uuid IS NOT NULL))
     SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM batch) - (SELECT count(*) FROM fresh) AS skipped, (SELECT count(*) FROM fresh WHERE uuid IS NULL) AS unkeyed""")
 def push_outcome(spark, sf_dir):
-    """D2 SC11: deduplicating insert of a pushed batch."""
+    """Deduplicating insert of a pushed batch."""
     t = views.turns(spark, sf_dir).select("session_id", "uuid", F.col("seq").alias("pos"))
     batch = t.where("pos > 1").unionByName(t.where("pos > 3").withColumn("pos", F.col("pos") + 100))
     return fold.push(t.where("pos <= 2"), batch)[1]
@@ -274,7 +276,7 @@ def push_outcome(spark, sf_dir):
         coalesce(o.title_derived, n.title_derived) AS title_derived, CASE WHEN n.session_id IS NOT NULL THEN n.source_path ELSE o.source_path END AS source_path, coalesce(o.started_at, n.started_at) AS started_at
     FROM o FULL JOIN n ON o.session_id = n.session_id""")
 def session_upsert(spark, sf_dir):
-    """Which value wins, by column."""
+    """D3: which value wins, by column."""
     s, n = views.sessions(spark, sf_dir), F.col("native_id").cast("long")
     new = s.where(n % 2 == 0).withColumns({"title_user": F.concat(F.lit("New "), "native_id"), "title_ai": F.lit(None).cast("string"), "title_derived": F.lit("derived"), "started_at": F.col("started_at") + 1})
     return fold.upsert_sessions(s.where(n % 3 != 0), new)
@@ -291,7 +293,7 @@ def archive_counts(spark, sf_dir):
 
 @query(f"""{SQL} SELECT session_id, seq FROM turn WHERE ts < {UNTIL} UNION ALL SELECT session_id, seq + 1000 FROM turn WHERE ts >= {UNTIL}""")
 def with_archive(spark, sf_dir):
-    """SC12 D1 T4: main and archive rows as one bag."""
+    """Main and archive rows as one bag."""
     t = views.turns(spark, sf_dir).select("session_id", "seq", "ts")
     return t.where(F.col("ts") < UNTIL).drop("ts").unionByName(t.where(F.col("ts") >= UNTIL).withColumn("seq", F.col("seq") + 1000).drop("ts"))
 
@@ -345,19 +347,19 @@ def hits_to_turns(spark, sf_dir):
 
 @query(f"""{SQL} SELECT session_id, CASE WHEN presence <> 'declared' THEN 'live' WHEN greatest(last_seen_at, registered_at) < {NOW} - 690000 THEN 'evicted' WHEN greatest(last_seen_at, registered_at) < {NOW} - 90000 THEN 'stale' ELSE 'live' END AS state FROM live""")
 def presence_states(spark, sf_dir):
-    """Two-stage expiry as a function of the rows and now."""
+    """S3: two-stage expiry as a function of the rows and now."""
     return views.live(spark, sf_dir).select("session_id", reach.presence_state(F.col("last_seen_at"), F.col("registered_at"), F.col("presence"), NOW).alias("state"))
 
 
 @query(f"""{SQL} SELECT session_id, pid, source FROM live QUALIFY row_number() OVER (PARTITION BY pid ORDER BY CASE WHEN source = 'hook' THEN 0 ELSE 1 END, registered_at DESC, session_id) = 1""")
 def reconciled(spark, sf_dir):
-    """One session per process."""
+    """One session per process."""
     return reach.reconcile(views.live(spark, sf_dir)).select("session_id", "pid", "source")
 
 
 @query(f"""{SQL} SELECT session_id FROM live WHERE NOT (source = 'scan' AND presence <> 'declared' AND pid NOT IN (SELECT pid FROM live WHERE pid % 3 = 0))""")
 def pruned(spark, sf_dir):
-    """Rows of dead processes go, declared and hooked ones stay."""
+    """Rows of dead processes go, declared and hooked ones stay."""
     rows = views.live(spark, sf_dir)
     return reach.prune(rows, rows.where("pid % 3 = 0")).select("session_id")
 
@@ -374,12 +376,13 @@ def current_sessions(spark, sf_dir):
     return reach.current_session(views.members(spark, sf_dir), views.live(spark, sf_dir).where("source = 'hook'"))
 
 
-@query(f"""{SQL} SELECT 's' || n AS session_id, CASE WHEN 's' || n IN (SELECT session_id FROM live WHERE pid % 4 = 0) THEN 'Registered' WHEN 's' || n IN (SELECT session_id FROM member WHERE pid % 3 = 0) THEN 'DormantConversation'
-    WHEN 's' || n IN (SELECT session_id FROM live WHERE source = 'hook') THEN 'Dormant' ELSE 'Unknown' END AS state FROM range(0, 2000) AS r(n)""")
+@query(f"""{SQL}, asked AS (SELECT session_id AS n FROM live UNION ALL SELECT 'no-' || session_id FROM live)
+    SELECT n AS session_id, CASE WHEN n IN (SELECT session_id FROM live WHERE pid % 4 = 0) THEN 'Registered' WHEN n IN (SELECT session_id FROM member WHERE pid % 3 = 0) THEN 'DormantConversation'
+    WHEN n IN (SELECT session_id FROM live WHERE source = 'hook') THEN 'Dormant' ELSE 'Unknown' END AS state FROM asked""")
 def addressability(spark, sf_dir):
     """Four outcomes, the first that holds."""
-    asked = spark.range(2000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("session_id"))
     rows = views.live(spark, sf_dir)
+    asked = rows.select("session_id").unionByName(rows.select(F.concat(F.lit("no-"), "session_id").alias("session_id")))
     return reach.addressability(asked, rows.where("pid % 4 = 0"), views.members(spark, sf_dir).where("pid % 3 = 0"), rows.where("source = 'hook'"))
 
 
@@ -404,17 +407,13 @@ def grouped_conversations(spark, sf_dir):
 @query(f"""{SQL} SELECT kind, count(*) FILTER (read_at IS NULL) AS unread, count(*) FILTER (read_at IS NULL AND attempts < 5) AS wakeable, count(*) FILTER (read_at IS NOT NULL AND acked_at IS NULL) AS pending_ack,
     count(*) FILTER (acked_at >= {SINCE}) AS acked FROM message GROUP BY 1""")
 def inbox_counts(spark, sf_dir):
-    """The four inbox views, counted by kind."""
-    m = views.messages(spark, sf_dir)
-    out = m.select("kind").distinct()
-    for kind in ("unread", "wakeable", "pending_ack", "acked"):
-        out = out.join(reach.inbox(m, kind, SINCE).groupBy("kind").agg(F.count(F.lit(1)).alias(kind)), "kind", "left")
-    return out.select("kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unread", "wakeable", "pending_ack", "acked")])
+    """The four inbox views, counted by kind."""
+    return reach.inbox_summary(views.messages(spark, sf_dir), SINCE)
 
 
 @query(f"""{SQL} SELECT id, to_session, created_at FROM message WHERE to_session IN (SELECT session_id FROM member WHERE conversation_id = (SELECT min(conversation_id) FROM member))""")
 def conversation_inbox(spark, sf_dir):
-    """Messages to any member of one conversation."""
+    """Messages to any member of one conversation."""
     m = views.members(spark, sf_dir)
     first = m.agg(F.min("conversation_id")).first()[0]
     return reach.for_conversation(views.messages(spark, sf_dir), m, first).select("id", "to_session", "created_at")
@@ -422,7 +421,7 @@ def conversation_inbox(spark, sf_dir):
 
 @query(f"""{SQL} SELECT r.id, r.reply_to, o.from_session AS to_session, CASE WHEN o.id IS NULL THEN 'NoSuchMessage' WHEN o.from_session IS NULL THEN 'NoSender' ELSE 'Sent' END AS outcome FROM message r LEFT JOIN message o ON r.reply_to = o.id WHERE r.reply_to IS NOT NULL""")
 def reply_targets(spark, sf_dir):
-    """Replies go to the sender of what they answer."""
+    """Replies go to the sender of what they answer."""
     return reach.replies(views.messages(spark, sf_dir))
 
 
@@ -458,15 +457,24 @@ def _requests(spark, sf_dir, key):
     return table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 50).cast("string")).alias(key), (F.unix_millis(F.col("ts").cast("timestamp")).cast("long") / 100).cast("long").alias("at"))
 
 
-@query()
+def _requested(key: str) -> str:
+    """Each key's requests in order, numbered."""
+    return f"""q AS (SELECT 's' || (user_id % 50) AS {key}, epoch_us(ts) // 1000 // 100 AS "at" FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY "at") AS rn FROM q)"""
+
+
+@query(f"""WITH RECURSIVE {_requested("session_id")}, r AS (SELECT session_id, "at", rn, "at" AS last, true AS sent FROM n WHERE rn = 1
+    UNION ALL SELECT n.session_id, n."at", n.rn, CASE WHEN n."at" - r.last >= 10000 THEN n."at" ELSE r.last END, n."at" - r.last >= 10000 FROM r JOIN n ON n.session_id = r.session_id AND n.rn = r.rn + 1)
+    SELECT session_id, "at", sent FROM r""")
 def wakes_sent(spark, sf_dir):
-    """Wake coalescing, a sequential fold (tested against a plain replay)."""
+    """Wake coalescing, a sequential fold."""
     return reach.wakes_sent(_requests(spark, sf_dir, "session_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_requested("key")}, r AS (SELECT key, "at", rn, CAST(4 AS DOUBLE) AS level, true AS passed FROM n WHERE rn = 1
+    UNION ALL SELECT n.key, n."at", n.rn, least(5.0::DOUBLE, r.level + (n."at" - r."at") * 5 / 60000.0::DOUBLE) - CASE WHEN least(5.0::DOUBLE, r.level + (n."at" - r."at") * 5 / 60000.0::DOUBLE) >= 1 THEN 1 ELSE 0 END,
+        least(5.0::DOUBLE, r.level + (n."at" - r."at") * 5 / 60000.0::DOUBLE) >= 1 FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1) SELECT key, "at", passed FROM r""")
 def rate_limited(spark, sf_dir):
-    """Token bucket per key (tested against a plain replay)."""
+    """Token bucket per key."""
     return reach.rate_limited(_requests(spark, sf_dir, "key"))
 
 
@@ -478,7 +486,7 @@ _ACTION = "(['request', 'approve', 'reject', 'revoke'])[CAST(event_id // 4 % 4 +
     CASE WHEN action = 'request' AND state IS DISTINCT FROM 'trusted' THEN 'pending_in' WHEN action = 'approve' AND state = 'pending_in' THEN 'trusted'
     WHEN action = 'reject' AND state = 'pending_in' THEN NULL WHEN action = 'revoke' AND state = 'trusted' THEN 'revoked' ELSE state END AS trust FROM p""")
 def trust_steps(spark, sf_dir):
-    """The trust state machine; requests are inert once trusted."""
+    """The trust state machine; requests are inert once trusted."""
     i = F.col("event_id")
     state = F.get(F.array(F.lit("trusted"), F.lit("pending_in"), F.lit("revoked"), F.lit(None)), (i % 4).cast("int"))
     action = F.get(F.array(*map(F.lit, ("request", "approve", "reject", "revoke"))), (F.floor(i / 4) % 4).cast("int"))
@@ -583,7 +591,7 @@ def process_matches(spark, sf_dir):
 @query(f"""{SQL}, a AS (SELECT '/w/' || (user_id % 6) AS cwd, 'name-' || event_id AS name, event_id AS n FROM events)
     SELECT session_id, live.cwd, alias FROM live LEFT JOIN (SELECT cwd, max_by(name, n) AS alias FROM a GROUP BY 1) x ON live.cwd = x.cwd""")
 def aliased_sessions(spark, sf_dir):
-    """The latest alias of a folder."""
+    """The latest alias of a folder."""
     from colloquy.operators import names
 
     e = table(spark, sf_dir, "events")

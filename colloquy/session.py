@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    It is read from ``spark.checkpoint.dir``; only when that is unset (tests on one machine) is a
-    local folder made up and remembered in the session.
+    It is read from ``spark.checkpoint.dir``; only when that is unset and all of Spark runs in one
+    process (tests) is a local folder made up and remembered in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -45,11 +48,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/colloquy-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder and read it back.
+
+    With ``folders`` the rows lie in one folder for each value of these columns, which filters on them prune.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,8 +65,9 @@ def forget(df: DataFrame) -> None:
     root = scratch_root(spark)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    # folders of a partitioned table lie below the table's own
+    folders = {re.sub(r"(/colloquy-[^/]+)/.*$", r"\1", f) for f in df.inputFiles()}
     for folder in folders:
-        if "/colloquy-" in folder and root.split(":", 1)[-1] in folder:
+        if "/colloquy-" in folder and root.split(":", 1)[-1].lstrip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)

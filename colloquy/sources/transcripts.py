@@ -13,6 +13,8 @@ from colloquy.sources.descriptors import Descriptor
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 DIGEST_CHARS, TITLE_CHARS = 80, 200
+#: Files that one scan reads at most; what is left out is noted.
+FILE_BUDGET = 5000
 
 
 def safe_native_id(native_id: str) -> bool:
@@ -29,33 +31,89 @@ def native_id(path: Column, rule: str) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), stem)
 
 
-def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None) -> DataFrame:
-    """Complete lines of all transcript files: ``path``, ``mtime``, ``pos``, ``value``.
-
-    Files lie exactly ``dir_depth`` folders below the root, or in folders named ``nested_dir`` at any
-    depth. Whole files are read as binary so that bytes after the last line feed are left out.
-    ``since_ms`` prunes files by modification time, ``only`` by native id, both before reading.
-    """
+def _pruned(reader, d: Descriptor, since_ms: int | None, only: str | None, suffix: str):
+    """A file reader that lists only wanted names and times."""
     if only is not None and not safe_native_id(only):
         raise ValueError(f"not a session id: {only!r}")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{only}*.jsonl" if only else "*.jsonl")
+    name = re.sub(r"([\[\]{}*?,])", r"\\\1", only) if only else ""
+    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{name}*{suffix}" if only else f"*{suffix}")
     if since_ms is not None:
         import datetime as dt
 
         stamp = dt.datetime.fromtimestamp(since_ms // 1000, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
         reader = reader.option("modifiedAfter", stamp).option("timeZone", "UTC")
-    files = reader.load(root)
+    return reader
+
+
+def _wanted(path: Column, root: str, d: Descriptor, only: str | None) -> Column:
+    """Whether a file lies where this format keeps its transcripts."""
     base = re.sub(r"^\w+:(//)?", "", root).rstrip("/")
-    inner = F.regexp_extract("path", re.escape(base) + "/(.*)$", 1)
+    inner = F.regexp_extract(path, re.escape(base) + "/(.*)$", 1)
     wanted = F.size(F.split(inner, "/")) == d.dir_depth + 1
     if d.nested_dir:
         wanted = wanted | F.rlike(inner, F.lit(f"(^|/){re.escape(d.nested_dir)}/[^/]+$"))
-    files = files.where(wanted)
-    if only is not None:
-        files = files.where(native_id(F.col("path"), d.native_id) == only)
-    whole = F.regexp_replace(F.decode("content", "ISO-8859-1"), r"[^\n]*\z", "")
-    rows = files.select("path", F.unix_millis("modificationTime").alias("mtime"), F.posexplode(F.split(whole, "\n")).alias("pos", "raw"))
-    return rows.select("path", "mtime", F.col("pos").cast("long").alias("pos"), F.try_validate_utf8(F.encode("raw", "ISO-8859-1").cast("string")).alias("value")).where("value is not null and trim(value) <> ''")
+    return wanted if only is None else wanted & (native_id(path, d.native_id) == only)
+
+
+def files(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl") -> DataFrame:
+    """The transcript files as listed: ``path``, ``mtime``, ``size``; contents aren't read."""
+    found = _pruned(spark.read.format("binaryFile"), d, since_ms, only, suffix).load(root)
+    return found.where(_wanted(F.col("path"), root, d, only)).select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def within_budget(found: DataFrame, most: int = FILE_BUDGET) -> tuple[DataFrame, list[str]]:
+    """The files changed last, at most ``most``, and a note if there are more."""
+    total = found.count()
+    notes = [f"only the {most} newest of {total} files were searched"] if total > most else []
+    return found.orderBy(F.col("mtime").desc(), "path").limit(most), notes
+
+
+def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl", kept: DataFrame | None = None) -> DataFrame:
+    """Complete lines of all transcript files: ``path``, ``mtime``, ``pos``, ``value``.
+
+    Files lie exactly ``dir_depth`` folders below the root, or in folders named ``nested_dir`` at any
+    depth. ``since_ms`` prunes files by modification time, ``only`` by native id, both before reading;
+    ``kept`` may hold the files (``path``) to read of these. Large files are split. The lines of a file
+    are numbered by block and place in it; its last line is torn, and left out, when the lines with one
+    line feed each are a byte longer than the file. Files that vanish or can't be read are skipped
+    (see ``unread``); lines that aren't UTF-8 are dropped.
+    """
+    reader = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    raw = _pruned(reader.format("text"), d, since_ms, only, suffix).load(root)
+    # the metadata column percent-encodes paths
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = raw.select(path.alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.where(_wanted(F.col("path"), root, d, only))
+    if kept is not None:
+        rows = rows.join(kept.select("path"), "path", "left_semi")
+    order = Window.partitionBy("path").orderBy("block", "at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"pos": F.row_number().over(order).cast("long") - 1, "used": F.sum(F.octet_length("value").cast("long") + 1).over(so_far), "last": F.lead(F.lit(1)).over(order).isNull()})
+    # a byte order mark at a file's start is not part of any line: three bytes less
+    torn = F.col("last") & (F.col("used") - F.col("size")).isin(1, -2)
+    return rows.where(~torn & F.is_valid_utf8("value")).where("trim(value) <> ''").select("path", "mtime", "pos", "value")
+
+
+def unread(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Listed files (``path``, ``size``) of which no line came although they aren't empty: the failed ones."""
+    return found.where("size > 0").join(rows.select("path").distinct(), "path", "left_anti").select("path", "size")
+
+
+def readable(spark: SparkSession, root: str) -> bool:
+    """Whether a transcript folder exists; one that doesn't is reported, never taken for an empty one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+
+
+def may_hold(rows: DataFrame, query: str) -> DataFrame:
+    """Lines that may hold a literal, told before they are parsed.
+
+    Only a needle that JSON writes in one way is looked for in raw lines: printable ASCII without quote,
+    backslash and slash. For any other all lines stay.
+    """
+    if not query or re.search(r'[^\x20-\x7e]|["\\/]', query):
+        return rows
+    return rows.where(F.contains(F.lower("value"), F.lit(query.lower())))
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:

@@ -45,25 +45,39 @@ class AppendedReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        found = dict(self.seen)
+        found, there = dict(self.seen), set()
         for path in sorted(Path(self.root).rglob("*.jsonl")):
             try:
                 stat = os.stat(path)
                 key = str(stat.st_ino)
                 known = found.get(key, ["", 0])[1]
+                if stat.st_size < known:  # written anew under the same inode
+                    known = 0
+                    found[key] = [str(path), 0]
                 if stat.st_size > known:
                     found[key] = [str(path), complete_bytes(str(path), stat.st_size, known)]
+                there.add(key)
             except OSError:  # gone meanwhile; it is looked at again in the next batch
                 continue
-        self.seen = found
-        return found
+        # files that are gone need no offset any more
+        self.seen = {k: v for k, v in found.items() if k in there}
+        return self.seen
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return [Piece(path, start.get(k, ["", 0])[1], stop) for k, (path, stop) in end.items() if stop > start.get(k, ["", 0])[1]]
+        out = []
+        for k, (path, stop) in end.items():
+            known = start.get(k, ["", 0])[1]
+            low = 0 if stop < known else known
+            if stop > low:
+                out.append(Piece(path, low, stop))
+        return out
 
     def read(self, piece: Piece):
-        mtime = int(os.stat(piece.path).st_mtime * 1000)
-        with open(piece.path, "rb") as f:
+        try:
+            mtime, f = int(os.stat(piece.path).st_mtime * 1000), open(piece.path, "rb")
+        except OSError:  # gone since the batch was planned; its lines are lost with it
+            return
+        with f:
             f.seek(piece.start)
             at = piece.start
             while at < piece.stop:
@@ -91,6 +105,15 @@ class Appended(DataSource):
         return AppendedReader(self.options)
 
 
+def watch(rows, write, checkpoint: str, every: str = "250 milliseconds"):
+    """Start a stream that hands every batch of appended lines to ``write``.
+
+    Each batch lists the folder anew, so nothing depends on notices that may get lost; a batch that
+    fails is run again from its checkpoint when the stream is started again.
+    """
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def lines(spark, folder: str):
     """The stream of appended lines, in the columns the transcript parser takes."""
     spark.dataSource.register(Appended)
