@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and reads
 them back for the next one.
+
+Defined cases, the same for all stages: ids, texts and any other column may be null; a null or empty text
+has no letters and goes in the first stage; repeated rows are treated alike, and of equal rows of a class
+one stays; further columns pass through all stages but the last, whatever their names are, which returns
+pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontamination, jaccard_join, langid, line_dedup, packing
-from colloquy.llm.queries import RANKS, VOCABULARY
+from colloquy.llm.queries import vocabulary
 from colloquy.session import materialize, ship, table
 
 #: Lines found in so many documents go.
@@ -48,20 +53,22 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     also decides between different texts of one id.
     """
     ship(spark)
+    # a row's own columns travel in one struct, so that no name of theirs meets one of these
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("whole"))
     classes = jaccard_join.join_classes(docs.select(key.alias("doc_id"), "text"))
-    many = classes.where("class_size > 1").select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class"))
-    many = materialize(many.groupBy("_key", "_class").agg(F.count(F.lit(1)).alias("_rows")), "classes")
-    ids = docs.select(key.alias("_key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", jaccard_join.text_key(F.col("text")).alias("text"), key.alias("key")).alias("_id"))
-    first = many.join(ids, "_key").groupBy("_class").agg(F.min("_id")["key"].alias("_key"))
-    marked = materialize(many.join(first.withColumn("_first", F.lit(True)), ["_class", "_key"], "left"), "marked")
-    gone = marked.where("_first is null").select("_key").distinct()
+    many = classes.where("class_size > 1").select(F.col("doc_id").alias("key"), F.col("component_id").alias("class"))
+    many = materialize(many.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows")), "classes")
+    ids = rows.select("key", F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64("whole").alias("text"), F.col("key").alias("k")).alias("rank"))
+    first = many.join(ids, "key").groupBy("class").agg(F.min("rank")["k"].alias("key"))
+    marked = materialize(many.join(first.withColumn("first", F.lit(True)), ["class", "key"], "left"), "marked")
+    gone = marked.where("first is null").select("key").distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.withColumn("_key", key).join(gone, "_key", "left_anti").drop("_key")
-    if marked.where("_first and _rows > 1").isEmpty():
-        return kept.select(*docs.columns)
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = rows.join(gone, "key", "left_anti")
+    if not marked.where("first and rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["id", "whole"])
+    return kept.select("row.*")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +80,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: pieces of sequences of at most 2048 tokens."""
     ship(spark)
-    pieces = packing.pack(docs, VOCABULARY, RANKS, size=2048)
+    pieces = packing.pack(docs, vocabulary, size=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
