@@ -4,39 +4,48 @@ A benchmark item counts as contained in a document when some stretch of the docu
 within ``edits`` (a fifth of the item's words) word edits of it. Words are lower-cased, stripped of
 punctuation at both ends, and left out when nothing remains.
 
-Windows of the item's size are tried where the document shares enough word trigrams with the item.
-By the q-gram lemma a stretch within k edits of an item of w words keeps at least w - 2 - 3k of its
-trigrams, so no window is lost by that. Every such window and the item are embedded by a CGK
-random walk (at each step the current word is written, and a random bit of step and word says
-whether to go on to the next), which maps edit distance to Hamming distance. Repeated samples of
-``SAMPLE_BITS`` embedded positions are compared: a window is a candidate if one whole sample is equal.
-With ``WALKS * SAMPLES`` repetitions this finds a window at the largest distance with at least
-``TARGET_RECALL`` (measured in the tests); the candidates are then verified by exact alignment.
+Items of more than ``LONG`` words are sought by pieces of at most ``PIECE`` words: of an item within its
+edits at least one piece is within a fifth of its own words. Windows of a piece's size are laid over a
+document wherever it holds enough word trigrams of pieces of that size: by the q-gram lemma a stretch
+within k edits of w words keeps at least w - 2 - 3k trigrams, so no window is lost by that, and most
+documents have none. Every window is embedded by CGK random walks (at each step the current word is
+written, and a random bit of step and word says whether to go on to the next), which map edit distance to
+Hamming distance. The benchmark's pieces lie in hash tables under ``SAMPLES`` random samples of
+``SAMPLE_BITS`` embedded positions for each walk; the pieces found under a window's samples are its
+candidates. The number of walks for a size is drawn from ``TARGET_RECALL`` and from how often one walk
+finds a piece of that size at the largest distance (simulated with a fixed seed). Candidate windows of
+an item that overlap are joined, and the item is aligned with the joined stretch exactly.
 
 Items travel to the tasks in blocks of at most ``BLOCK_BYTES``; the documents are read once per block.
 The job is a map over documents without any shuffle.
 
-Defined cases: null or empty texts contain nothing; items of fewer than ``MIN_WORDS`` words are not
-looked for (they are phrases that occur anywhere); repeated documents are reported each, repeated
-items once per item id; null ids stay null; other columns are ignored; empty tables give no rows.
+Defined cases: null or empty texts contain nothing; items of fewer than ``min_words`` words (3 unless
+stated) are not looked for, as they are phrases that occur anywhere; with a lower bound, items of one or
+two words are looked for as they are, without edits; repeated documents are reported each, repeated
+items once per item id; null ids stay null; ids are integers (other types are cast to long); other
+columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import WordIds, grams
+from colloquy.llm.words import WordIds, grams, mix
 from colloquy.session import materialize
 
 EDIT_SHARE = 0.2
 MIN_WORDS = 3
-WALKS, SAMPLES, SAMPLE_BITS = 4, 24, 3
+LONG, PIECE = 60, 40
+SAMPLES, SAMPLE_BITS, MOST_WALKS = 24, 3, 12
 TARGET_RECALL = 0.95
+_TRIALS = 48
+_STEP = 2048
 BLOCK_BYTES = 16_000_000
 #: Up to this many hits (8 bytes each) are broadcast to the anti-join, more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -90,17 +99,35 @@ def samples(width: int) -> np.ndarray:
     return np.random.default_rng(width).integers(0, width, (SAMPLES, SAMPLE_BITS))
 
 
-def candidates(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which windows agree with the item on a whole sample of embedded positions."""
-    found = np.zeros(len(windows), bool)
-    pick = samples(2 * len(item))
-    for walk in range(WALKS):
-        rest = np.flatnonzero(~found)
-        if not len(rest):
-            break
-        same = embed(windows[rest], walk) == embed(item[None, :], walk)
-        found[rest] = same[:, pick].all(2).any(1)
-    return found
+def sample_keys(embedded: np.ndarray, walk: int) -> np.ndarray:
+    """The key of each row of embedded words under each sample; 0 where a sample reaches beyond the end."""
+    picked = embedded[:, samples(embedded.shape[1])]
+    key = np.arange(SAMPLES, dtype=np.uint64)[None, :] + np.uint64(SAMPLES * walk)
+    for i in range(SAMPLE_BITS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + picked[:, :, i])
+    return np.where((picked == 0).any(2), np.uint64(0), key | np.uint64(1))
+
+
+@lru_cache(512)
+def walks(words: int, edits: int) -> int:
+    """Walks that find a piece within so many mixed edits with ``TARGET_RECALL``, a quarter of its misses being planned for."""
+    if not edits:
+        return 1
+    rng = np.random.default_rng(1000 * words + edits)
+    one, two = rng.integers(1, 1 << 63, (_TRIALS, words), dtype=np.uint64), np.zeros((_TRIALS, words), np.uint64)
+    for r in range(_TRIALS):
+        own = one[r].tolist()
+        for _ in range(edits):
+            at, kind = int(rng.integers(0, len(own))), int(rng.integers(0, 3))
+            own[at : at + (kind != 1)] = [int(rng.integers(1, 1 << 63))] if kind != 2 or len(own) == 1 else []
+        own = (own + rng.integers(1, 1 << 63, words).tolist())[:words]
+        two[r] = np.array(own, np.uint64)
+    found = 0
+    for walk in range(2):
+        a, b = sample_keys(embed(one, walk), walk), sample_keys(embed(two, walk), walk)
+        found += int(((a == b) & (a != 0)).any(1).sum())
+    miss = 1 - min(0.99, max(0.05, found / (2 * _TRIALS)))
+    return min(MOST_WALKS, max(2, int(np.ceil(np.log((1 - TARGET_RECALL) / 4) / np.log(miss)))))
 
 
 def alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -123,86 +150,136 @@ def alignment(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+class Pieces:
+    """The pieces of one size, in hash tables under the samples of their embeddings."""
+
+    def __init__(self, words: int, edits: int, rows: list[tuple[int, int, np.ndarray]]):
+        self.size, self.edits, self.need = words, edits, max(1, words - 2 - 3 * edits)
+        self.item, self.offset = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        whole = np.stack([r[2] for r in rows])
+        self.tables = []
+        for walk in range(walks(words, edits)):
+            key = sample_keys(embed(whole, walk), walk)
+            owner = np.repeat(np.arange(len(rows)), SAMPLES)[key.ravel() != 0]
+            key = key.ravel()[key.ravel() != 0]
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], owner[order]))
+
+    def windows(self, hit: np.ndarray, words: int) -> np.ndarray:
+        """Where windows begin that hold enough trigrams of pieces of this size."""
+        at = np.flatnonzero(hit)
+        if len(at) < self.need:
+            return at[:0]
+        reach = self.size + self.edits
+        begin = np.arange(max(0, int(at[0]) - reach), int(at[-1]) + 1)
+        many = np.searchsorted(at, begin + reach - 2, "left") - np.searchsorted(at, begin, "left")
+        return begin[(many >= self.need) & (begin < words)]
+
+    def candidates(self, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where a window begins, piece) for all pieces that share a sample with a window."""
+        padded = np.concatenate([doc, np.zeros(self.size + 1, np.uint64)])
+        found = []
+        for low in range(0, len(begin), _STEP):
+            some = begin[low : low + _STEP]
+            windows = padded[some[:, None] + np.arange(self.size)]
+            for walk, (keys, owner) in enumerate(self.tables):
+                mine = sample_keys(embed(windows, walk), walk).ravel()
+                first, past = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                for i in np.flatnonzero((past > first) & (mine != 0)):
+                    found.append(np.stack([np.full(past[i] - first[i], some[i // SAMPLES]), owner[first[i] : past[i]]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pairs[:, 0], pairs[:, 1]
+
+
 class Items:
-    """Benchmark items of one block with an index of their trigrams."""
+    """Benchmark items of one block with an index of their pieces' trigrams."""
 
-    def __init__(self, rows: list[tuple], share: float):
+    def __init__(self, rows: list[tuple], share: float, min_words: int = MIN_WORDS):
         words = PlainWords()
-        self.ids, self.words, self.most, self.need = [], [], [], []
-        self.where: dict[int, list[tuple[int, int]]] = {}
+        self.ids, self.words, self.most = [], [], []
+        pieces: dict[int, list] = {}
+        where: dict[int, int] = {}
+        self.short: dict[tuple, list[int]] = {}
         for item_id, text in rows:
             seq = words.sequence(text)
-            if len(seq) < MIN_WORDS:
+            if len(seq) < max(1, min_words):
                 continue
-            k = allowed_edits(len(seq), share)
             number = len(self.ids)
             self.ids.append(item_id)
             self.words.append(seq)
-            self.most.append(k)
-            self.need.append(max(1, len(seq) - 2 - 3 * k))
-            for offset, g in enumerate(grams(seq, 3).tolist()):
-                self.where.setdefault(g, []).append((number, offset))
+            self.most.append(allowed_edits(len(seq), share))
+            if len(seq) < MIN_WORDS:
+                self.short.setdefault(tuple(seq.tolist()), []).append(number)
+                continue
+            parts = 1 if len(seq) <= LONG else -(-len(seq) // PIECE)
+            cuts = [len(seq) * i // parts for i in range(parts + 1)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                pieces.setdefault(high - low, []).append((number, low, seq[low:high]))
+                for g in grams(seq[low:high], 3).tolist():
+                    where[g] = where.get(g, 0) | 1 << (high - low)
+        self.pieces = {n: Pieces(n, allowed_edits(n, share), some) for n, some in pieces.items()}
+        self.grams = np.array(sorted(where), np.uint64)
+        self.sizes = np.array([where[g] for g in self.grams.tolist()], np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        keys = np.fromiter(self.where, np.uint64, len(self.where))
-        self.filter[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.filter[(self.grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
     def search(self, doc: np.ndarray) -> list[tuple]:
         """(item number, edits, first word, past last word) of the best stretch for each item contained."""
-        if len(doc) < MIN_WORDS:
-            return []
+        out = self._short(doc) if self.short else []
+        if len(doc) < MIN_WORDS or not len(self.grams):
+            return out
         g = grams(doc, 3)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for q in np.flatnonzero(self.filter[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]):
-            for number, offset in self.where.get(int(g[q]), ()):
-                hits.setdefault(number, []).append((int(q), offset))
-        out = []
-        for number, pairs in hits.items():
-            w, k = len(self.words[number]), self.most[number]
-            if len(pairs) < self.need[number]:
-                continue
-            pairs.sort()
-            at = np.array([q for q, _ in pairs])
-            # enough trigrams of the item inside one stretch of its size
-            close = np.searchsorted(at, at + w + k, "left") - np.arange(len(at)) >= self.need[number]
-            if not close.any():
-                continue
-            reach = np.searchsorted(at, at + w + k, "left")
-            used = np.zeros(len(at) + 1, np.int64)
-            np.add.at(used, np.flatnonzero(close), 1)
-            np.add.at(used, reach[close], -1)
-            kept = np.cumsum(used)[:-1] > 0
-            begins = np.unique([q - o + d for (q, o), keep in zip(pairs, kept, strict=True) if keep for d in (-1, 0, 1)])
-            best = self._verify(number, doc, begins)
+        maybe = np.flatnonzero(self.filter[(g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        if not len(maybe):
+            return out
+        at = np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)
+        sizes = np.where(self.grams[at] == g[maybe], self.sizes[at], np.uint64(0))
+        regions: dict[int, list[tuple[int, int]]] = {}
+        for n in np.flatnonzero(np.bitwise_or.reduce(sizes) >> np.arange(64, dtype=np.uint64) & np.uint64(1)).tolist():
+            own = self.pieces[n]
+            hit = np.zeros(len(g), bool)
+            hit[maybe[(sizes >> np.uint64(n) & np.uint64(1)).astype(bool)]] = True
+            begin = own.windows(hit, len(doc))
+            for b, piece in zip(*own.candidates(doc, begin), strict=True) if len(begin) else ():
+                item = int(own.item[piece])
+                k, first = self.most[item], int(b) - int(own.offset[piece])
+                regions.setdefault(item, []).append((max(0, first - 2 * k - 1), min(len(doc), first + len(self.words[item]) + 2 * k + 1)))
+        for item, spans in regions.items():
+            best = self._verify(item, doc, spans)
             if best:
-                out.append((number, *best))
+                out.append((item, *best))
+        return out
+
+    def _short(self, doc: np.ndarray) -> list[tuple]:
+        """Items of one or two words, as they are."""
+        out = []
+        for n in {len(k) for k in self.short}:
+            for i in range(len(doc) - n + 1):
+                for number in self.short.get(tuple(doc[i : i + n].tolist()), ()):
+                    out.append((number, 0, i, i + n))
         return out
 
-    def _verify(self, number: int, doc: np.ndarray, begins: np.ndarray) -> tuple | None:
-        item, k = self.words[number], self.most[number]
-        w, best = len(item), None
-        padded = np.concatenate([doc, np.zeros(w + 1, np.uint64)])
-        begins = np.unique(np.clip(begins, 0, len(doc) - 1))
-        for low in range(0, len(begins), 4096):
-            some = begins[low : low + 4096]
-            windows = padded[some[:, None] + np.arange(w)]
-            past = -1
-            for b in some[candidates(item, windows)]:
-                if b < past:
-                    continue
-                left, right = max(0, b - k), min(len(doc), b + w + k)
-                cost, first, last = alignment(item, doc[left:right])
-                past = b + 1
-                if cost <= k and (best is None or cost < best[0]):
-                    best = (cost, left + first, left + last)
-                    if cost == 0:
-                        return best
+    def _verify(self, number: int, doc: np.ndarray, spans: list[tuple[int, int]]) -> tuple | None:
+        """Exact alignment of an item with every joined stretch of its candidates."""
+        best, joined = None, []
+        for low, high in sorted(spans):
+            if joined and low <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], high)
+            else:
+                joined.append([low, high])
+        for low, high in joined:
+            cost, first, last = alignment(self.words[number], doc[low:high])
+            if cost <= self.most[number] and (best is None or cost < best[0]):
+                best = (cost, low + first, low + last)
+                if cost == 0:
+                    break
         return best
 
 
 _WORKER: dict = {}
 
 
-def find(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row (``SCHEMA``) for each document and benchmark item it contains, with the least edits and the place."""
     spark = docs.sparkSession
     sized = benchmark.select("item_id", "text").where("text is not null")
@@ -212,13 +289,13 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> Da
     found = None
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in numbered.where(F.col("b") == b).select("item_id", "text").distinct().collect()]
-        part = _search(spark, docs, rows, share)
+        part = _search(spark, docs, rows, share, min_words)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search(spark, docs: DataFrame, rows: list[tuple], share: float) -> DataFrame:
-    shared = spark.sparkContext.broadcast((rows, share))
+def _search(spark, docs: DataFrame, rows: list[tuple], share: float, min_words: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast((rows, share, min_words))
     token = uuid.uuid4().hex
 
     def run(batches):
@@ -246,4 +323,5 @@ def remove(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) ->
     hit = materialize(find(docs.withColumn("doc_id", key), benchmark, share).select(F.col("doc_id").alias("_hit")).distinct(), "leaks")
     if hit.count() <= BROADCAST_ROWS:
         hit = F.broadcast(hit)
-    return docs.withColumn("_key", key).join(hit, F.col("_key") == F.col("_hit"), "left_anti").drop("_key")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(hit, F.col("key") == F.col("_hit"), "left_anti").select("row.*")
