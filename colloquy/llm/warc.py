@@ -5,15 +5,19 @@ an equal payload is archived under a smaller page id, a ``revisit`` that refers
 written by Spark's own text writer with the record separator as its line separator, so they land on
 whatever file system the shared folder is on, committed like any Spark output.
 
-Indexing: every archive is read back and parsed by its content lengths; a task sorts the captures it
-read into a run by (URL key, timestamp, page id). The runs are cut at the same key bounds; for each
-range the k sorted slices are merged by a loser tree, which gives globally ordered capture
-histories. The bounds come from a bounded sample of keys (``SAMPLE_KEYS``) and hold page ids, so a
-host or URL with a third of all captures is split like any other range.
+Indexing: every archive is read back once and parsed by its content lengths; a task sorts the captures of
+an archive into a run by (URL key, timestamp, page id) and writes it, each row with its place in the run.
+The runs are cut at the same key bounds; a range's rows come back run by run in their places (by Spark's
+sort, which spills), and its k sorted slices are merged by a loser tree, which gives globally ordered
+capture histories (``range_id``, ``position``). The number of ranges follows the number of captures, about
+``RANGE_ROWS`` each, so a task holds that many at any size. The bounds come from a sample of
+``KEYS_PER_RANGE`` keys a range and hold page ids, so a host or URL with a third of all captures is split
+like any other range.
 
 Defined cases: a null html is the empty payload; a null url is empty; line breaks in a URL are
 percent-encoded; of rows that repeat the smallest page id of a payload each is a response; a page
-without an id is always a response; other columns are ignored; an empty table gives an empty index.
+without an id is always a response; page ids are integers; other columns are ignored; an empty table
+gives an empty index. No archive file exceeds ``FILE_BYTES`` but for one with a single larger page.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.session import materialize, scratch_path
+from colloquy.session import forget, materialize, scratch_path
 
 END = "\r\n\r\n"
-#: Rows an archive file holds at most, and keys that are drawn to place the range bounds.
-ROWS_PER_FILE = 4000
-SAMPLE_KEYS = 20_000
+#: Rows and bytes an archive file holds at most.
+ROWS_PER_FILE, FILE_BYTES = 4000, 1_000_000_000
+#: Captures a range aims at, and keys that are drawn for each to place the bounds.
+RANGE_ROWS, KEYS_PER_RANGE = 50_000, 50
 #: Up to this many revisits (16 bytes each) are broadcast to the writer, more are shuffled.
 BROADCAST_ROWS = 200_000
 #: Captures are dated from this second on, one second for each page id, as pages carry no time.
 EPOCH = 1_704_067_200
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n")
 CDX = "url_key string, captured_at long, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
 
 
@@ -110,16 +116,22 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             out = [record(p, u or "", (h or "").encode(), r).decode() for p, u, h, r in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    refs = materialize(originals(pages, min_bytes).withColumnRenamed("page_id", "_p"), "refs")
+    refs = kept = materialize(originals(pages, min_bytes).withColumnRenamed("page_id", "_p"), "refs")
     if refs.count() <= BROADCAST_ROWS:
         refs = F.broadcast(refs)
     known = pages.select(F.col("page_id").cast("long"), "url", "html")
     rows = known.join(refs, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "refers_to")
-    rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    in_file = max(1, min(ROWS_PER_FILE, FILE_BYTES // (longest + 4096)))
+    rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", in_file).text(path)
+    forget(kept)
 
 
 def captures(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives under ``path``, each archive's entries sorted into a run (``run``)."""
+    """Index entries of all archives under ``path``, each archive's entries sorted into a run (``run``, ``rank``).
+
+    A revisit has no payload; its size is stated by the HTTP header that it keeps.
+    """
 
     def read(batches):
         for b in batches:
@@ -134,12 +146,12 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                     if whole and digest_of(payload) != stated:
                         raise ValueError(f"the payload of page {pid} in {name} is damaged")
                     page = None if pid == "null" else int(pid)
-                    rows.append((url_key(heads["WARC-Target-URI"]), EPOCH + (page or 0) % 10**10, page, heads["WARC-Type"], stated, len(payload) if whole else None, int(ref[len("<urn:page:") : -1]) if ref else None, name, offset, length))
+                    rows.append((url_key(heads["WARC-Target-URI"]), EPOCH + (page or 0) % 10**10, page, heads["WARC-Type"], stated, len(payload) if whole else int(_LENGTH.search(block)[1]), int(ref[len("<urn:page:") : -1]) if ref else None, name, offset, length))
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0))
                 yield _batch(rows, name)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(read, CDX + ", run string")
+    return files.mapInArrow(read, CDX + ", run string, rank long")
 
 
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -150,7 +162,7 @@ def _batch(rows: list[tuple], run: str | None = None) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(_NAMES)
     arrays = [pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)]
     if run is not None:
-        return pa.RecordBatch.from_arrays([*arrays, pa.array([run] * len(rows), pa.string())], [*_NAMES, "run"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([run] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64())], [*_NAMES, "run", "rank"])
     return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
@@ -196,10 +208,10 @@ def merge_index(entries: DataFrame, ranges: int = 0) -> DataFrame:
     """All entries in global order of (URL key, time, page id): ``CDX`` columns, ``range_id`` and ``position`` in it."""
     spark = entries.sparkSession
     total = entries.count()
-    ranges = ranges or max(1, min(4096, total // 20_000 + 1))
-    share = min(1.0, SAMPLE_KEYS / max(1, total))
+    ranges = ranges or total // RANGE_ROWS + 1
+    share = min(1.0, ranges * KEYS_PER_RANGE / max(1, total))
     draw = F.pmod(F.xxhash64("url_key", "page_id", "archive", "offset"), F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn = sorted((r["url_key"], r["captured_at"], r["page_id"] or 0) for r in entries.where(draw).select("url_key", "captured_at", "page_id").collect())
+    drawn = sorted((r["url_key"], r["captured_at"], r["page_id"] or 0) for r in entries.where(draw).select("url_key", "captured_at", "page_id").toLocalIterator()) if ranges > 1 else []
     bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
     shared = spark.sparkContext.broadcast(bounds)
 
@@ -209,26 +221,36 @@ def merge_index(entries: DataFrame, ranges: int = 0) -> DataFrame:
         for b in batches:
             keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
             where = [bisect_right(shared.value, (k, t, p or 0)) for k, t, p in keys]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.int64()), pa.array(range(b.num_rows), pa.int64())], [*b.schema.names, "range_id", "rank"])
-
-    dealt = entries.mapInArrow(deal, CDX + ", run string, range_id long, rank long").repartition(max(1, len(bounds) + 1), "range_id")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.int64())], [*b.schema.names, "range_id"])
+
+    dealt = entries.mapInArrow(deal, CDX + ", run string, rank long, range_id long")
+    dealt = dealt.repartition(max(1, len(bounds) + 1), "range_id").sortWithinPartitions("range_id", "run", "rank")
+    order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
+
+    def merged(number: int, slices: list[list[tuple]]):
+        rows, at = [], 0
+        for r in LoserTree(slices, order):
+            rows.append((*r[:10], number, at))
+            at += 1
+            if len(rows) == 5000:
+                yield _positions(rows)
+                rows = []
+        yield _positions(rows)
 
     def merge(batches):
-        runs: dict = {}
+        number, run, slices = None, None, []
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                runs.setdefault((r[11], r[10]), []).append(r)
-        order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
-        for number in sorted({k[0] for k in runs}):
-            slices = [sorted(runs.pop(k), key=order) for k in sorted(k for k in runs if k[0] == number)]
-            rows, at = [], 0
-            for r in LoserTree(slices, order):
-                rows.append((*r[:10], number, at))
-                at += 1
-                if len(rows) == 5000:
-                    yield _positions(rows)
-                    rows = []
-            yield _positions(rows)
+                if r[12] != number:
+                    if slices:
+                        yield from merged(number, slices)
+                    number, run, slices = r[12], None, []
+                if r[10] != run:
+                    run = r[10]
+                    slices.append([])
+                slices[-1].append(r)
+        if slices:
+            yield from merged(number, slices)
 
     return dealt.mapInArrow(merge, CDX + ", range_id long, position long")
 
@@ -239,15 +261,8 @@ def _positions(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def archive_and_index(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write all pages to archives in the shared folder, read them back, and index them in order.
-
-    A revisit's payload size is that of the response it refers to.
-    """
+    """Write all pages to archives in the shared folder, read them back once, and index them in order."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write(pages, path, min_bytes)
-    index = merge_index(captures(spark, path))
-    full = index.where("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n"))
-    full = full.groupBy("_p", "_d").agg(F.max("_n").alias("_n"))
-    out = index.join(full, (F.col("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
-    return out.withColumn("payload_bytes", F.coalesce("payload_bytes", "_n")).drop("_p", "_d", "_n")
+    return merge_index(materialize(captures(spark, path), "captures"))
