@@ -8,8 +8,10 @@ At the end the runs are merged once more and every line whose key reached the li
 
 A line's key is the line without white space (``\\x20\\x09-\\x0D``) at both ends and with A-Z lower-cased.
 Only built-in DataFrame functions are used. The count of a key is pre-aggregated before each
-shuffle, so a line that occurs everywhere is a handful of rows; joins on the key are plain sort-merge
-joins that adaptive execution splits where a key is hot.
+shuffle, so a line that occurs everywhere is a handful of rows. The lines are written once, in a folder
+for each batch. The keys that go are written too, and broadcast to the lines when they are few enough
+(``BROADCAST_ROWS``); beyond that both sides of a plain sort-merge join are read from files, so that
+adaptive execution splits the rows of a hot line.
 
 Defined cases: a null or empty text is one empty line; empty keys never go; a document is identified
 by its ``doc_id`` and text, so a repeated row counts once and every copy of it is treated alike; an
@@ -26,6 +28,8 @@ from colloquy.session import forget, materialize
 #: Batches a whole table is fed in, and runs of one level that are compacted into the next.
 BATCHES = 4
 FAN_IN = 2
+#: Up to this many keys that go (16 bytes each) are broadcast.
+BROADCAST_ROWS = 200_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -77,27 +81,46 @@ class LineRuns:
             for r in old:
                 forget(r)
 
+    def forget(self) -> None:
+        """Delete all runs."""
+        for level in self.levels:
+            for run in level:
+                forget(run)
+        self.levels = []
+
     def frequent(self) -> DataFrame:
         runs = [r for level in self.levels for r in level]
         return self._merged(runs).where(F.col("n") >= self.min_docs).select("h1", "h2")
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """Lines but those at the ascending positions ``gone``: the stretches between them, put together."""
+    first = lambda i: F.when(i == 0, 0).otherwise(F.get(gone, i - 1) + 1)
+    past = lambda i: F.coalesce(F.get(gone, i), F.size(lines))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.slice(lines, first(i) + 1, past(i) - first(i))))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """``docs`` with repeated lines gone from ``text``, plus ``n_lines`` and ``n_dropped``."""
     batch = F.pmod(F.xxhash64("_id", "_tx"), F.lit(BATCHES)).cast("int")
-    lines = materialize(_lines(docs).withColumn("batch", batch), "lines")
+    lines = materialize(_lines(docs).withColumn("batch", batch), "lines", "batch")
     runs = LineRuns(min_docs)
     for b in range(BATCHES):
         runs.add(lines.where(F.col("batch") == b))
-    gone = lines.join(runs.frequent(), ["h1", "h2"], "left_semi")
-    gone = gone.groupBy("_id", "_tx").agg(F.collect_set("pos").alias("_gone"))
+    frequent = materialize(runs.frequent(), "frequent")
+    runs.forget()
+    few = frequent.count() <= BROADCAST_ROWS
+    gone = lines.join(F.broadcast(frequent) if few else frequent.hint("merge"), ["h1", "h2"], "left_semi")
+    gone = gone.groupBy("_id", "_tx").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # a row's own columns travel in one struct, so that no name of theirs meets one of these
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.drop("n_lines", "n_dropped", "_gone").withColumn("text", text).withColumn("_key", F.xxhash64(text))
-    out = named.join(gone, named["doc_id"].eqNullSafe(gone["_id"]) & (named["_key"] == gone["_tx"]), "left").drop("_id", "_tx", "_key")
-    split = F.split(F.col("text"), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col("doc_id").alias("id"), text.alias("whole"), F.xxhash64(text).alias("key"))
+    out = named.join(gone, named["id"].eqNullSafe(gone["_id"]) & (named["key"] == gone["_tx"]), "left")
+    out = out.select("row", "whole", "at", F.split("whole", "\n", -1).alias("lines"))
+    left = F.when(F.col("at").isNull(), F.col("whole")).otherwise(F.array_join(_without(F.col("lines"), F.col("at")), "\n"))
     return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in out.columns if c != "_gone"],
-        F.size(split).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        *[left.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept],
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("at").isNull(), 0).otherwise(F.size("at")).cast("long").alias("n_dropped"),
     )
