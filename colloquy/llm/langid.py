@@ -3,7 +3,7 @@
 Every learned language gets a codeword; for each bit of it a binary logistic regression over hashed
 byte n-grams (one to three bytes of the lower-cased letters) predicts that bit. Decoding sums, over
 the bits, the logistic loss of each codeword's bit weighted by how well that bit's classifier
-does on the training rows, and takes the codeword with the least loss. The softmax of the negative
+does on labelled rows kept from fitting, and takes the codeword with the least loss. The softmax of the negative
 losses is the score; a text whose two best codewords are nearly tied is flagged ambiguous.
 
 The classifiers are fitted on a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` documents,
@@ -128,8 +128,13 @@ class Model:
 
 
 def fit(languages: list[str], x: np.ndarray, y: np.ndarray) -> Model:
-    """Logistic regressions for all bits by full-batch gradient descent with momentum."""
+    """Logistic regressions for all bits by full-batch gradient descent with momentum.
+
+    Every fifth row is kept back, and each bit's weight is how well its classifier does on these.
+    """
     code = codewords(len(languages))
+    back = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    held_x, held_y, x, y = (x[back], y[back], x[~back], y[~back]) if back.any() else (x, y, x, y)
     target = (code[y] + 1) / 2
     scale = np.float32(1.0) / np.maximum(np.sqrt((x**2).mean(0)), np.float32(1e-4))
     z = x * scale
@@ -142,7 +147,7 @@ def fit(languages: list[str], x: np.ndarray, y: np.ndarray) -> Model:
         vw = 0.9 * vw - step * (z.T @ g + 1e-4 * w)
         vb = 0.9 * vb - 0.05 * step * g.sum(0)
         w, b = w + vw, b + vb
-    right = ((z @ w + b > 0) == (target > 0.5)).mean(0) if len(z) else np.ones(code.shape[1])
+    right = ((held_x * scale @ w + b > 0) == (code[held_y] > 0)).mean(0) if len(held_x) else np.ones(code.shape[1])
     trust = np.clip(2 * right - 1, 0.05, 1.0)
     return Model(languages, code, w * scale[:, None], b, trust)
 
@@ -184,8 +189,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
         return pd.DataFrame([shared.value.decode(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
-    out = docs.withColumn("_d", decide(F.col("text")))
-    return out.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")], "_d.lang_pred", "_d.score", "_d.ambiguous")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), decide(F.col("text")).alias("said"))
+    return out.select("row.*", "said.*")
 
 
 def held_out() -> Column:
