@@ -12,7 +12,7 @@ called through Spark's ``reflect`` function).
 Defined cases: a null text is the empty text; empty texts share one fingerprint; repeated rows get
 the same fingerprint and each its own output row; an empty table gives an empty result; any further
 columns are carried along untouched unless they clash with an output name, in which case the output
-wins; a null ``doc_id`` sorts before all others.
+wins; a null ``doc_id`` sorts before all others; ids of ``edit_report`` are integers.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.session import forget, materialize
+
 #: Rows that one bucket of ascending ids aims at, and the most buckets there can be.
 ROWS_PER_BUCKET = 1024
 MAX_BUCKETS = 1 << 18
@@ -49,36 +51,52 @@ def near(left: Column, left_canon: Column, right: Column, right_canon: Column) -
     return same.cast("double")
 
 
-def collisions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Digests under which different canonical texts meet (``fp``), by comparing bytes in each bucket.
+def _raw(text: Column) -> Column:
+    return F.xxhash64(F.lit("raw"), F.coalesce(text, F.lit("")))
+
+
+def _printed(docs: DataFrame, text: str) -> DataFrame:
+    """All columns in ``row``, the canonical text (``canon``, worked out once) and its digest (``fp``)."""
+    return docs.select(F.struct("*").alias("row"), canonical(F.col(text)).alias("canon")).select("row", "canon", digest(F.col("canon")).alias("fp"))
 
-    Only digests with two or more rows are compared, and in each only the least and the greatest
-    canonical text are kept, so no bucket is ever collected.
+
+def collisions(docs: DataFrame, text: str = "text") -> DataFrame | None:
+    """Digests under which different canonical texts meet (``_met``), by comparing bytes in each bucket.
+
+    The digests are written once, with a hash of the text they come from. Only texts in buckets of two or
+    more rows are read again, and of each bucket only the least and the greatest canonical text are kept,
+    so no bucket is ever collected. None if no bucket holds different texts.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text).alias("_text"), digest(canonical(F.col(text))).alias("fp"))
-    shared = rows.groupBy("fp").count().where("count > 1").select("fp")
+    texts = docs.select(F.col(text).alias("text"))
+    prints = materialize(_printed(texts, "text").select(_raw(F.col("row.text")).alias("raw"), "fp"), "prints")
+    many = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp")
+    shared = materialize(prints.join(many, "fp", "left_semi").select("raw").distinct(), "shared")
+    forget(prints)
     n = shared.count()
-    if n == 0:
-        return spark.createDataFrame([], "fp string")
-    side = F.broadcast(shared) if n <= BROADCAST_ROWS else shared
-    again = rows.join(side, "fp", "left_semi").select("fp", canonical(F.col("_text")).alias("c"))
-    return again.groupBy("fp").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("fp")
+    found = None
+    if n:
+        side = F.broadcast(shared) if n <= BROADCAST_ROWS else shared
+        again = _printed(texts.join(side, _raw(F.col("text")) == F.col("raw"), "left_semi"), "text")
+        met = again.groupBy("fp").agg(F.min("canon").alias("a"), F.max("canon").alias("b")).where("a <> b")
+        met = materialize(met.select(F.col("fp").alias("_met")), "met")
+        found = None if met.isEmpty() else met
+    forget(shared)
+    return found
+
+
+def _longer(rows: DataFrame, met: DataFrame | None, fp: str, canon: str) -> DataFrame:
+    """Digests that different texts share, made distinct by the SHA-256 of the text."""
+    if met is None:
+        return rows
+    out = rows.join(met, F.col(fp) == F.col("_met"), "left")
+    return out.withColumn(fp, F.when(F.col("_met").isNotNull(), F.concat(fp, F.sha2(canon, 256))).otherwise(F.col(fp))).drop("_met")
 
 
 def fingerprint(docs: DataFrame, text: str = "text", exact: bool = True) -> DataFrame:
     """``docs`` with ``fingerprint``; with ``exact`` buckets of equal digests are compared by bytes."""
-    canon = canonical(F.col(text))
-    out = docs.withColumn("fingerprint", digest(canon))
-    if not exact:
-        return out
-    met = collisions(docs, text)
-    if met.isEmpty():
-        return out
-    met = met.withColumnRenamed("fp", "_met")
-    longer = F.concat(F.col("fingerprint"), F.sha2(canon, 256))
-    out = out.join(met, F.col("fingerprint") == F.col("_met"), "left")
-    return out.withColumn("fingerprint", F.when(F.col("_met").isNotNull(), longer).otherwise(F.col("fingerprint"))).drop("_met")
+    met = collisions(docs, text) if exact else None
+    out = _longer(_printed(docs.drop("fingerprint"), text), met, "fp", "canon")
+    return out.select("row.*", F.col("fp").alias("fingerprint"))
 
 
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,29 +125,30 @@ def _buckets(ids: DataFrame, key: str) -> Column:
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(b).cast("long")
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], order: list[str], derive=lambda df: df) -> DataFrame:
     """``docs`` plus ``next_<c>`` of the following row by ascending ``key`` (the last row's is the first's).
 
     Rows are dealt into range buckets of the key, each bucket sorted on its own; only the first row
     of each bucket (at most ``MAX_BUCKETS`` of them) crosses to its predecessor, so nothing is
-    ordered in a single task.
+    ordered in a single task. ``derive`` adds columns that are dear to work out: once for each row, and
+    for the rows that cross.
     """
-    rows = docs.withColumn("_b", _buckets(docs.select(key), key))
+    bucket = _buckets(docs.select(key), key)
+    rows = derive(docs).withColumn("_b", bucket)
     w = Window.partitionBy("_b").orderBy(key, *order)
     for c in columns:
         rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
     rows = rows.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
     # the least row of every bucket, by key first and then by the tie order
-    narrow = docs.select(key, *order).withColumn("_b", _buckets(docs.select(key), key))
-    first = narrow.groupBy("_b").agg(F.min(F.struct(key, *order)).alias("f"))
-    first = first.select("_b", *[F.col("f")[c].alias(f"_f_{c}") for c in (key, *order)])
-    lead_of = first.withColumn("_to", F.lag("_b").over(Window.orderBy("_b")))
-    top = first.agg(F.max("_b").alias("_top"))
-    lead_of = lead_of.crossJoin(F.broadcast(top)).withColumn("_to", F.coalesce("_to", "_top")).drop("_top", "_b")
+    first = docs.select(key, *order).groupBy(bucket.alias("_b")).agg(F.min(F.struct(key, *order)).alias("f"))
+    first = materialize(first.select("_b", *[F.col("f")[c].alias(f"_f_{c}") for c in (key, *order)]), "first")
+    top = first.agg(F.max("_b")).first()[0]
+    # at most MAX_BUCKETS rows of a few numbers
+    lead_of = first.withColumn("_to", F.coalesce(F.lag("_b").over(Window.orderBy("_b")), F.lit(top))).drop("_b")
     heads = docs.join(F.broadcast(lead_of), F.col(key).eqNullSafe(F.col(f"_f_{key}")))
     for c in order:
         heads = heads.where(F.col(c).eqNullSafe(F.col(f"_f_{c}")))
-    heads = heads.groupBy("_to").agg(*[F.first(c).alias(f"_h_{c}") for c in columns])
+    heads = derive(heads).groupBy("_to").agg(*[F.first(c).alias(f"_h_{c}") for c in columns])
     heads = heads.withColumn("_end", F.lit(True))
     out = rows.join(heads, (F.col("_b") == F.col("_to")) & (F.col("_last") == F.col("_end")), "left")
     for c in columns:
@@ -138,23 +157,31 @@ def with_next(docs: DataFrame, key: str, columns: list[str], order: list[str]) -
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text (see the query's contract in ``queries``)."""
+    """Fingerprints of every document and of its edited text (see the query's contract in ``queries``).
+
+    A text is brought to canonical form once to find shared digests, once for its fingerprint and once
+    edited; canonical texts are compared only where digests are equal.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = fingerprint(docs.select("doc_id", text.alias("text")))
-    base = base.withColumn("_tie", F.xxhash64("text"))
-    rows = with_next(base, "doc_id", ["text", "fingerprint"], ["_tie"])
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_tie"))
+    met = collisions(rows)
+
+    def derive(df: DataFrame) -> DataFrame:
+        done = _longer(_printed(df, "text"), met, "fp", "canon")
+        return done.select("row.*", F.col("fp").alias("fingerprint"))
+
+    rows = with_next(rows, "doc_id", ["text", "fingerprint"], ["_tie"], derive)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = rows.withColumn("_edited", edited)
-    canon, canon_edited = canonical(F.col("text")), canonical(F.col("_edited"))
-    rows = rows.withColumn("edited_fingerprint", digest(canon_edited))
-    return rows.select(
+    done = _longer(_printed(rows.withColumn("_edited", edited), "_edited"), met, "fp", "canon")
+    out = done.select("row.*", "canon", F.col("fp").alias("edited_fingerprint"))
+    return out.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        near(F.col("fingerprint"), canon, F.col("edited_fingerprint"), canon_edited).alias("near_edited"),
-        near(F.col("fingerprint"), canon, F.col("next_fingerprint"), canonical(F.col("next_text"))).alias("near_next"),
+        near(F.col("fingerprint"), canonical(F.col("text")), F.col("edited_fingerprint"), F.col("canon")).alias("near_edited"),
+        near(F.col("fingerprint"), canonical(F.col("text")), F.col("next_fingerprint"), canonical(F.col("next_text"))).alias("near_next"),
     )
