@@ -14,15 +14,14 @@ and the open bins. Sequence ids are the partition's number and a counter, so a t
 again gives the same rows.
 
 Defined cases: a null text is empty and has just the end id; a repeated row is packed once per row;
-a null ``doc_id`` stays null; other columns are ignored; an empty table gives an empty result.
+a null ``doc_id`` stays null; ids are integers; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import re
-from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +33,13 @@ OPEN_BINS = 48
 #: Words whose ids a worker remembers before it forgets the older half.
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-#: Fixed value: the pre-token pattern of this vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: New words that are encoded as one text.
+JOINED_WORDS = 1000
 _TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _WORKER: dict = {}
 
 
-def _ranked(path: str):
-    """The encoding of a rank file (a token in base64 and its rank on each line)."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 class WordEncoder:
     """Ids of whole texts, word by word.
 
@@ -57,49 +47,61 @@ class WordEncoder:
     kind of vocabulary, so the ids of a text are those of its first word followed by those of every
     further word with its leading blank. Ids of words seen lately are remembered.
 
-    ``ranks`` may name the same vocabulary as a rank file; new words are then encoded from that,
-    which gives the same ids (see the tests) in a third of the time. Words with a special token in
-    them always go through the tokenizer itself.
+    New words are encoded many at a time as one text, and its ids are cut before every id whose token
+    begins with the blank's sign; words with white space or a special token in them are encoded alone, and
+    so are all when the number of cuts isn't that of the words.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = _ranked(ranks).encode_ordinary if ranks else None
+        size = self.tokenizer.get_vocab_size(True)
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.ranked and not any(t in x for t in self.special for x in texts):
-            one = self.ranked
-            return [array("I", one(x)).tobytes() for x in texts]
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in many(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with their leading blank."""
+        alone = [w for w in words if not w or w[0].isspace() or any(c.isspace() for c in w) or any(t in w for t in self.special)]
+        out = dict(zip(alone, self._encode([" " + w for w in alone]), strict=True)) if alone else {}
+        rest = [w for w in words if w not in out] if alone else words
+        for low in range(0, len(rest), JOINED_WORDS):
+            some = rest[low : low + JOINED_WORDS]
+            raw = self._encode([" " + " ".join(some)])[0]
+            ids = np.frombuffer(raw, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(some) or (len(at) and at[0]):
+                out.update(zip(some, self._encode([" " + w for w in some]), strict=True))
+                continue
+            ends = [*(4 * at[1:]).tolist(), len(raw)]
+            out.update((w, raw[a:b]) for w, a, b in zip(some, (4 * at).tolist(), ends, strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [_CUT.split(t) if _TWO_BLANKS.search(t) else t.split(" ") for t in texts]
         firsts = self._encode([words[0] for words in split])
         new, old = self.new, self.old
-        out = []
-        for first, words in zip(firsts, split, strict=True):
-            words = words[1:]
-            missing = [w for w in set(words) if w not in new]
-            unknown = []
-            for w in missing:
+        # the new words of all these texts are encoded together
+        unknown = []
+        for w in set().union(*[words[1:] for words in split]):
+            if w not in new:
                 if w in old:
                     new[w] = old[w]
                 else:
                     unknown.append(w)
-            if unknown:
-                new.update(zip(unknown, self._encode([" " + w for w in unknown]), strict=True))
-            out.append(first + b"".join(map(new.__getitem__, words)))
-            if len(new) > CACHE_WORDS:
-                self.old, self.new = new, {}
-                new, old = self.new, self.old
+        if unknown:
+            new.update(self._words(unknown))
+        out = [first + b"".join(map(new.__getitem__, words[1:])) for first, words in zip(firsts, split, strict=True)]
+        if len(new) > CACHE_WORDS:
+            self.old, self.new = new, {}
         return out
 
 
@@ -223,9 +225,10 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, cols, strict=True)], list(names))
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int = 2048, max_segments: int = 256, max_loss: int | None = None, end_id: int = 1, loss_tokens: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = 2048, max_segments: int = 256, max_loss: int | None = None, end_id: int = 1, loss_tokens: str | None = None) -> DataFrame:
     """Pieces of documents in sequences (``SCHEMA``); ``ids`` are little-endian unsigned 32-bit.
 
+    ``vocabulary`` is the tokenizer's file, or a function that finds it on the machine of a task.
     ``docs`` has ``doc_id`` and ``text``; ``loss_tokens`` may name a column with the number of
     loss-bearing ids at a document's end (else all are). No sequence holds more than ``size`` ids,
     ``max_segments`` pieces or ``max_loss`` loss-bearing ids.
@@ -234,8 +237,9 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        if _WORKER.get("path") != vocabulary:
-            _WORKER.update(path=vocabulary, encoder=WordEncoder(vocabulary, ranks))
+        path = vocabulary() if callable(vocabulary) else vocabulary
+        if _WORKER.get("path") != path:
+            _WORKER.update(path=path, encoder=WordEncoder(path))
         encoder = _WORKER["encoder"]
         packer = Packer(TaskContext.get().partitionId(), size, max_segments, most)
         for b in batches:

@@ -5,10 +5,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from colloquy.llm import packing
+from colloquy.llm import packing, queries
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = queries.vocabulary()
 
 
 def texts(n, seed=1):
@@ -26,7 +25,6 @@ def tokenizer():
 def test_word_encoder_equals_whole_text_encoding(tokenizer):
     odd = texts(200) + ["", " ", "  ", " a", "a ", "a  b", "\n a \n\n b", "x <|endoftext|> y", "don't  it's", "\u3000 z", "\x85 q \x85"]
     got = packing.WordEncoder(VOCABULARY).encode(odd)
-    assert packing.WordEncoder(VOCABULARY, RANKS).encode(odd) == got
     for t, ids in zip(odd, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
@@ -35,7 +33,7 @@ def test_word_encoder_equals_whole_text_encoding(tokenizer):
 def test_pieces_cover_all_ids_within_all_limits(spark, tokenizer, size, segments, loss):
     rows = [(i, t) for i, t in enumerate(texts(60))] + [(900, None), (901, ""), (902, "twice"), (902, "twice"), (None, "no id")]
     df = spark.createDataFrame([(*r, 3, "x") for r in rows], "doc_id long, text string, marked long, sequence_id string").repartition(3)
-    got = packing.pack(df, VOCABULARY, RANKS, size, segments, loss, loss_tokens="marked" if loss else None).collect()
+    got = packing.pack(df, VOCABULARY, size=size, max_segments=segments, max_loss=loss, loss_tokens="marked" if loss else None).collect()
     want = {}
     for d, t in rows:
         want.setdefault(d, []).append(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])

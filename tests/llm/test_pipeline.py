@@ -71,7 +71,7 @@ def test_stages_equal_brute_force(stages):
     assert leaks == {300}
     now = [x for x in now if x[0] not in leaks]
     assert plain("decontamination") == sorted(now)
-    tok = Tokenizer.from_file(corpus_pipeline.VOCABULARY)
+    tok = Tokenizer.from_file(corpus_pipeline.vocabulary())
     pieces = {}
     for r in result:
         pieces.setdefault(r["doc_id"], []).append(r)
