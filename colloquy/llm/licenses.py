@@ -3,8 +3,8 @@
 A paragraph is a line of a document, or all of several lines without a blank one between them (a wrapped
 notice), once comment leaders are stripped; a line with nothing else is blank. It is described by its distinct word n-grams of one to three words.
 A softmax regression over the sparse n-grams of the licence templates gives each licence family and
-the class ``unknown`` a probability; the probabilities are calibrated by a temperature fitted on held-out
-paragraphs. The predicted family is confirmed when one of its templates has at least ``CONFIRM`` of its
+the class ``unknown`` a probability; the probabilities are calibrated by a temperature fitted on paragraphs
+of templates that a first model has not seen (one of every family with three or more). The predicted family is confirmed when one of its templates has at least ``CONFIRM`` of its
 word trigrams in the paragraph; without that, or when ``unknown`` is likeliest, the family is ``unknown``.
 Reported are all lines with a confirmed family or any of ``MARKS``, and of paragraphs of several lines
 those with a confirmed family that none of their lines has alone; ``lines`` tells how many lines there are.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
 CONFIRM = 0.7
-SAMPLES = 60
+SAMPLES, ROUNDS = 60, 300
 _WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 #: Sentences by which licences are declared, by family.
@@ -40,10 +40,25 @@ TEMPLATES = {
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "agpl-3.0": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    ],
+    "bsd-2-clause": [
+        "Released under the BSD 2-Clause License.",
+        "Licensed under the Simplified BSD License.",
     ],
     "bsd-3-clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the BSD 3-Clause License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "bsl-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0.",
@@ -62,17 +77,40 @@ TEMPLATES = {
         "Creative Commons Attribution-NonCommercial 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "Available under CC-BY-SA-4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "cc0-1.0": [
+        "CC0 1.0 Universal Public Domain Dedication",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    ],
+    "gpl-2.0": [
+        "This program is licensed under the GNU General Public License, version 2.",
+        "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
     "lgpl-3.0": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -85,9 +123,12 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
         "The author has waived all copyright and related or neighboring rights to this work.",
     ],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ],
 }
 #: Every template has one of these; a paragraph with one is reported even when no family is confirmed.
-MARKS = ("licens", "licenc", "copyright", "redistribution", "public domain", "permission is hereby", "rights reserved", "creative commons", "cc by", "cc-by", "gpl-", "gplv", "mpl-2", "apache-2", "bsd-3")
+MARKS = ("licens", "licenc", "copyright", "redistribution", "public domain", "permission is hereby", "permission is granted", "rights reserved", "creative commons", "cc by", "cc-by", "gpl-", "gplv", "mpl-2", "apache-2", "bsd-3")
 
 
 #: What stands before the text of a comment's line.
@@ -129,20 +170,21 @@ class Model:
         self.families, self.weights, self.bias = families, weights, bias
 
 
-def _examples(rng: random.Random) -> list[tuple[list[str], str]]:
+def _examples(rng: random.Random) -> list[tuple[list[str], str, bool]]:
+    """Words, family, and whether the example is of a template kept back for calibration."""
     filler = ["".join(rng.choice(["ba", "ne", "the", "ing", "or", "st", "de", "la"]) for _ in range(rng.randint(1, 3))) for _ in range(300)]
     common = "the a of and to in is for with this that we you it on as by be or not use read see more text page file work part".split()
     pick = lambda n: [rng.choice(filler if rng.random() < 0.6 else common) for _ in range(n)]
     every = [w for many in TEMPLATES.values() for t in many for w in words(t)]
     out = []
     for family, many in TEMPLATES.items():
-        for t in many:
+        for place, t in enumerate(many):
             for _ in range(SAMPLES):
                 seq = [w for w in words(t) if rng.random() > 0.06]
-                out.append((pick(rng.choice([0, 0, 3, 12])) + seq + pick(rng.choice([0, 0, 3, 12])), family))
+                out.append((pick(rng.choice([0, 0, 3, 12])) + seq + pick(rng.choice([0, 0, 3, 12])), family, len(many) > 2 and place == len(many) // 2))
     for _ in range(SAMPLES * 12):
         seq = [rng.choice(every) for _ in range(rng.randint(1, 12))]
-        out.append((pick(rng.randint(0, 20)) + (seq if rng.random() < 0.5 else []) + pick(rng.randint(0, 20)), UNKNOWN))
+        out.append((pick(rng.randint(0, 20)) + (seq if rng.random() < 0.5 else []) + pick(rng.randint(0, 20)), UNKNOWN, rng.random() < 0.2))
     return out
 
 
@@ -156,32 +198,38 @@ def train(seed: int = 11) -> Model:
     rows = _examples(rng)
     rng.shuffle(rows)
     x, y = np.zeros((len(rows), len(grams)), np.float32), np.zeros(len(rows), int)
-    for i, (seq, family) in enumerate(rows):
+    back = np.array([held for _, _, held in rows])
+    for i, (seq, family, _) in enumerate(rows):
         x[i, [column[g] for g in ngrams(seq) if g in column]] = 1
         y[i] = families.index(family)
-    cut = len(rows) * 4 // 5
-    w, b = np.zeros((len(grams), len(families)), np.float32), np.zeros(len(families), np.float32)
-    target = np.eye(len(families), dtype=np.float32)[y[:cut]]
-    share = target.sum(0)
-    each = (len(target) / len(families) / share)[y[:cut], None]
-    for _ in range(300):
-        z = x[:cut] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - target) * each / cut
-        w -= 2.0 * (x[:cut].T @ g + 1e-4 * w)
-        b -= 2.0 * g.sum(0)
-    z = x[cut:] @ w + b
+    w, b = _regression(x[~back], y[~back], len(families))
+    z, right = x[back] @ w + b, y[back]
 
     def loss(scale: float) -> float:
         s = z * scale
         top = s.max(1)
-        return float((np.log(np.exp(s - top[:, None]).sum(1)) + top - s[np.arange(len(s)), y[cut:]]).mean())
+        return float((np.log(np.exp(s - top[:, None]).sum(1)) + top - s[np.arange(len(s)), right]).mean())
 
     scale = min(np.linspace(0.3, 4, 38), key=loss)
+    w, b = _regression(x, y, len(families))
     return Model(families, {g: (w[i] * scale).astype(float).round(6).tolist() for g, i in column.items()}, (b * scale).astype(float).round(6).tolist())
 
 
+def _regression(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a softmax regression by gradient descent, every class counting alike."""
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    target = np.eye(classes, dtype=np.float32)[y]
+    each = (len(y) / classes / target.sum(0).clip(1))[y, None].astype(np.float32)
+    for _ in range(ROUNDS):
+        z = x @ w + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = (p - target) * each / len(y)
+        w -= np.float32(2.0) * (x.T @ g + np.float32(1e-4) * w)
+        b -= np.float32(2.0) * g.sum(0)
+    return w, b
+
+
 def _grams(seq: Column, n: int) -> Column:
     at = F.sequence(F.lit(1), F.greatest(F.size(seq) - (n - 1), F.lit(1)))
     runs = F.transform(at, lambda i: F.array_join(F.slice(seq, i, n), " "))
