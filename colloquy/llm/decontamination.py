@@ -155,12 +155,16 @@ class Pieces:
 
     def __init__(self, words: int, edits: int, rows: list[tuple[int, int, np.ndarray]]):
         self.size, self.edits, self.need = words, edits, max(1, words - 2 - 3 * edits)
-        self.item, self.offset = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        whole = np.stack([r[2] for r in rows])
+        # equal pieces lie in the tables once
+        self.places: dict[bytes, list[tuple[int, int]]] = {}
+        for item, offset, seq in rows:
+            self.places.setdefault(seq.tobytes(), []).append((item, offset))
+        self.owners = list(self.places.values())
+        whole = np.stack([np.frombuffer(k, np.uint64) for k in self.places])
         self.tables = []
         for walk in range(walks(words, edits)):
             key = sample_keys(embed(whole, walk), walk)
-            owner = np.repeat(np.arange(len(rows)), SAMPLES)[key.ravel() != 0]
+            owner = np.repeat(np.arange(len(whole)), SAMPLES)[key.ravel() != 0]
             key = key.ravel()[key.ravel() != 0]
             order = np.argsort(key, kind="stable")
             self.tables.append((key[order], owner[order]))
@@ -175,20 +179,24 @@ class Pieces:
         many = np.searchsorted(at, begin + reach - 2, "left") - np.searchsorted(at, begin, "left")
         return begin[(many >= self.need) & (begin < words)]
 
-    def candidates(self, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where a window begins, piece) for all pieces that share a sample with a window."""
+    def candidates(self, doc: np.ndarray, begin: np.ndarray):
+        """(piece, where windows begin) for all pieces that share a sample with a window; equal windows are embedded once."""
         padded = np.concatenate([doc, np.zeros(self.size + 1, np.uint64)])
-        found = []
-        for low in range(0, len(begin), _STEP):
-            some = begin[low : low + _STEP]
-            windows = padded[some[:, None] + np.arange(self.size)]
+        _, first, same = np.unique(grams(padded, self.size)[begin], return_index=True, return_inverse=True)
+        one, found = begin[first], []
+        for low in range(0, len(one), _STEP):
+            windows = padded[one[low : low + _STEP, None] + np.arange(self.size)]
             for walk, (keys, owner) in enumerate(self.tables):
                 mine = sample_keys(embed(windows, walk), walk).ravel()
-                first, past = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                for i in np.flatnonzero((past > first) & (mine != 0)):
-                    found.append(np.stack([np.full(past[i] - first[i], some[i // SAMPLES]), owner[first[i] : past[i]]], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pairs[:, 0], pairs[:, 1]
+                left, right = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                for i in np.flatnonzero((right > left) & (mine != 0)):
+                    some = owner[left[i] : right[i]]
+                    found.append(np.stack([some, np.full(len(some), low + i // SAMPLES)], 1))
+        if not found:
+            return
+        pairs = np.unique(np.concatenate(found), axis=0)
+        for piece in np.unique(pairs[:, 0]).tolist():
+            yield piece, begin[np.isin(same, pairs[pairs[:, 0] == piece, 1])]
 
 
 class Items:
@@ -234,18 +242,19 @@ class Items:
             return out
         at = np.minimum(np.searchsorted(self.grams, g[maybe]), len(self.grams) - 1)
         sizes = np.where(self.grams[at] == g[maybe], self.sizes[at], np.uint64(0))
-        regions: dict[int, list[tuple[int, int]]] = {}
+        regions: dict[int, list[np.ndarray]] = {}
         for n in np.flatnonzero(np.bitwise_or.reduce(sizes) >> np.arange(64, dtype=np.uint64) & np.uint64(1)).tolist():
             own = self.pieces[n]
             hit = np.zeros(len(g), bool)
             hit[maybe[(sizes >> np.uint64(n) & np.uint64(1)).astype(bool)]] = True
             begin = own.windows(hit, len(doc))
-            for b, piece in zip(*own.candidates(doc, begin), strict=True) if len(begin) else ():
-                item = int(own.item[piece])
-                k, first = self.most[item], int(b) - int(own.offset[piece])
-                regions.setdefault(item, []).append((max(0, first - 2 * k - 1), min(len(doc), first + len(self.words[item]) + 2 * k + 1)))
+            for piece, found in own.candidates(doc, begin) if len(begin) else ():
+                for item, offset in own.owners[piece]:
+                    k, first = self.most[item], found - offset
+                    span = np.stack([np.maximum(0, first - 2 * k - 1), np.minimum(len(doc), first + len(self.words[item]) + 2 * k + 1)], 1)
+                    regions.setdefault(item, []).append(span)
         for item, spans in regions.items():
-            best = self._verify(item, doc, spans)
+            best = self._verify(item, doc, np.concatenate(spans))
             if best:
                 out.append((item, *best))
         return out
@@ -259,15 +268,13 @@ class Items:
                     out.append((number, 0, i, i + n))
         return out
 
-    def _verify(self, number: int, doc: np.ndarray, spans: list[tuple[int, int]]) -> tuple | None:
+    def _verify(self, number: int, doc: np.ndarray, spans: np.ndarray) -> tuple | None:
         """Exact alignment of an item with every joined stretch of its candidates."""
-        best, joined = None, []
-        for low, high in sorted(spans):
-            if joined and low <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], high)
-            else:
-                joined.append([low, high])
-        for low, high in joined:
+        best = None
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        past = np.maximum.accumulate(spans[:, 1])
+        new = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > past[:-1]]))
+        for low, high in zip(spans[new, 0].tolist(), past[np.append(new[1:], len(past)) - 1].tolist(), strict=True):
             cost, first, last = alignment(self.words[number], doc[low:high])
             if cost <= self.most[number] and (best is None or cost < best[0]):
                 best = (cost, low + first, low + last)

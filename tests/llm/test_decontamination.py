@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pytest
 
 from colloquy.llm import decontamination as dc
 
@@ -91,3 +93,49 @@ def test_remove_and_empty_tables(spark):
     assert sorted(tuple(r) for r in dc.remove(docs, bench).select("doc_id", "x").collect()) == [(2, 6), (3, 7)]
     assert dc.find(docs.limit(0), bench).count() == 0 and dc.find(docs, bench.limit(0)).count() == 0
     assert dc.remove(docs, bench.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("size", [8, 15, 30, 60, 61, 200, 500])
+def test_recall_by_size(size):
+    """Items of every size at the largest distance, with all kinds of edits and with insertions and deletions alone."""
+    rng = random.Random(size)
+    ids = dc.PlainWords()
+    found = total = 0
+    for trial in range(24 if size > 100 else 60):
+        item = words(rng, size)
+        k = dc.allowed_edits(size)
+        part = list(item)
+        for _ in range(k):
+            i = rng.randrange(len(part))
+            kind = rng.random() if trial % 2 else 0.6 + 0.4 * rng.random()
+            if kind < 0.6:
+                part[i] = "zz" + rng.choice("abc")
+            elif kind < 0.8:
+                del part[i]
+            else:
+                part.insert(i, "yy")
+        doc = ids.sequence(" ".join(words(rng, 150) + part + words(rng, 150)))
+        if distance(ids.sequence(" ".join(item)).tolist(), doc.tolist()) <= k:
+            total += 1
+            found += bool(dc.Items([(1, " ".join(item))], dc.EDIT_SHARE).search(doc))
+    assert total and found / total >= dc.TARGET_RECALL
+
+
+def test_repeated_words_cost_little():
+    ids, began = dc.PlainWords(), time.time()
+    items = dc.Items([(1, "echo " * 800), (2, "one two three four five six seven eight")], dc.EDIT_SHARE)
+    hits = items.search(ids.sequence("echo " * 20_000 + "one two three four five six seven eight"))
+    assert {items.ids[h[0]]: h[1] for h in hits} == {1: 0, 2: 0} and time.time() - began < 10
+
+
+def test_short_items_are_found_as_they_are_when_asked_for(spark):
+    bench = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "say Beta, gamma!"), (2, "alphabet"), (3, "ALPHA one two three")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find(docs, bench, min_words=1).collect()) == [(1, 2), (3, 1), (3, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.find(docs, bench).collect()) == [(3, 3)]
+
+
+def test_names_of_own_columns_are_kept(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", 5, 6, 7), (2, "x", 8, 9, 10)], "doc_id long, text string, _hit int, key int, row int")
+    assert [tuple(r) for r in dc.remove(docs, bench).collect()] == [(2, "x", 8, 9, 10)]

@@ -67,3 +67,14 @@ def test_equal_digests_of_different_texts_are_told_apart(spark, monkeypatch):
     df = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "AB"), (4, "zz")], "doc_id long, text string")
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(df).collect()}
     assert got[1] == got[3] != got[2] and got[4] == "z"
+
+
+def test_edited_texts_get_the_same_fingerprint_as_equal_texts_after_a_collision(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "digest", lambda c: F.substring(c, 1, 1))
+    # the edited text of 1 is "ad", the text of 3
+    df = spark.createDataFrame([(1, "ab"), (2, "dx"), (3, "ad"), (4, "ae")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edit_report(df).collect()}
+    assert got[1]["edited_fingerprint"] == got[3]["fingerprint"] != got[1]["fingerprint"]
+    assert got[1]["near_edited"] == 0.0

@@ -61,3 +61,36 @@ def test_long_text_in_blocks(monkeypatch):
     whole = langid.features(text)
     monkeypatch.setattr(langid, "_BLOCK", 64)
     assert np.allclose(whole, langid.features(text), atol=2e-3)
+
+
+def test_decoder_against_brute_force():
+    """Bits, losses and scores of texts, worked out one n-gram and one codeword at a time."""
+    train = rows(120)
+    x = np.array([langid.features(t) for _, t, _ in train])
+    model = langid.fit(sorted(WORDS), x, np.array([sorted(WORDS).index(lang) for *_, lang in train]))
+    for text in ["the schön of", "niño où", "Running, the thing!", "şx ğ"]:
+        data = langid.letters(text)
+        grams = [data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)]
+        ids = [int(langid.ngrams(np.frombuffer(data, np.uint8))[i]) for i in range(len(grams))]
+        f = [sum(model.weights[i][bit] for i in ids) / len(ids) + model.bias[bit] for bit in range(model.code.shape[1])]
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-model.code[k][b] * f[b])) for b in range(len(f))) for k in range(4)]
+        p = [np.exp(-v) for v in loss]
+        best = int(np.argmin(loss))
+        lang, score, ambiguous = model.decode(text)
+        second = sorted(p)[-2]
+        assert lang == model.languages[best] and abs(score - p[best] / sum(p)) < 1e-4
+        assert ambiguous == bool((p[best] - second) / sum(p) < langid.AMBIGUOUS)
+
+
+def test_bits_are_weighed_by_rows_kept_back():
+    """A bit that can't be told on rows kept from fitting gets the least weight, whatever it learned by heart."""
+    rng = np.random.default_rng(1)
+    x, y = rng.random((200, 4000)).astype(np.float32), rng.integers(0, 2, 200)
+    assert langid.fit(["a", "b"], x, y).trust.max() < 0.6
+
+
+def test_own_names_of_other_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "the of", 5, 6, 7)], "doc_id long, text string, _d int, row int, said int")
+    model = langid.train(spark.createDataFrame(rows(), "doc_id long, text string, lang string"), ~langid.held_out())
+    r = langid.predict(df, model).first()
+    assert (r["_d"], r["row"], r["said"], r["lang_pred"]) == (5, 6, 7, "aa")

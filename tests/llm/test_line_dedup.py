@@ -57,3 +57,20 @@ def test_runs_are_compacted(spark):
         runs.add(spark.createDataFrame([(b, b, 1, 1), (b, b, b, 9)], "_id long, _tx long, h1 long, h2 long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert [tuple(r) for r in runs.frequent().collect()] == [(1, 1)]
+
+
+def test_own_names_of_other_columns_are_kept(spark):
+    rows = [(i, f"shared\nown {i}", 10 + i, 20 + i, 30 + i, 40 + i, 50 + i) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _tx int, _key int, _gone int, at int")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, 3).collect()}
+    assert all((r["text"], r["_id"], r["_tx"], r["_key"], r["_gone"], r["at"]) == (f"own {i}", 10 + i, 20 + i, 30 + i, 40 + i, 50 + i) for i, r in got.items())
+
+
+def test_a_document_of_very_many_lines(spark):
+    body = "\n".join("again" if i % 2 else f"line {i}" for i in range(60_000))
+    check(spark, [(1, body), (2, "again"), (3, "again\nx")], 3)
+
+
+def test_lines_are_dropped_alike_by_a_join(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    check(spark, [(i, f"shared\nown {i}\n\nshared") for i in range(12)], 10)

@@ -109,3 +109,34 @@ def test_one_row_of_a_class_stays_though_ids_repeat_or_are_null(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = Counter((r["doc_id"], r["text"].split()[0]) for r in corpus_pipeline.keep_one_of_each_class(spark, docs, "").collect())
     assert got == Counter([(1, a[0]), (None, b[0]), (2, c[0]), (5, d[0]), (5, e[0])])
+
+
+MORE = SCHEMA + ", _key int, _id int, _text_key int, key int, row int, `class` int, _hit int"
+
+
+def test_further_columns_of_any_name_pass_through(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60))
+    one = text()
+    rows = [(i, t, "en", "s", len(t), *range(7 * i, 7 * i + 7)) for i, t in enumerate([one, one, text(), text()])]
+    docs = spark.createDataFrame(rows, MORE)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [c.strip().split()[0].strip("`") for c in MORE.split(",")], name
+    assert sorted(tuple(r) for r in docs.collect()) == [r for i, r in enumerate(rows) if i != 1]
+
+
+def test_empty_tables_pass_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0, name
+
+
+def test_null_ids_and_texts_pass_all_stages(spark, tmp_path):
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(None, None, None, None, None), (None, "some plain words", "en", None, 1), (2, "", None, "s", 0), (3, "other plain words", "en", "s", None)], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert Counter(r["doc_id"] for r in docs.select("doc_id").distinct().collect()) == Counter([None, 3])

@@ -68,3 +68,18 @@ def test_global_order_over_many_ranges(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive_and_index(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_files_are_bounded_in_bytes_and_ranges_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    rows = [(i, f"http://h{i}.org/", str(i) * 50_000 if i < 12 else f"p{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 3 and max(sizes) < 300_000
+    got = warc.merge_index(warc.captures(spark, str(tmp_path / "w"))).collect()
+    assert len(got) == 60 and len({r["range_id"] for r in got}) > 3
+    got.sort(key=lambda r: (r["range_id"], r["position"]))
+    keys = [(r["url_key"], r["captured_at"], r["page_id"]) for r in got]
+    assert keys == sorted(keys)
