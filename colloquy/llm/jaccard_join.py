@@ -19,8 +19,8 @@ down, without loss, which documents can have a partner at all and which may meet
    to it. Sets already reached leave the index, so a group of thousands of copies costs one pass.
    Groups over ``GROUP_SHINGLES`` shingles are first thinned around a leader, row by row in parallel
    tasks, with the triangle inequality of the Jaccard distance, and what remains is searched in blocks:
-   a set is a query only against the blocks of sets of its size or up to 4/3 of it, and a block reports
-   a spanning forest of the links it finds, so no block's output outgrows its queries.
+   a task searches one block of sets of like size by the sets of another, of their size or up to 4/3 of
+   it, and reports a spanning forest of the links it finds, so no task outgrows two blocks.
 
 Shingles are 64-bit hashes; sets are told apart by a 128-bit digest of theirs. The number of hash
 ranges follows the bytes of the texts, so that a task holds about ``RANGE_BYTES`` of shingles.
@@ -561,7 +561,7 @@ def _search_block(batches):
         return d
 
     for b in batches:
-        for *block, query, d, s in zip(*[b.column(i).to_pylist() for i in range(5)], b.column(5), strict=True):
+        for *block, query, d, s in zip(*[b.column(i).to_pylist() for i in range(7)], b.column(7), strict=True):
             s = np.frombuffer(s.as_py(), np.uint64)
             if block != key:
                 key, names, sets, index, above = block, [], [], None, {}
@@ -583,17 +583,23 @@ def _search_block(batches):
 
 
 def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Exact links inside large groups: sets are indexed in blocks of a size class, and are queries against
-    the blocks of their own class and the next one, the only ones that hold partners of their size or more."""
+    """Exact links inside large groups. The sets of a size class are dealt to blocks of about ``most`` shingles;
+    each block is searched by the blocks of its own class and of the one below, the only ones that hold
+    partners of its sets' size or less. A task has one block to search and one of queries."""
+    deal = F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")
     rows = rows.withColumn("size_class", F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(SIZE_CLASS))).cast("int"))
     sizes = rows.groupBy("component", "size_class").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias("k"))
     sizes = materialize(sizes, "blocks")
-    cols = ["component", "size_class", "block", "query", "digest", "shingles"]
-    own = rows.join(sizes, ["component", "size_class"]).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int"))
-    asked = rows.withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") + 1))).join(sizes, ["component", "size_class"])
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    both = own.withColumn("query", F.lit(False)).select(cols).unionByName(asked.withColumn("query", F.lit(True)).select(cols))
-    both = both.repartition("component", "size_class", "block").sortWithinPartitions("component", "size_class", "block", "query")
+    rows = rows.join(sizes, ["component", "size_class"]).withColumn("block", deal).drop("k")
+    # the other side of a search: all its blocks, in the class above for queries and below for the searched
+    other = sizes.select("component", F.col("size_class").alias("other_class"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    cols = ["component", "query_class", "query_block", "size_class", "block", "query", "digest", "shingles"]
+    asked = rows.withColumn("other_class", F.explode(F.array("size_class", F.col("size_class") + 1))).join(other, ["component", "other_class"])
+    asked = asked.select("component", F.col("size_class").alias("query_class"), F.col("block").alias("query_block"), F.col("other_class").alias("size_class"), F.col("other").alias("block"), F.lit(True).alias("query"), "digest", "shingles")
+    held = rows.withColumn("other_class", F.explode(F.array("size_class", F.col("size_class") - 1))).join(other, ["component", "other_class"])
+    held = held.select("component", F.col("other_class").alias("query_class"), F.col("other").alias("query_block"), "size_class", "block", F.lit(False).alias("query"), "digest", "shingles")
+    both = held.select(cols).unionByName(asked.select(cols))
+    both = both.repartition(*cols[:5]).sortWithinPartitions(*cols[:6])
     return both.mapInArrow(_search_block, _EDGE)
 
 
