@@ -7,7 +7,7 @@ announced by ``\\:`` after the role, puts a backslash before every backslash, ``
 neither control string can occur in it; level 1 always comes back, so the loop ends.
 
 Conversations are read as streams sorted by (conversation, turn) within hash partitions; a task
-holds one conversation at a time.
+holds one conversation at a time, rendered as one text, which must stay below 2 GB (an Arrow string).
 
 Defined cases: a null text or role is empty; turns with equal numbers are ordered by role, then text;
 repeated rows are turns of their own; a null conversation id is a conversation of its own; other
