@@ -661,7 +661,7 @@ def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     # one of the tasks that wrote a set is its home, so that each set travels once
     survivors = sets.where("shingles is not null")
     home = survivors.groupBy("node", "digest").agg(F.min("task").alias("task"), F.first("n_shingles").alias("n"))
-    home = materialize(home.join(groups, "node").select("digest", "task", "component", "n"), "home")
+    home = stored = materialize(home.join(groups, "node").select("digest", "task", "component", "n"), "home")
     totals = home.groupBy("component").agg(F.sum("n").alias("total"))
     grouped, large = home.count(), not totals.where(F.col("total") > group_shingles).isEmpty()
     home = home.join(totals, "component").drop("n")
@@ -670,6 +670,8 @@ def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     wide = survivors.join(home, ["digest", "task"]).select("component", "total", "digest", "shingles")
     extra, star = _links(wide, large, group_shingles)
     star = materialize(star if extra is None else star.unionByName(extra), "links")
+    forget(groups)
+    forget(stored)
     if extra is not None:
         named = components(star, "digest", "root")
         star = named.select(F.col("node").alias("digest"), F.col("component").alias("root"))
