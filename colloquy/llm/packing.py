@@ -69,9 +69,12 @@ class WordEncoder:
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words with their leading blank."""
-        alone = [w for w in words if not w or w[0].isspace() or any(c.isspace() for c in w) or any(t in w for t in self.special)]
-        out = dict(zip(alone, self._encode([" " + w for w in alone]), strict=True)) if alone else {}
-        rest = [w for w in words if w not in out] if alone else words
+        out, rest, whole = {}, words, " ".join(words)
+        # one look at all words together tells nearly always that none is odd
+        if whole.split() != words or any(t in whole for t in self.special):
+            alone = [w for w in words if w.split() != [w] or any(t in w for t in self.special)]
+            out = dict(zip(alone, self._encode([" " + w for w in alone]), strict=True))
+            rest = [w for w in words if w not in out]
         for low in range(0, len(rest), JOINED_WORDS):
             some = rest[low : low + JOINED_WORDS]
             raw = self._encode([" " + " ".join(some)])[0]
@@ -80,8 +83,8 @@ class WordEncoder:
             if len(at) != len(some) or (len(at) and at[0]):
                 out.update(zip(some, self._encode([" " + w for w in some]), strict=True))
                 continue
-            ends = [*(4 * at[1:]).tolist(), len(raw)]
-            out.update((w, raw[a:b]) for w, a, b in zip(some, (4 * at).tolist(), ends, strict=True))
+            begins = (4 * at).tolist()
+            out.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], len(raw)])), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
