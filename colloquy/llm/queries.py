@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, licenses, line_dedup, lm_scoring, packing, warc
+from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, licenses, line_dedup, lm_scoring, packing, spelling, warc
 from colloquy.session import table
 
 
@@ -71,6 +71,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.occurrences(docs, min_length=7, slip=31)
+    return spelling.variants(spelling.vocabulary(words, min_count=2), ratio=10)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -82,6 +88,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op7_line_dedup": op7_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 _KEYED_LINES = """
@@ -120,4 +127,45 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM flagged GROUP BY doc_id
     """,
+    "op11_spelling_variants": """
+        WITH RECURSIVE crc_steps(i, k, c) AS (
+            SELECT i, 0, i FROM range(256) t(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS steps FROM crc_steps WHERE k = 8),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        lowered AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+            FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+        spelled AS (SELECT run, k, hex(encode(doc_id || ':' || run)) AS digits FROM lowered),
+        hashed AS (
+            SELECT run, k, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(length(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+                lambda h, b: xor(h >> 8, steps[(xor(h, b) & 255) + 1]))) AS h
+            FROM spelled, crc),
+        slipped AS (
+            SELECT k, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+            FROM hashed),
+        vocab AS (SELECT word, sum(k)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+        shorter AS (
+            SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+            FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+        pairs AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT s.word, v.word, v.n FROM shorter s JOIN vocab v ON s.rest = v.word
+            UNION SELECT v.word, s.word, s.n FROM shorter s JOIN vocab v ON s.rest = v.word),
+        best AS (
+            SELECT word, count(*) AS n_near, max(near_n) AS most FROM pairs GROUP BY word),
+        named AS (
+            SELECT best.word, n_near, most, min(near) AS near FROM best JOIN pairs ON pairs.word = best.word AND near_n = most GROUP BY ALL),
+        forms AS (
+            SELECT vocab.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN near END AS form,
+                CASE WHEN most >= 10 * n THEN most END AS form_n
+            FROM vocab LEFT JOIN named USING (word)),
+        chains(word, root, step) AS (
+            SELECT word, form, 1 FROM forms WHERE form IS NOT NULL
+            UNION ALL SELECT chains.word, form, step + 1 FROM chains JOIN forms ON forms.word = root WHERE form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+    """,
 }
