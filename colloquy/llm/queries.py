@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, licenses, line_dedup, lm_scoring, packing, spelling, warc
+from colloquy.llm import chat_format, decontamination, fingerprints, jaccard_join, langid, licenses, line_dedup, lm_scoring, packing, spelling, topk_search, warc, whitening
 from colloquy.session import table
 
 
@@ -77,6 +77,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(words, min_count=2), ratio=10)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    # null only where the exact number exceeds a long
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -89,6 +99,8 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitening": op12_whitening,
+    "op13_topk_search": op13_topk_search,
 }
 
 _KEYED_LINES = """
@@ -168,4 +180,15 @@ ORACLE_SQL = {
         ends AS (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word)
         SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
     """,
+    "op13_topk_search": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, p.vec_id, list_inner_product(q.x, p.x)::BIGINT AS score
+            FROM whole q JOIN whole p ON q.vec_id % 100 = 0 AND q.vec_id <> p.vec_id),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
 }
