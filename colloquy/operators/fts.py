@@ -1,23 +1,16 @@
-"""A full-text index as a stored postings table: phrase search by positions, BM25 ranking, snippets.
-
-``store`` writes three tables in one pass over the turns: postings dealt by token into ``BUCKETS`` folders
-and sorted, the length of each turn, and one row of statistics. A search reads the folders of its tokens
-alone, joins their positions, and ranks what is left; turns are only needed to show snippets.
-"""
+"""Full-text search: tokens of turns, phrases, BM25 ranking, snippets. The stored index is in ``store`` and ``blocks``."""
 
 from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import let
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("text", "thinking", "tool_calls")
-#: Folders of the stored postings, dealt by the token's hash.
-BUCKETS = 64
 
 
 def fold(text: Column) -> Column:
@@ -76,56 +69,6 @@ def search(indexed: DataFrame, phrase: list[str], include_thinking: bool = False
     return ranked(hits, n, hits.count(), mean)
 
 
-def bucket(token: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
-
-
-def store(turns: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write the index of ``turns`` under ``path``, which must not exist yet."""
-    spark = turns.sparkSession
-    own = index(turns)
-    p = postings(own).withColumn("bucket", bucket(F.col("token"), buckets))
-    p.repartition("bucket", "token").sortWithinPartitions("bucket", "token", "session_id", "seq").write.partitionBy("bucket").parquet(f"{path}/postings")
-    own.select("session_id", "seq", "length").write.parquet(f"{path}/lengths")
-    lengths = spark.read.parquet(f"{path}/lengths")
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
-
-
-def _back(k: int):
-    return lambda p: p - k
-
-
-class Stored:
-    """An index that ``store`` wrote."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.postings, self.lengths = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
-        row = spark.read.parquet(f"{path}/stats").first()
-        self.n, self.mean, self.buckets = row["n"], row["mean"], row["buckets"]
-
-    def phrase(self, phrase: list[str], include_thinking: bool = False) -> DataFrame:
-        """(``session_id``, ``seq``, ``tf``) of the turns with the phrase in one column, by joining positions."""
-        cols = [c for c in COLUMNS if include_thinking or c != "thinking"]
-        key, out = ["session_id", "seq", "col"], None
-        for k, w in enumerate(phrase):
-            where = self.spark.range(1).select(bucket(F.lit(w), self.buckets)).first()[0]
-            mine = self.postings.where((F.col("bucket") == where) & (F.col("token") == w) & F.col("col").isin(*cols))
-            mine = mine.select(*key, F.transform("positions", _back(k)).alias("p"))
-            if out is None:
-                out = mine.withColumnRenamed("p", "at")
-            else:
-                out = out.join(mine, key).withColumn("at", F.array_intersect("at", "p")).drop("p").where(F.size("at") > 0)
-        return out.groupBy("session_id", "seq").agg(F.sum(F.size("at").cast("long")).alias("tf"))
-
-    def search(self, phrase: list[str], include_thinking: bool = False) -> DataFrame:
-        """As ``search``: turns with the whole phrase and their rank, lower is better."""
-        if not phrase:
-            return self.lengths.where(F.lit(False)).select("session_id", "seq", F.lit(0).cast("long").alias("tf"), F.lit(0.0).alias("rank"))
-        hits = self.phrase(phrase, include_thinking)
-        return ranked(hits.join(self.lengths, ["session_id", "seq"]), self.n, hits.count(), self.mean)
-
-
 def ranked(hits: DataFrame, n: int, df: int, mean: float | None) -> DataFrame:
     """Rank of hits (``tf``, ``length``) among ``n`` turns of ``mean`` tokens, ``df`` of which have the phrase."""
     idf = log((n - df + 0.5) / (df + 0.5)) if n else 0.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import scrub
-from colloquy.operators import fts, retrieval
+from colloquy.operators import fts, retrieval, store
 from colloquy.session import materialize
 from colloquy.sources import transcripts
 
@@ -94,7 +94,10 @@ class ScanProvider:
 
 
 class IndexProvider(ScanProvider):
-    """Answers from a stored postings table; phrases of whole tokens, ranked.
+    """Answers from an index of tokens, stored or not; phrases of whole tokens, ranked.
+
+    Hits are narrow until they are cut: window, runtimes and folder are tested on keys and times, and only
+    the turns that are shown are read in full.
 
     ``archive`` may be a second provider of this kind: its answers are added to this one's, and the
     whole is sorted and cut again.
@@ -102,13 +105,13 @@ class IndexProvider(ScanProvider):
 
     capabilities = Capabilities(ranked=True, unscoped=True, regex=False)
 
-    def __init__(self, turns: DataFrame, sessions: DataFrame, indexed: DataFrame | fts.Stored, indexed_until: int | None = None, newest: int | None = None, archive: IndexProvider | None = None):
+    def __init__(self, turns: DataFrame, sessions: DataFrame, indexed: DataFrame | store.Index, indexed_until: int | None = None, newest: int | None = None, archive: IndexProvider | None = None):
         super().__init__(turns, sessions)
         self.indexed, self.archive, self.lag = indexed, archive, None if None in (indexed_until, newest) else newest - indexed_until
 
     def coverage(self) -> Coverage:
         out = Coverage()
-        if (self.indexed.lengths if isinstance(self.indexed, fts.Stored) else self.indexed).isEmpty():
+        if (not self.indexed.n if isinstance(self.indexed, store.Index) else self.indexed.isEmpty()):
             out.degraded.append("the index is empty")
         if self.lag is not None and self.lag > 3_600_000:
             out.degraded.append("the index is older than the newest transcript by more than an hour")
@@ -118,15 +121,20 @@ class IndexProvider(ScanProvider):
         if regex:
             raise ValueError("the index can't answer regular expressions")
         phrase = fts.phrase_tokens(self.turn_rows.sparkSession, query)
-        hits = self.indexed.search(phrase, scope.include_thinking) if isinstance(self.indexed, fts.Stored) else fts.search(self.indexed, phrase, scope.include_thinking)
+        cut = max(1, min(limit, retrieval.MOST_ROWS))
         rows = self.turn_rows.where(retrieval.in_search_window(F.col("ts"), scope.since, scope.until))
         if scope.runtimes:
             rows = rows.where(F.col("runtime_id").isin(*scope.runtimes))
         places = self.session_rows.where(retrieval.in_folder(F.col("cwd"), scope.folder)).select("session_id", "cwd")
-        kept = rows.join(hits, ["session_id", "seq"]).join(places, "session_id")
-        shown = kept.withColumn("excerpt", F.coalesce(fts.snippet(scrub(F.col("text")), phrase), fts.snippet(F.to_json("tool_calls"), phrase)) if phrase else F.lit(""))
+        wanted = rows.select("session_id", "seq").join(places.select("session_id"), "session_id", "left_semi")
+        keep = lambda hits: hits.join(wanted, ["session_id", "seq"], "left_semi")
+        if isinstance(self.indexed, store.Index):
+            best = self.indexed.top_k(phrase, cut, scope.include_thinking, keep)
+        else:
+            best = fts.top_k(keep(fts.search(self.indexed, phrase, scope.include_thinking)), cut)
+        shown = rows.join(best, ["session_id", "seq"]).join(places, "session_id")
+        shown = shown.withColumn("excerpt", F.coalesce(fts.snippet(scrub(F.col("text")), phrase), fts.snippet(F.to_json("tool_calls"), phrase)) if phrase else F.lit(""))
         out = shown.select("session_id", "seq", "role", "ts", "cwd", "excerpt", "rank")
-        cut = max(1, min(limit, retrieval.MOST_ROWS))
         more = self.archive.search(query, scope, regex, limit) if self.archive else None
         return retrieval.archive_too(fts.top_k(out, cut), more, cut, F.col("rank"), F.col("session_id"), F.col("seq"))
 

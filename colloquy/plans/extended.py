@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions import timeparse
-from colloquy.operators import fts, names, reach, retrieval
+from colloquy.operators import fts, names, reach, retrieval, store
 from colloquy.plans import views
 from colloquy.plans.catalog import _EXCERPT, _FTS, FAR, SINCE, _excerpt, _indexed, query
 from colloquy.plans.views import BASE_MS, HOUR, SQL
@@ -163,12 +163,16 @@ def backfilled(spark, sf_dir):
 # -- the stored index
 
 
-def _stored(spark, sf_dir):
-    path = scratch_path(spark, "index")
-    t = views.turns(spark, sf_dir)
+def _flat_calls(turns):
+    """Turns with the first tool call as text."""
     calls = F.when(F.size("tool_calls") > 0, F.concat_ws(" ", F.get("tool_calls", F.lit(0))["name"], F.get("tool_calls", F.lit(0))["input_digest"])).otherwise("")
-    fts.store(t.withColumn("tool_calls", calls), path, buckets=16)
-    return fts.Stored(spark, path)
+    return turns.withColumn("tool_calls", calls)
+
+
+def _stored(spark, sf_dir):
+    library = store.Library(spark, scratch_path(spark, "index"))
+    library.write(_flat_calls(views.turns(spark, sf_dir)))
+    return library.snapshot().index()
 
 
 @query(f"""{SQL}, {_FTS}, tf AS (SELECT session_id, seq, length, len(list_filter(string_split(a, ' '), lambda x: x = 'of')) + len(list_filter(string_split(c, ' '), lambda x: x = 'of')) AS tf FROM fx),
@@ -176,9 +180,8 @@ def _stored(spark, sf_dir):
     r AS (SELECT session_id, seq, CAST(tf AS BIGINT) AS tf, -CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS rank FROM tf, st WHERE tf > 0)
     SELECT session_id, seq, tf, round(rank, 9) AS rank FROM r ORDER BY round(rank, 9), session_id, seq LIMIT 25""")
 def search_ranked_top_k(spark, sf_dir):
-    """The best hits of a word, from the stored postings."""
-    hits = _stored(spark, sf_dir).search(["of"]).withColumn("rank", F.round("rank", 9))
-    return fts.top_k(hits, 25)
+    """The best hits of a word, from the blocks of stored postings that can hold one."""
+    return _stored(spark, sf_dir).top_k(["of"], 25).withColumn("rank", F.round("rank", 9))
 
 
 @query(f"""{SQL}, {_FTS}, p AS (SELECT session_id, seq, len(list_filter(range(1, len(string_split(a, ' '))), lambda i: string_split(a, ' ')[i] = 'of' AND string_split(a, ' ')[i + 1] = 'the'))
@@ -186,7 +189,7 @@ def search_ranked_top_k(spark, sf_dir):
     SELECT session_id, seq, CAST(tf AS BIGINT) AS tf FROM p WHERE tf > 0""")
 def phrase_by_positions(spark, sf_dir):
     """A phrase by joining its tokens' postings on positions."""
-    return _stored(spark, sf_dir).phrase(["of", "the"])
+    return _stored(spark, sf_dir).phrase(["of", "the"]).drop("length")
 
 
 _UNIT = "[^\\p{L}\\p{N}\\p{Co}\\p{Mn}]*[\\p{L}\\p{N}\\p{Co}\\p{Mn}]+"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.functions import timeparse
-from colloquy.operators import fts, names, providers, reach, retrieval, upkeep
+from colloquy.operators import fts, names, providers, reach, retrieval, store, upkeep
 from colloquy.sources import descriptors, push, transcripts
 from colloquy.streaming import appended
 
@@ -86,13 +86,14 @@ def _rows(spark, texts, prefix="s"):
 def test_stored_index_equals_the_scan_of_tokens_and_takes_an_archive(spark, tmp_path):
     turns, sessions = _rows(spark, ["Red fox, red FOX!", "a red hen", "fox red", "Réd—fox", ""])
     old_turns, old_sessions = _rows(spark, ["red fox " * 5, "blue"], "old")
-    fts.store(turns, str(tmp_path / "i"), buckets=4)
-    fts.store(old_turns, str(tmp_path / "o"), buckets=4)
-    stored = fts.Stored(spark, str(tmp_path / "i"))
+    stored, old = (store.Library(spark, str(tmp_path / name)) for name in "io")
+    stored.write(turns)
+    old.write(old_turns)
+    stored, old = stored.snapshot().index(), old.snapshot().index()
     for phrase in (["red"], ["red", "fox"], ["fox", "red", "fox"], ["nothing"], []):
         want = {(r["session_id"], r["tf"], round(r["rank"], 9)) for r in fts.search(fts.index(turns), phrase).collect()}
         assert {(r["session_id"], r["tf"], round(r["rank"], 9)) for r in stored.search(phrase).collect()} == want
-    archive = providers.IndexProvider(old_turns, old_sessions, fts.Stored(spark, str(tmp_path / "o")))
+    archive = providers.IndexProvider(old_turns, old_sessions, old)
     api = providers.Retrieval(providers.IndexProvider(turns, sessions, stored, archive=archive))
     found, coverage = api.search("red fox", providers.Scope(since=0), limit=3)
     assert {r["session_id"] for r in found.collect()} == {"s0", "s3", "old0"} and not coverage.truncated
@@ -105,9 +106,10 @@ def test_stored_index_equals_the_scan_of_tokens_and_takes_an_archive(spark, tmp_
 def test_fallback_to_the_index_only_when_nothing_is_found(spark, tmp_path):
     turns, sessions = _rows(spark, ["alpha", "beta"])
     gone, gone_sessions = _rows(spark, ["gamma"], "g")
-    fts.store(gone, str(tmp_path / "i"), buckets=2)
+    library = store.Library(spark, str(tmp_path / "i"))
+    library.write(gone)
     scan = providers.Retrieval(providers.ScanProvider(turns, sessions))
-    index = providers.Retrieval(providers.IndexProvider(gone, gone_sessions, fts.Stored(spark, str(tmp_path / "i"))))
+    index = providers.Retrieval(providers.IndexProvider(gone, gone_sessions, library.snapshot().index()))
     found, coverage = scan.search_or(index, "alpha", providers.Scope(since=0))
     assert found.count() == 1 and not coverage.degraded
     found, coverage = scan.search_or(index, "gamma", providers.Scope(since=0))
