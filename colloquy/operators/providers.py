@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,16 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import scrub
 from colloquy.operators import fts, retrieval, store
 from colloquy.session import materialize
-from colloquy.sources import transcripts
+from colloquy.sources import ranges, skipping, transcripts
 
 HOUR = 3_600_000
 #: Windows and limits when the caller states none.
 SEARCH_WINDOW, SEARCH_LIMIT = 6 * HOUR, 20
 SESSION_WINDOW, SESSION_LIMIT = 7 * 24 * HOUR, 20
 TURN_LIMIT = 200
+#: Files of the first wave of a scan, and the factor from one wave to the next.
+WAVE_FILES, WAVE_GROWTH = 64, 4
+LISTED = "path string, mtime long, size long, runtime string, root string, place long"
 
 
 @dataclass(frozen=True)
@@ -60,28 +64,22 @@ class ScanProvider:
     def __init__(self, turns: DataFrame, sessions: DataFrame, unreadable: tuple[str, ...] = (), notes: tuple[str, ...] = ()):
         self.turn_rows, self.session_rows, self.unreadable, self.notes = turns, sessions, unreadable, notes
 
-    @classmethod
-    def over(cls, spark: SparkSession, roots: dict[str, str], descriptors: dict, machine_id: str, since_ms: int | None = None, budget: int = transcripts.FILE_BUDGET) -> ScanProvider:
+    @staticmethod
+    def over(spark: SparkSession, roots: dict[str, str], descriptors: dict, machine_id: str, since_ms: int | None = None, budget: int = transcripts.FILE_BUDGET, filters: skipping.Filters | None = None) -> FolderScan:
         """A provider over transcript folders (by runtime), newest files first within the budget.
 
         A runtime whose folder isn't there is reported as unreadable, files left out by the budget and
         files that could not be read as notes; none of these is taken for an absence of turns.
         """
-        unreadable, notes, turns, sessions = [], [], None, None
+        unreadable, listed = [], []
         for runtime, root in roots.items():
             if not transcripts.readable(spark, root):
                 unreadable.append(runtime)
                 continue
-            d = descriptors[runtime]
-            kept, over = transcripts.within_budget(transcripts.files(spark, root, d, since_ms), budget)
-            rows = transcripts.lines(spark, root, d, since_ms, kept=kept if over else None)
-            failed = transcripts.unread(kept, rows).count()
-            notes += over + ([f"{failed} files of {runtime} could not be read"] if failed else [])
-            t, s = transcripts.tables(transcripts.parse(rows, d, machine_id), d)
-            turns, sessions = (t, s) if turns is None else (turns.unionByName(t), sessions.unionByName(s))
-        if turns is None:
+            listed.append(transcripts.files(spark, root, descriptors[runtime], since_ms).withColumns({"runtime": F.lit(runtime), "root": F.lit(root)}))
+        if not listed:
             raise FileNotFoundError(f"none of the runtimes can be read: {', '.join(unreadable)}")
-        return cls(turns, sessions, tuple(unreadable), tuple(notes))
+        return FolderScan(spark, listed, {r: descriptors[r] for r in roots if r not in unreadable}, machine_id, budget, filters, tuple(unreadable))
 
     def coverage(self) -> Coverage:
         return Coverage(degraded=[f"runtime {r} could not be read" for r in self.unreadable] + list(self.notes))
@@ -89,10 +87,106 @@ class ScanProvider:
     def session_list(self, scope: Scope, limit: int) -> DataFrame:
         return retrieval.list_sessions(self.turn_rows, self.session_rows, scope.since, scope.until, scope.folder, scope.runtimes, limit)
 
+    def turns_of(self, session_id: str) -> DataFrame:
+        return self.turn_rows.where(F.col("session_id") == session_id)
+
     def search(self, query: str, scope: Scope, regex: bool, limit: int) -> DataFrame:
         return retrieval.scan_search(self.turn_rows, self.session_rows, query, scope.since, scope.until, scope.folder, scope.runtimes, scope.include_thinking, regex, limit)
 
 
+class FolderScan(ScanProvider):
+    """Answers read from transcript files when they are asked for.
+
+    A search opens files in waves, the ones changed last first, each wave ``WAVE_GROWTH`` times the one
+    before, and stops once it has as many hits as were asked for: hits go by file, so no later file can
+    hold an earlier one. Files that were last changed before the window, that stored filters rule out, or whose
+    raw bytes don't hold a literal are not parsed. ``opened`` counts the files whose bytes were looked at,
+    ``parsed`` those that were parsed.
+    """
+
+    def __init__(self, spark: SparkSession, listed: list[DataFrame], descriptors: dict, machine_id: str, budget: int, filters: skipping.Filters | None, unreadable: tuple[str, ...]):
+        self.spark, self.descriptors, self.machine_id, self.filters = spark, descriptors, machine_id, filters
+        self.failures, self.opened, self.parsed = ranges.Failures(spark.sparkContext), 0, 0
+        kept, notes = [], []
+        for rows in listed:
+            some, over = transcripts.within_budget(rows, budget)
+            kept.append(some)
+            notes += over
+        # the files in the order in which they are searched, numbered from 0
+        order = functools.reduce(DataFrame.unionByName, kept).orderBy(F.col("mtime").desc(), "path")
+        placed = order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+        self.files = materialize(spark.createDataFrame(placed, LISTED), "files")
+        super().__init__(None, None, unreadable, tuple(notes))
+
+    @property
+    def turn_rows(self) -> DataFrame:
+        return self._tables(self.files)[0]
+
+    @turn_rows.setter
+    def turn_rows(self, rows: None) -> None:
+        """Rows are read from the files each time."""
+
+    @property
+    def session_rows(self) -> DataFrame:
+        return self._tables(self.files)[1]
+
+    @session_rows.setter
+    def session_rows(self, rows: None) -> None:
+        """As ``turn_rows``."""
+
+    def coverage(self) -> Coverage:
+        out = super().coverage()
+        failed = len(self.failures.paths)
+        return Coverage(degraded=out.degraded + ([f"{failed} files could not be read"] if failed else []))
+
+    def _tables(self, files: DataFrame, only: str | None = None) -> tuple[DataFrame, DataFrame]:
+        turns = sessions = None
+        for (runtime, root) in sorted({(r.runtime, r.root) for r in self.files.select("runtime", "root").distinct().collect()}):
+            d = self.descriptors[runtime]
+            own = files.where(F.col("runtime") == runtime)
+            if only is not None:
+                own = own.where(transcripts.native_id(F.col("path"), d.native_id) == only)
+            rows = transcripts.lines(self.spark, root, d, kept=own, failures=self.failures)
+            t, s = transcripts.tables(transcripts.parse(rows, d, self.machine_id), d)
+            turns, sessions = (t, s) if turns is None else (turns.unionByName(t), sessions.unionByName(s))
+        return turns, sessions
+
+    def turns_of(self, session_id: str) -> DataFrame:
+        """The turns of one session, from its own file alone."""
+        machine, runtime, native = (session_id.split("/", 2) + ["", ""])[:3]
+        own = self.files.where(F.col("runtime") == runtime) if machine == self.machine_id else self.files.limit(0)
+        return self._tables(own, native)[0].where(F.col("session_id") == session_id)
+
+    def session_list(self, scope: Scope, limit: int) -> DataFrame:
+        turns, sessions = self._tables(self._in_scope(scope))
+        return retrieval.list_sessions(turns, sessions, scope.since, scope.until, scope.folder, scope.runtimes, limit)
+
+    def _in_scope(self, scope: Scope) -> DataFrame:
+        """Files that can hold turns of a scope: changed since its start, of its runtimes."""
+        files = self.files.where(F.col("mtime") >= scope.since)
+        return files.where(F.col("runtime").isin(*scope.runtimes)) if scope.runtimes else files
+
+    def search(self, query: str, scope: Scope, regex: bool, limit: int) -> DataFrame:
+        needle = None if regex else ranges.plain_needle(query)
+        files = self._in_scope(scope)
+        if self.filters is not None:
+            files = materialize(self.filters.candidates(files, needle), "candidates")
+        last, first, wave = files.agg(F.max("place")).first()[0], 0, WAVE_FILES
+        found = None
+        while found is None or (last is not None and first <= last and found.count() < limit):
+            some = files.where(F.col("place").between(first, first + wave - 1))
+            self.opened += some.count()
+            if needle is not None and all(ranges.reachable(r.root) for r in some.select("root").distinct().collect()):
+                some = materialize(ranges.holding(some, needle, self.failures), "holding")
+            self.parsed += some.count()
+            turns, sessions = self._tables(some)
+            hits = retrieval.scan_search(turns, sessions, query, scope.since, scope.until, scope.folder, scope.runtimes, scope.include_thinking, regex, 1 << 40)
+            hits = materialize(retrieval.in_file_order(hits, sessions, limit), "hits")
+            found = hits if found is None else found.unionByName(hits)
+            first, wave = first + wave, wave * WAVE_GROWTH
+        return found.orderBy(*retrieval.file_order()).limit(limit)
+
+
 class IndexProvider(ScanProvider):
     """Answers from an index of tokens, stored or not; phrases of whole tokens, ranked.
 
@@ -167,6 +261,8 @@ class Retrieval:
         found = materialize(found, "answer")
         coverage = self.provider.coverage()
         coverage.truncated = found.count() > most
+        if "source_path" in found.columns:
+            return found.orderBy(*retrieval.file_order()).limit(most).drop("source_path", "mtime"), coverage
         order = [F.col("rank")] if "rank" in found.columns else [F.col(c).desc_nulls_last() for c in ("ts", "last_ts") if c in found.columns]
         return found.orderBy(*order, *[c for c in ("session_id", "seq") if c in found.columns]).limit(most), coverage
 
@@ -188,7 +284,7 @@ class Retrieval:
         return found, coverage
 
     def turns(self, session_id: str, after: int | None = None, window: tuple[int, int | None] | None = None, include_thinking: bool = False, limit: int = TURN_LIMIT, budget: int = retrieval.BUDGET_BYTES) -> tuple[DataFrame, Coverage]:
-        own = self.provider.turn_rows.where(F.col("session_id") == session_id)
+        own = self.provider.turns_of(session_id)
         found = retrieval.read_latest(own, *window, include_thinking, limit, budget) if window else retrieval.read_forward(own, after, include_thinking, limit, budget)
         coverage = self.provider.coverage()
         coverage.truncated = bool(found.agg(F.max("more")).first()[0])

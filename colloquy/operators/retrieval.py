@@ -90,6 +90,10 @@ def scan_search(turns: DataFrame, sessions: DataFrame, query: str, since: int, u
     return _limited(out, limit, F.col("ts").desc_nulls_last(), F.col("session_id"), F.col("seq"))
 
 
+def file_order() -> tuple[Column, ...]:
+    return F.col("mtime").desc_nulls_last(), F.col("source_path"), F.col("seq")
+
+
 def in_file_order(hits: DataFrame, sessions: DataFrame, limit: int = 20) -> DataFrame:
     """Hits as a scan meets them: the file changed last first, and each file's lines in order; the first ``limit``.
 
@@ -97,7 +101,7 @@ def in_file_order(hits: DataFrame, sessions: DataFrame, limit: int = 20) -> Data
     """
     files = sessions.select("session_id", "source_path", "mtime")
     rows = hits.join(files, "session_id")
-    return _limited(rows, limit, F.col("mtime").desc_nulls_last(), F.col("source_path"), F.col("seq"))
+    return _limited(rows, limit, *file_order())
 
 
 def archive_too(main: DataFrame, archive: DataFrame | None, limit: int, *order: Column) -> DataFrame:

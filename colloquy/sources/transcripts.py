@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import scrub
 from colloquy.operators import fold
+from colloquy.sources import ranges
 from colloquy.sources.descriptors import Descriptor
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -57,7 +58,7 @@ def _wanted(path: Column, root: str, d: Descriptor, only: str | None) -> Column:
 
 def files(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl") -> DataFrame:
     """The transcript files as listed: ``path``, ``mtime``, ``size``; contents aren't read."""
-    found = _pruned(spark.read.format("binaryFile"), d, since_ms, only, suffix).load(root)
+    found = _pruned(spark.read.format("binaryFile").option("ignoreMissingFiles", "true"), d, since_ms, only, suffix).load(root)
     return found.where(_wanted(F.col("path"), root, d, only)).select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
@@ -68,15 +69,25 @@ def within_budget(found: DataFrame, most: int = FILE_BUDGET) -> tuple[DataFrame,
     return found.orderBy(F.col("mtime").desc(), "path").limit(most), notes
 
 
-def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl", kept: DataFrame | None = None) -> DataFrame:
+def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl", kept: DataFrame | None = None, failures: ranges.Failures | None = None) -> DataFrame:
     """Complete lines of all transcript files: ``path``, ``mtime``, ``pos``, ``value``.
 
     Files lie exactly ``dir_depth`` folders below the root, or in folders named ``nested_dir`` at any
     depth. ``since_ms`` prunes files by modification time, ``only`` by native id, both before reading;
-    ``kept`` may hold the files (``path``) to read of these. Large files are split. The lines of a file
-    are numbered by block and place in it; its last line is torn, and left out, when the lines with one
-    line feed each are a byte longer than the file. Files that vanish or can't be read are skipped
-    (see ``unread``); lines that aren't UTF-8 are dropped.
+    ``kept`` may hold the files to read instead, as ``files`` lists them. Files are read by byte ranges (see
+    ``ranges``: torn tails, bytes that aren't UTF-8, failures), those that only Hadoop reaches by Spark's
+    text source.
+    """
+    if not ranges.reachable(root):
+        return _through_hadoop(spark, root, d, since_ms, only, suffix, kept)
+    return ranges.lines(files(spark, root, d, since_ms, only, suffix) if kept is None else kept, failures)
+
+
+def _through_hadoop(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None, only: str | None, suffix: str, kept: DataFrame | None) -> DataFrame:
+    """As ``lines``, for file systems that tasks can't open by themselves.
+
+    The text source doesn't tell a line's offset, so the lines of a file are put in order by block and place
+    in it; its last line is torn when the lines with one line feed each are a byte longer than the file.
     """
     reader = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     raw = _pruned(reader.format("text"), d, since_ms, only, suffix).load(root)
@@ -111,7 +122,7 @@ def may_hold(rows: DataFrame, query: str) -> DataFrame:
     Only a needle that JSON writes in one way is looked for in raw lines: printable ASCII without quote,
     backslash and slash. For any other all lines stay.
     """
-    if not query or re.search(r'[^\x20-\x7e]|["\\/]', query):
+    if ranges.plain_needle(query) is None:
         return rows
     return rows.where(F.contains(F.lower("value"), F.lit(query.lower())))
 
@@ -233,19 +244,30 @@ TURN = ["session_id", "machine_id", "runtime_id", "native_id", "seq", "role", "t
 
 def tables(parsed: DataFrame, d: Descriptor) -> tuple[DataFrame, DataFrame]:
     """The turn and session tables of parsed lines, redacted, compacted and rolled up."""
+    turns, sessions, marks = chunk(parsed, d)
+    return fold.compact(turns, marks, bool(d.compaction_markers)).select(TURN), sessions.where("turn_count > 0")
+
+
+def chunk(parsed: DataFrame, d: Descriptor, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, session rows and compaction marks of some lines of sessions; numbers go on from ``known`` (``session_id``, ``seq``).
+
+    Turns have no ``surface`` yet, as marks may come later; sessions without a turn among these lines count 0.
+    """
     from colloquy.functions.text import thinking_state
 
     hidden = F.transform("tool_calls", lambda t: F.struct(t["name"].alias("name"), scrub(t["input_digest"]).alias("input_digest")))
-    turns = fold.number_turns(parsed.where("is_turn"))
+    turns = fold.number_turns(parsed.where("is_turn"), known)
     turns = turns.withColumns({"text": scrub(F.col("text")), "thinking": scrub(F.col("thinking")), "tool_calls": hidden, "thinking_state": thinking_state(F.col("thinking"), F.col("opaque"))})
+    turns = turns.select([c for c in TURN if c != "surface"])
     marks = fold.boundaries(parsed, F.col("is_turn"), F.col("is_marker"), F.col("anchor"))
     if d.compaction_keeps_from:
         marks = marks.where("anchor is not null")
-    turns = fold.compact(turns, marks, bool(d.compaction_markers)).select(TURN)
+    if known is not None:
+        marks = marks.join(known.groupBy("session_id").agg(F.max("seq").alias("_last")), "session_id", "left").withColumn("at", F.col("at") + F.coalesce("_last", F.lit(0))).drop("_last")
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.trim(c)), F.when(F.col(c).isNotNull(), F.col("pos")))
     first = F.min_by(F.when(F.col("cwd").isNotNull(), F.col("cwd")), F.when(F.col("cwd").isNotNull(), F.col("pos")))
     said = F.col("is_turn") & (F.col("role") == "user") & (F.col("text") != "")
     derived = F.left(F.min_by(F.when(said, F.col("text")), F.when(said, F.col("pos"))), F.lit(TITLE_CHARS))
     meta = parsed.groupBy("session_id", "machine_id", "runtime_id", "native_id").agg(first.alias("cwd"), F.nullif(last("title_user"), F.lit("")).alias("title_user"), F.nullif(last("title_ai"), F.lit("")).alias("title_ai"), scrub(derived).alias("title_derived"), F.max("source_path").alias("source_path"), F.max("mtime").alias("mtime"))
-    sessions = meta.join(fold.rollup(turns), "session_id")
-    return turns, sessions
+    sessions = meta.join(fold.rollup(turns), "session_id", "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0)))
+    return turns, sessions, marks

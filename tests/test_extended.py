@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as tx
 from colloquy.functions import timeparse
 from colloquy.operators import fts, names, providers, reach, retrieval, store, upkeep
-from colloquy.sources import descriptors, push, transcripts
+from colloquy.sources import descriptors, push, ranges, transcripts
 from colloquy.streaming import appended
 
 from tests.test_ingest import KNOWN, write
@@ -25,20 +25,20 @@ def test_long_and_torn_lines_in_linear_time(spark, tmp_path):
     began = time.time()
     rows = transcripts.lines(spark, str(tmp_path), KNOWN["claude_code"])
     got = sorted((r["path"].rsplit("/", 1)[1], r["pos"], r["n"]) for r in rows.select("path", "pos", F.length("value").alias("n")).collect())
-    assert [g[:2] for g in got] == [("a.jsonl", 0), ("a.jsonl", 1), ("a.jsonl", 2), ("b.jsonl", 0)] and got[1][2] > 5_000_000
+    # a line's place is its byte offset
+    assert [g[0] for g in got] == ["a.jsonl"] * 3 + ["b.jsonl"] and [g[1] for g in got] == [0, got[0][2] + 1, got[0][2] + got[1][2] + 2, 0] and got[1][2] > 5_000_000
     assert time.time() - began < 30
 
 
-def test_split_files_keep_their_order(spark, tmp_path):
+def test_split_files_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranges, "PIECE_BYTES", 20_000)
     write(tmp_path / "p" / "a.jsonl", [say(f"line {i} " + "z" * (i % 50)) for i in range(3000)], torn="{")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    try:
-        parsed = transcripts.parse(transcripts.lines(spark, str(tmp_path), KNOWN["claude_code"]), KNOWN["claude_code"], "m")
-        got = [r["text"].split()[1] for r in parsed.orderBy("pos").collect()]
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert got == [str(i) for i in range(3000)]
+    d = KNOWN["claude_code"]
+    found = ranges.pieces(transcripts.files(spark, str(tmp_path), d))
+    assert found.count() > 10 and found.where("stop - start > 20000").isEmpty()
+    for rows in (transcripts.lines(spark, str(tmp_path), d), transcripts._through_hadoop(spark, str(tmp_path), d, None, None, ".jsonl", None)):
+        got = [r["text"].split()[1] for r in transcripts.parse(rows, d, "m").orderBy("pos").collect()]
+        assert got == [str(i) for i in range(3000)]
 
 
 def test_ids_with_glob_signs_and_odd_paths(spark, tmp_path):
@@ -62,6 +62,9 @@ def test_vanished_files_are_reported(spark, tmp_path):
     (tmp_path / "p" / "b.jsonl").unlink()
     assert sorted(r["value"].count('"') for r in rows.collect()) and rows.count() == 2
     assert [r["path"].rsplit("/", 1)[1] for r in transcripts.unread(found, rows).collect()] == ["b.jsonl"]
+    failures = ranges.Failures(spark.sparkContext)
+    assert transcripts.lines(spark, str(tmp_path), d, kept=found, failures=failures).count() == 2
+    assert [p.rsplit("/", 1)[1] for p in failures.paths] == ["b.jsonl"]
 
 
 def test_scan_provider_over_folders_reports_what_it_lacks(spark, tmp_path):

@@ -1,0 +1,174 @@
+"""Reading by byte ranges, waves of files, and files that are skipped."""
+
+import json
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from colloquy.operators import providers
+from colloquy.sources import descriptors, ranges, skipping, transcripts
+
+KNOWN = {d.id: d for d in descriptors.BUILT_IN}
+BLOCKS = KNOWN["claude_code"]
+
+
+def put(path, records, mtime=None, torn=b""):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(b"".join((r if isinstance(r, bytes) else json.dumps(r, ensure_ascii=False).encode()) + b"\n" for r in records) + torn)
+    if mtime is not None:
+        os.utime(path, (mtime, mtime))
+
+
+def say(text, **more):
+    return {"type": "user", "timestamp": "2024-01-01T00:00:01Z", "cwd": "/w", "message": {"content": text}, **more}
+
+
+def whole_file(path):
+    """Plain reading: (offset, line) of all complete lines that are UTF-8 and not blank."""
+    out, at = [], 0
+    data = path.read_bytes()
+    for raw in data[: data.rfind(b"\n") + 1].split(b"\n")[:-1]:
+        text = raw.removeprefix(ranges.MARK) if at == 0 else raw
+        try:
+            if text.strip():
+                out.append((at, text.decode()))
+        except UnicodeDecodeError:
+            pass
+        at += len(raw) + 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000, 1 << 20])
+def test_every_line_belongs_to_one_piece(tmp_path, piece):
+    rng = random.Random(piece)
+    for k in range(12):
+        path = tmp_path / f"{k}.jsonl"
+        raws = [rng.choice([b"", b" ", b"x" * rng.randint(1, 90), "é€".encode() * rng.randint(1, 9), b"\xff\xfe", b"{}"]) for _ in range(rng.randint(0, 40))]
+        put(path, ([ranges.MARK + b"first"] if k % 3 == 0 else []) + raws, torn=rng.choice([b"", b"torn", "€".encode()[:2], b"\xff"]))
+        got, size = [], path.stat().st_size
+        for start in range(0, size, piece):
+            for at, block in ranges.stretches(str(path), start, min(size, start + piece)):
+                batch = ranges._rows("p", 1, at, block).to_pylist()
+                got += [(r["pos"], r["value"]) for r in batch]
+        assert got == whole_file(path), k
+
+
+def test_a_large_file_with_bad_bytes_and_a_torn_tail(spark, tmp_path, monkeypatch):
+    """Some 1.1 GB: lines keep their offsets, one of them is 70 MB long and runs over more than one piece."""
+    path = tmp_path / "p" / "big.jsonl"
+    path.parent.mkdir()
+    unit = json.dumps(say("x" * 1000)).encode() + b"\n"
+    n = 500
+    with open(path, "wb") as f:
+        for i in range(2000):
+            f.write(unit * n)
+            if i == 700:
+                f.write(b"\xff not utf-8\n\n")
+            if i == 900:
+                f.write(json.dumps(say("long" + "y" * 70_000_000)).encode() + b"\n")
+        f.write(b'{"type": "user", "message": {"content": "torn \xe2\x82')
+    size = path.stat().st_size
+    assert size > 1.1e9
+    rows = transcripts.lines(spark, str(tmp_path), BLOCKS)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1  # of the pieces
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("places"), F.max("pos").alias("last"), F.max(F.length("value")).alias("longest")).first()
+    assert found.n == found.places == 2000 * n + 1 and found.longest > 70_000_000
+    assert found["last"] == size - len(b'{"type": "user", "message": {"content": "torn \xe2\x82') - len(unit)
+
+
+def provider(spark, tmp_path, **more):
+    return providers.FolderScan.over(spark, {"claude_code": str(tmp_path / "r")}, KNOWN, "m1", **more)
+
+
+def test_search_stops_early_and_equals_the_whole_scan(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(providers, "WAVE_FILES", 3)
+    monkeypatch.setattr(providers, "WAVE_GROWTH", 2)
+    for i in range(40):
+        put(tmp_path / "r" / "p" / f"s{i:02}.jsonl", [say("nothing"), say(f"Needle {i}"), say("needle again")] if i % 2 else [say("plain")], mtime=1_800_000_000 + i)
+    p = provider(spark, tmp_path)
+    found, coverage = providers.Retrieval(p).search("needle", providers.Scope(since=0), limit=4)
+    assert [(r["session_id"].rsplit("/", 1)[1], r["seq"]) for r in found.collect()] == [("s39", 2), ("s39", 3), ("s37", 2), ("s37", 3)] and coverage.truncated
+    # five hits are asked for, to know whether there are more: two waves of 3 and 6 files
+    assert p.opened == 9 and p.parsed < p.opened
+    everything = provider(spark, tmp_path)
+    all_found, coverage = providers.Retrieval(everything).search("needle", providers.Scope(since=0), limit=1000)
+    assert everything.opened == 40 and everything.parsed == 20 and all_found.count() == 40 and not coverage.truncated
+    assert [tuple(r) for r in all_found.limit(4).collect()] == [tuple(r) for r in found.collect()]
+    # a pattern can't be told by bytes: all files of the waves are parsed
+    q = provider(spark, tmp_path)
+    got, _ = providers.Retrieval(q).search("needle (1|3)$", providers.Scope(since=0), regex=True, limit=10)
+    assert {r["session_id"][-3:] for r in got.collect()} == set() and q.parsed == 40
+    got, _ = providers.Retrieval(q).search("^Needle (1|3)$", providers.Scope(since=0), regex=True, limit=10)
+    assert {r["session_id"][-3:] for r in got.collect()} == {"s01", "s03"}
+
+
+def test_files_changed_before_the_window_stay_closed(spark, tmp_path):
+    put(tmp_path / "r" / "p" / "old.jsonl", [say("needle")], mtime=1_000)
+    put(tmp_path / "r" / "p" / "new.jsonl", [say("needle", timestamp="2027-01-15T08:00:00Z")], mtime=1_800_000_000)
+    p = provider(spark, tmp_path)
+    found, _ = providers.Retrieval(p).search("needle", providers.Scope(since=1_700_000_000_000))
+    assert [r["session_id"] for r in found.collect()] == ["m1/claude_code/new"] and p.opened == 1
+
+
+def test_one_session_is_read_from_its_own_file(spark, tmp_path):
+    for name in ("a", "b"):
+        put(tmp_path / "r" / "p" / f"{name}.jsonl", [say(f"{name} {i}") for i in range(3)])
+    api = providers.Retrieval(provider(spark, tmp_path))
+    assert [r["text"] for r in api.turns("m1/claude_code/b")[0].collect()] == ["b 0", "b 1", "b 2"]
+    for other in ("m2/claude_code/b", "m1/pi/b", "m1/claude_code/c", "odd"):
+        assert api.turns(other)[0].count() == 0
+    assert api.sessions(providers.Scope(since=0))[0].count() == 2
+
+
+def test_only_failures_are_reported_as_such(spark, tmp_path):
+    put(tmp_path / "r" / "p" / "live.jsonl", [], torn=b'{"type":"user","message":{"content":"being wri')
+    put(tmp_path / "r" / "p" / "blank.jsonl", [b"", b" "])
+    put(tmp_path / "r" / "p" / "empty.jsonl", [])
+    put(tmp_path / "r" / "p" / "good.jsonl", [say("needle")])
+    put(tmp_path / "r" / "p" / "gone.jsonl", [say("needle")])
+    p = provider(spark, tmp_path)
+    (tmp_path / "r" / "p" / "gone.jsonl").unlink()
+    found, coverage = providers.Retrieval(p).search("needle", providers.Scope(since=0))
+    assert found.count() == 1 and coverage.degraded == ["1 files could not be read"]
+    assert providers.Retrieval(provider(spark, tmp_path)).search("needle", providers.Scope(since=0))[1].degraded == []
+
+
+def test_filters_skip_files_and_lose_none(spark, tmp_path):
+    texts = {"a": "the quick brown fox", "b": "Quick BROWN", "c": "slow green", "kelvin": "the quiK mark", "dotted": "QUİCK", "upper": "THE QUICK"}
+    for name, text in texts.items():
+        put(tmp_path / "r" / "p" / f"{name}.jsonl", [say(text)] * 3, mtime=1_800_000_000)
+    put(tmp_path / "r" / "p" / "escaped.jsonl", [json.dumps(say("x")).replace('"x"', '"the \\u0071uick"').encode()], mtime=1_800_000_000)
+    filters = skipping.Filters(spark, str(tmp_path / "filters"))
+    files = transcripts.files(spark, str(tmp_path / "r"), BLOCKS)
+    assert filters.renew(files) == 7 and filters.renew(files) == 0
+    names = lambda rows: {r.path.rsplit("/", 1)[1][:-6] for r in rows.collect()}
+    for query in ("the quick", "quik", "nowhere", "qui", 'a"b'):
+        plain = providers.Retrieval(provider(spark, tmp_path)).search(query, providers.Scope(since=0), limit=50)[0]
+        quick = provider(spark, tmp_path, filters=filters)
+        got = providers.Retrieval(quick).search(query, providers.Scope(since=0), limit=50)[0]
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in plain.collect()], query
+    assert names(filters.candidates(files, b"green")) == {"c", "kelvin", "dotted", "escaped"}
+    p = provider(spark, tmp_path, filters=filters)
+    providers.Retrieval(p).search("green", providers.Scope(since=0))
+    assert p.opened == 4 and p.parsed == 4
+    # changed and new files have no filter until it is renewed, then only they are read
+    put(tmp_path / "r" / "p" / "c.jsonl", [say("now brown too")], mtime=1_800_000_100)
+    put(tmp_path / "r" / "p" / "d.jsonl", [say("other")], mtime=1_800_000_100)
+    files = transcripts.files(spark, str(tmp_path / "r"), BLOCKS)
+    assert {"c", "d"} <= names(filters.candidates(files, b"brown")) and filters.renew(files) == 2
+    assert names(filters.candidates(files, b"brown")) == {"a", "b", "c", "kelvin", "dotted", "escaped"}
+
+
+def test_filters_are_rewritten_without_what_is_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skipping, "PARTS", 2)
+    filters = skipping.Filters(spark, str(tmp_path / "filters"))
+    for i in range(4):
+        put(tmp_path / "r" / "p" / f"{i}.jsonl", [say(f"word{i}")], mtime=1_800_000_000 + i)
+        if i == 2:
+            (tmp_path / "r" / "p" / "0.jsonl").unlink()
+        assert filters.renew(transcripts.files(spark, str(tmp_path / "r"), BLOCKS)) == 1
+    state = filters.versions.read()[1]
+    assert len(state["parts"]) == 2 and filters._rows(state).count() == 3
