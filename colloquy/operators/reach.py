@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,8 @@ from colloquy.session import materialize
 STALE_MS, EVICT_MS, GRACE_MS = 90_000, 600_000, 300_000
 WAKE_GAP_MS, MOST_ATTEMPTS, MOST_PENDING = 10_000, 5, 32
 CHALLENGE_MS, MOST_LEVELS = 60_000, 16
+#: Of the limiter: a burst, how much of it comes back in a minute, and the keys that one lane holds.
+BURST, PER_MINUTE, MOST_KEYS = 5, 5, 4096
 
 
 def presence_state(last_seen: Column, registered: Column, presence: Column, now: int) -> Column:
@@ -309,6 +315,70 @@ def rate_limited(requests: DataFrame, capacity: int = 5, per_minute: int = 5) ->
     return _folded(requests, "key", "string", "passed", lambda: (float(capacity), None), step)
 
 
+class Buckets:
+    """Token buckets of at most ``most`` keys.
+
+    A bucket that has filled up again says what none says and is let go; while all are in use a new key is
+    refused, never an old one displaced. A clock that steps back neither fills nor drains. An entry is (level,
+    last time), and buckets are let go in the order in which they will be full.
+    """
+
+    def __init__(self, entries: dict[str, tuple[float, int]] | None = None, most: int = MOST_KEYS, burst: float = BURST, per_minute: float = PER_MINUTE):
+        self.entries, self.most, self.burst, self.rate = dict(entries or {}), most, float(burst), per_minute / 60_000
+        self._full = [(self._full_at(k), k) for k in self.entries]
+        heapq.heapify(self._full)
+
+    def _full_at(self, key: str) -> float:
+        level, last = self.entries[key]
+        return last + (self.burst - level) / self.rate
+
+    def _let_go(self, now: int) -> None:
+        while self._full and self._full[0][0] <= now:
+            _, key = heapq.heappop(self._full)
+            if key in self.entries:
+                if (at := self._full_at(key)) <= now:
+                    del self.entries[key]
+                else:  # used since
+                    heapq.heappush(self._full, (at, key))
+
+    def allow(self, key: str, now: int) -> bool:
+        self._let_go(now)
+        new = key not in self.entries
+        if new and len(self.entries) >= self.most:
+            return False
+        level, last = self.entries.get(key, (self.burst, now))
+        level = min(self.burst, level + max(0, now - last) * self.rate)
+        passed = level >= 1
+        self.entries[key] = (level - passed, max(now, last))
+        if new:
+            heapq.heappush(self._full, (self._full_at(key), key))
+        return passed
+
+
+def lane(key: Column, lanes: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int")
+
+
+def rate_limited_within(requests: DataFrame, lanes: int = 1, most: int = MOST_KEYS) -> DataFrame:
+    """Token buckets (``key``, ``at``) where each lane of keys holds at most ``most`` at a time: ``lane`` and whether each passes.
+
+    A lane is one server's table, so its requests go in order through one task, in batches and bounded memory.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, buckets = None, None
+        for pdf in batches:
+            passed = []
+            for k, key, at in zip(pdf["lane"], pdf["key"], pdf["at"], strict=True):
+                if k != now:
+                    now, buckets = k, Buckets(most=most)
+                passed.append(buckets.allow(key, at))
+            yield pdf.assign(passed=passed)
+
+    rows = requests.select(lane(F.col("key"), lanes).alias("lane"), "key", "at").repartition("lane").sortWithinPartitions("lane", "at", "key")
+    return rows.mapInPandas(run, "lane int, key string, at long, passed boolean")
+
+
 def challenges(events: DataFrame) -> DataFrame:
     """Whether each answer to a challenge counts: events ``issue`` and ``consume`` (``nonce``, ``kind``, ``at``, ``event_id``).
 

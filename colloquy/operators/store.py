@@ -223,7 +223,8 @@ class Library:
         """Write one segment; ``rows`` may hold the postings' entries if they are known."""
         name = self.versions.folder("segment")
         at = lambda table: self.versions.data(name, table)
-        turns.repartitionByRange("session_id", "seq").sortWithinPartitions("session_id", "seq").write.parquet(at("turns"))
+        # sorted where they are, so that a session's row groups are told by their statistics; nothing is worked out twice
+        turns.sortWithinPartitions("session_id", "seq").write.parquet(at("turns"))
         stored = self.spark.read.parquet(at("turns"))
         indexed = materialize(fts.index(stored), "tokens")
         tables = {"turns": stored.schema.jsonValue()}
@@ -259,11 +260,12 @@ class Library:
         ids.select("session_id").where(F.col("session_id").isNotNull()).distinct().write.parquet(self.versions.data(name))
         return name, self.spark.read.parquet(self.versions.data(name)).count()
 
-    def write(self, turns: DataFrame, sessions: DataFrame | None = None, marks: DataFrame | None = None, *, replace: bool = True, reread: DataFrame | None = None, batch: tuple[str, int] | None = None, expect: int | None = None) -> int:
+    def write(self, turns: DataFrame, sessions: DataFrame | None = None, marks: DataFrame | None = None, *, replace: bool | DataFrame = True, reread: DataFrame | None = None, batch: tuple[str, int] | None = None, expect: int | None = None) -> int:
         """Commit turns (``session_id``, ``seq``, ``text``, ``thinking``, ``tool_calls``, and any more) and return the version.
 
         With ``replace`` the sessions of these turns, and those of ``reread``, lose what they had; a session
-        of ``reread`` that had turns and has none now fails the write. Without it the turns are added.
+        of ``reread`` that had turns and has none now fails the write. Without it the turns are added; a table
+        of sessions names those that lose what they had.
         ``batch`` names a stream and its batch; one that is in the ledger is left out. ``expect`` is the
         number of turns that must have been written.
         """
@@ -274,7 +276,9 @@ class Library:
             raise CheckFailed(f"{segment['rows']} turns were written, {expect} were to be")
         own = self.spark.read.parquet(self.versions.data(name, "turns")).select("session_id")
         ids = None
-        if replace:
+        if isinstance(replace, DataFrame):
+            ids = self._ids(replace)
+        elif replace:
             ids = self._ids(own if reread is None else own.unionByName(reread.select("session_id")))
 
         def step(base: int, state: dict) -> dict | None:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.session import materialize
+
 #: Peers asked for ``all``, asked at once, and how long one may take.
 MOST_PEERS, AT_ONCE, PEER_SECONDS = 8, 4, 5.0
 
@@ -64,22 +70,40 @@ def select_peers(peers: DataFrame, wanted: list[str]) -> tuple[str, list[str]]:
 
 
 def ask_peers(peers: dict[str, Callable[[], DataFrame]], at_once: int = AT_ONCE, seconds: float = PEER_SECONDS) -> dict[str, DataFrame | Exception]:
-    """The answers of all peers, a few at a time; a peer that fails or is late is an exception, not zero hits."""
-    pool, out = ThreadPoolExecutor(at_once), {}
+    """The answers of all peers, a few at a time; a peer that fails or is late is an exception, not zero hits.
 
-    def ask(f):
-        hits = f()
-        if hits is None:
-            raise ValueError("the answer has no hits")
-        return hits
+    One deadline holds for all. An answer is worked out while it is waited for and kept in the shared
+    folder, so nothing of it is left to run later; the Spark jobs of a late peer are cancelled by their tag.
+    """
+    spark = SparkSession.active()
+    sc, pool, out = spark.sparkContext, ThreadPoolExecutor(at_once), {}
+    tags = {name: f"peer-{uuid.uuid4().hex}" for name in peers}
+    late = threading.Event()
 
-    jobs = {name: pool.submit(ask, f) for name, f in peers.items()}
+    def ask(name: str, f: Callable[[], DataFrame]) -> DataFrame:
+        sc.addJobTag(tags[name])
+        try:
+            hits = f()
+            if hits is None:
+                raise ValueError("the answer has no hits")
+            if late.is_set():
+                raise TimeoutError
+            return materialize(hits, "peer")
+        finally:
+            sc.removeJobTag(tags[name])
+
+    deadline = time.monotonic() + seconds
+    jobs = {name: pool.submit(inheritable_thread_target(spark)(ask), name, f) for name, f in peers.items()}
     for name, job in jobs.items():
         try:
-            out[name] = job.result(timeout=seconds)
+            out[name] = job.result(timeout=max(0.0, deadline - time.monotonic()))
         except Exception as e:
             out[name] = e if str(e) else TimeoutError(f"no answer within {seconds} seconds")
+    late.set()
     pool.shutdown(wait=False, cancel_futures=True)
+    for name, job in jobs.items():
+        if not job.done():
+            sc.cancelJobsWithTag(tags[name])
     return out
 
 
