@@ -48,7 +48,7 @@ _LINE = f"""line AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' TH
     t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq FROM line WHERE role <> 'system')
     SELECT 'm1/claude_code/' || conv_id AS session_id, seq, role, ts, text, uuid, tokens_out, CASE WHEN seq <= cut THEN 'superseded' ELSE 'current' END AS surface FROM t LEFT JOIN cut USING (conv_id)""")
 def transcripts_parsed(spark, sf_dir):
-    """PJ1 PJ2 PJ3 PJ4 PJ5 PJ7 PJ9 PJ10 PJ12 SC13: transcript lines to numbered, compacted turns."""
+    """PJ1 PJ2 PJ3 PJ4 PJ10 PJ12 SC13: transcript lines to numbered, compacted turns."""
     turns, _ = transcripts.tables(transcripts.parse(_records(spark, sf_dir), _FORMAT, "m1"), _FORMAT)
     return turns.select("session_id", "seq", "role", "ts", "text", "uuid", "tokens_out", "surface")
 
@@ -56,14 +56,14 @@ def transcripts_parsed(spark, sf_dir):
 @query(f"""WITH {_LINE} SELECT 'm1/claude_code/' || conv_id AS session_id, '/w/conv-' || conv_id AS cwd, left(min_by(text, turn) FILTER (role = 'user' AND text <> ''), 200) AS title_derived,
     min(ts) AS started_at, max(ts) AS last_turn_at, count(*) AS turn_count FROM line WHERE role <> 'system' GROUP BY conv_id""")
 def transcript_sessions(spark, sf_dir):
-    """PJ6 PJ13 PJ14 PJ15: session rows of parsed transcripts."""
+    """PJ13 PJ14 PJ15: session rows of parsed transcripts."""
     _, sessions = transcripts.tables(transcripts.parse(_records(spark, sf_dir), _FORMAT, "m1"), _FORMAT)
     return sessions.select("session_id", "cwd", "title_derived", "started_at", "last_turn_at", "turn_count")
 
 
 @query(f"""WITH {_LINE} SELECT '/w/conv-' || conv_id AS cwd, uuid, role, ts, text FROM line WHERE role <> 'system'""")
 def transcripts_read(spark, sf_dir):
-    """SC1 SC2 SC5 SC9: transcript files written to the shared folder, read back line by line and parsed."""
+    """SC1: transcript files written to the shared folder, read back line by line and parsed."""
     path = scratch_path(spark, "transcripts")
     _records(spark, sf_dir).select("value").write.option("lineSep", "\n").text(path)
     d = replace(_FORMAT, dir_depth=0)
@@ -357,14 +357,14 @@ def sent_replies(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {SQL.removeprefix("WITH ")}, l AS (SELECT session_id, pid - 90 AS pid, CASE WHEN presence = 'declared' THEN 'declared' ELSE 'scan' END AS presence FROM live WHERE pid % 2 = 0),
-    p AS (SELECT i AS pid, i // 3 AS ppid FROM range(1, 3000) r(i)),
+    p AS (SELECT event_id AS pid, event_id // 3 AS ppid FROM events WHERE event_id > 0),
     w AS (SELECT pid, count(*) FILTER (presence = 'scan') AS scans, count(*) AS n, min(session_id) FILTER (presence = 'scan') AS scan, min(session_id) AS one FROM l GROUP BY 1),
     c AS (SELECT pid AS ask, pid AS "at", 1 AS level FROM p UNION ALL SELECT c.ask, p.ppid, level + 1 FROM c JOIN p ON p.pid = c."at" WHERE p.ppid > 0 AND p.ppid <> p.pid AND level < 16 AND c."at" NOT IN (SELECT pid FROM w))
     SELECT p.pid, CASE WHEN scans = 1 THEN scan WHEN scans = 0 AND n = 1 THEN one END AS session_id, CASE WHEN w.pid IS NULL THEN 'Unknown' WHEN scans = 1 OR (scans = 0 AND n = 1) THEN 'Resolved' ELSE 'Ambiguous' END AS state
     FROM p LEFT JOIN (SELECT ask, "at" FROM c WHERE "at" IN (SELECT pid FROM w)) x ON x.ask = p.pid LEFT JOIN w ON w.pid = x."at\"""")
 def own_sessions(spark, sf_dir):
     """The session of a process, from the nearest of its ancestors that owns one."""
-    processes = spark.range(1, 3000).select(F.col("id").alias("pid"), F.floor(F.col("id") / 3).cast("long").alias("ppid"))
+    processes = table(spark, sf_dir, "events").where("event_id > 0").select(F.col("event_id").alias("pid"), F.floor(F.col("event_id") / 3).cast("long").alias("ppid"))
     live = views.live(spark, sf_dir).where("pid % 2 = 0").select("session_id", (F.col("pid") - 90).alias("pid"), F.when(F.col("presence") == "declared", "declared").otherwise("scan").alias("presence"))
     return reach.own_sessions(processes, processes, live)
 

@@ -1,11 +1,14 @@
-"""Runtime descriptors: where a transcript format keeps what a turn needs. Data, not code."""
+"""Runtime descriptors: where a transcript format keeps what a turn needs. Data, not code, but for formats that no description fits."""
 
 from __future__ import annotations
 
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 
 @dataclass(frozen=True)
 class Descriptor:
@@ -48,6 +51,7 @@ class Descriptor:
     sidechain_path: str = ""
     dir_depth: int = 1
     nested_dir: str = ""
+    suffix: str = ".jsonl"
     capabilities: dict = field(default_factory=dict)
 
     @classmethod
@@ -71,6 +75,18 @@ class Descriptor:
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
+@dataclass(frozen=True)
+class Coded(Descriptor):
+    """A format read by a function from lines (``path``, ``mtime``, ``pos``, ``value``) to rows.
+
+    The rows keep ``path``, ``mtime`` and ``pos`` and have ``role`` and ``text``, and any more of ``transcripts.CODED``
+    with the type stated there; what they lack is absent. A row of no known role is no turn. Files are found,
+    numbered, redacted and rolled up as for any other format.
+    """
+
+    parser: Callable[[DataFrame], DataFrame] = lambda rows: rows
+
+
 #: The three transcript formats known without a file.
 BUILT_IN = [
     Descriptor(
@@ -97,9 +113,20 @@ BUILT_IN = [
 ]
 
 
+#: Formats that were registered in code, by id.
+REGISTERED: dict[str, Coded] = {}
+
+
+def register(d: Coded) -> None:
+    """Make a coded format known to ``load``; an id is registered once."""
+    if not d.id or d.id in REGISTERED or d.id in {x.id for x in BUILT_IN}:
+        raise ValueError(f"a format needs an id of its own, not {d.id!r}")
+    REGISTERED[d.id] = d
+
+
 def load(folder: str | None = None) -> tuple[dict[str, Descriptor], dict[str, str]]:
-    """All descriptors by id, files of ``folder`` over built-in ones, and what was wrong with skipped files."""
-    found, wrong = {d.id: d for d in BUILT_IN}, {}
+    """All descriptors by id, files of ``folder`` over registered and built-in ones, and what was wrong with skipped files."""
+    found, wrong = {d.id: d for d in BUILT_IN} | REGISTERED, {}
     for path in sorted(Path(folder).glob("*.toml")) if folder else []:
         try:
             d = Descriptor.parse(path.read_text())

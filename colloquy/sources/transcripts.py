@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import scrub
 from colloquy.operators import fold
 from colloquy.sources import ranges
-from colloquy.sources.descriptors import Descriptor
+from colloquy.sources.descriptors import Coded, Descriptor
 
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 DIGEST_CHARS, TITLE_CHARS = 80, 200
@@ -24,7 +24,7 @@ def safe_native_id(native_id: str) -> bool:
 
 def native_id(path: Column, rule: str) -> Column:
     """A session's id from its file name; a rule that doesn't fit falls back to the stem."""
-    stem = F.regexp_extract(path, r"([^/]*?)(?:\.jsonl)?$", 1)
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.(?:jsonl|txt|log))?$", 1)
     pattern = {"stem": None, "after_underscore": "_(.+)$", "trailing_uuid": f"({UUID})$"}[rule]
     if pattern is None:
         return stem
@@ -32,8 +32,9 @@ def native_id(path: Column, rule: str) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), stem)
 
 
-def _pruned(reader, d: Descriptor, since_ms: int | None, only: str | None, suffix: str):
+def _pruned(reader, d: Descriptor, since_ms: int | None, only: str | None, suffix: str | None):
     """A file reader that lists only wanted names and times."""
+    suffix = d.suffix if suffix is None else suffix
     if only is not None and not safe_native_id(only):
         raise ValueError(f"not a session id: {only!r}")
     name = re.sub(r"([\[\]{}*?,])", r"\\\1", only) if only else ""
@@ -56,7 +57,7 @@ def _wanted(path: Column, root: str, d: Descriptor, only: str | None) -> Column:
     return wanted if only is None else wanted & (native_id(path, d.native_id) == only)
 
 
-def files(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl") -> DataFrame:
+def files(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str | None = None) -> DataFrame:
     """The transcript files as listed: ``path``, ``mtime``, ``size``; contents aren't read."""
     found = _pruned(spark.read.format("binaryFile").option("ignoreMissingFiles", "true"), d, since_ms, only, suffix).load(root)
     return found.where(_wanted(F.col("path"), root, d, only)).select("path", F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"))
@@ -69,7 +70,7 @@ def within_budget(found: DataFrame, most: int = FILE_BUDGET) -> tuple[DataFrame,
     return found.orderBy(F.col("mtime").desc(), "path").limit(most), notes
 
 
-def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str = ".jsonl", kept: DataFrame | None = None, failures: ranges.Failures | None = None) -> DataFrame:
+def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None = None, only: str | None = None, suffix: str | None = None, kept: DataFrame | None = None, failures: ranges.Failures | None = None) -> DataFrame:
     """Complete lines of all transcript files: ``path``, ``mtime``, ``pos``, ``value``.
 
     Files lie exactly ``dir_depth`` folders below the root, or in folders named ``nested_dir`` at any
@@ -83,7 +84,7 @@ def lines(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None =
     return ranges.lines(files(spark, root, d, since_ms, only, suffix) if kept is None else kept, failures)
 
 
-def _through_hadoop(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None, only: str | None, suffix: str, kept: DataFrame | None) -> DataFrame:
+def _through_hadoop(spark: SparkSession, root: str, d: Descriptor, since_ms: int | None, only: str | None, suffix: str | None, kept: DataFrame | None) -> DataFrame:
     """As ``lines``, for file systems that tasks can't open by themselves.
 
     The text source doesn't tell a line's offset, so the lines of a file are put in order by block and place
@@ -163,6 +164,8 @@ def parse(rows: DataFrame, d: Descriptor, machine_id: str) -> DataFrame:
 
     Reasoning rules come first, then entry rules, then roles; the marker test precedes all of them.
     """
+    if isinstance(d, Coded):
+        return _coded(d.parser(rows), d, machine_id)
     v = F.try_parse_json("value")
     rows = rows.withColumn("v", v).where("v is not null")
     v = F.col("v")
@@ -239,6 +242,43 @@ def parse(rows: DataFrame, d: Descriptor, machine_id: str) -> DataFrame:
     )
 
 
+#: What the function of a coded format may return, beside ``path``, ``mtime`` and ``pos``; ``role`` and ``text`` it must.
+CODED = {
+    "role": "string", "text": "string", "ts": "bigint", "thinking": "string", "opaque": "boolean", "tool_calls": "array<struct<name:string,input_digest:string>>", "is_marker": "boolean", "anchor": "string", "cwd": "string",
+    "title_user": "string", "title_ai": "string", "tokens_in": "bigint", "tokens_out": "bigint", "uuid": "string", "parent_uuid": "string", "model": "string", "cache_read_tokens": "bigint", "cache_creation_tokens": "bigint", "sidechain": "boolean",
+}
+
+
+def _coded(rows: DataFrame, d: Coded, machine_id: str) -> DataFrame:
+    """What a coded format returned, checked, with the columns of ``parse``."""
+    kinds = dict(rows.dtypes)
+    lacking = [c for c in ("path", "mtime", "pos", "role", "text") if c not in kinds]
+    odd = [f"{c} {kinds[c]}" for c in rows.columns if c not in ("path", "mtime", "pos") and CODED.get(c) != kinds[c]]
+    if lacking or odd:
+        raise ValueError(f"format {d.id}: " + "; ".join([f"no column {c}" for c in lacking] + [f"unknown column or type: {c}" for c in odd]))
+    own = native_id(F.col("path"), d.native_id)
+    blank = {"thinking": F.lit(""), "tool_calls": F.array(), "opaque": F.lit(False), "is_marker": F.lit(False), "sidechain": F.lit(False)}
+
+    def col(name: str) -> Column:
+        held = F.col(name) if name in kinds else F.lit(None)
+        return (F.coalesce(held, blank[name]) if name in blank else held).cast(CODED[name]).alias(name)
+
+    known = F.when(F.col("role").isin(*d.user_roles), "user").when(F.col("role").isin(*d.assistant_roles), "assistant")
+    return rows.select(
+        F.concat_ws("/", F.lit(machine_id), F.lit(d.id), own).alias("session_id"),
+        F.lit(machine_id).alias("machine_id"),
+        F.lit(d.id).alias("runtime_id"),
+        own.alias("native_id"),
+        F.col("path").alias("source_path"),
+        "mtime",
+        "pos",
+        (known.isNotNull() & F.col("text").isNotNull()).alias("is_turn"),
+        *[col(c) for c in ("is_marker", "anchor", "cwd", "title_user", "title_ai")],
+        known.alias("role"),
+        *[col(c) for c in CODED if c not in ("role", "is_marker", "anchor", "cwd", "title_user", "title_ai")],
+    )
+
+
 TURN = ["session_id", "machine_id", "runtime_id", "native_id", "seq", "role", "ts", "text", "thinking", "opaque", "thinking_state", "tool_calls", "tokens_in", "tokens_out", "uuid", "parent_uuid", "model", "cache_read_tokens", "cache_creation_tokens", "surface", "sidechain"]
 
 
