@@ -116,11 +116,13 @@ def _buckets(ids: DataFrame, key: str) -> Column:
     fine = max(1, wanted // cuts)
     at = [i / cuts for i in range(1, cuts)] or [0.5]
     inner = ids.agg(F.percentile_approx(key, at, 10_000).alias("q")).first()["q"]
-    edges = sorted({low, high + 1, *inner})
+    edges = sorted({low, min(high + 1, (1 << 63) - 1), *inner})
     bounds = F.array(*[F.lit(int(e)) for e in edges])
     i = F.size(F.filter(bounds, lambda b: b <= F.col(key)))
-    lo, hi = F.element_at(bounds, i), F.element_at(bounds, i + 1)
-    part = F.floor((F.col(key) - lo) / (hi - lo) * fine)
+    lo, hi = F.get(bounds, i - 1), F.get(bounds, i)
+    # as doubles, which never overflow and keep the order; the largest long has no edge above it
+    wide = lambda c: c.cast("double")
+    part = F.floor((wide(F.col(key)) - wide(lo)) / (wide(hi) - wide(lo)) * fine)
     b = (i - 1).cast("long") * fine + F.least(part, F.lit(fine - 1))
     return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(b).cast("long")
 

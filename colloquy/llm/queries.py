@@ -37,7 +37,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_and_index(table(spark, sf_dir, "pages"), min_bytes=0)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "range_id", "position")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,18 @@ _KEYED_LINES = """
 """
 
 ORACLE_SQL = {
+    "op4_warc": """
+        WITH payload AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        digest AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex FROM payload),
+        named AS (
+            SELECT *, array_to_string(list_transform(range(32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, i // 4 * 5 + 1, 5))::BIGINT >> (15 - i % 4 * 5)) & 31) + 1, 1)), '') AS payload_digest
+            FROM digest),
+        first AS (SELECT payload_digest, n, min(page_id) AS first FROM named GROUP BY ALL)
+        SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id > first THEN first END AS refers_to
+        FROM named JOIN first USING (payload_digest, n)
+    """,
     "op6_chat_format": """
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

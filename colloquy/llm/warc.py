@@ -7,16 +7,15 @@ whatever file system the shared folder is on, committed like any Spark output.
 
 Indexing: every archive is read back once and parsed by its content lengths; a task sorts the captures of
 an archive into a run by (URL key, timestamp, page id) and writes it, each row with its place in the run.
-The runs are cut at the same key bounds; a range's rows come back run by run in their places (by Spark's
-sort, which spills), and its k sorted slices are merged by a loser tree, which gives globally ordered
-capture histories (``range_id``, ``position``). The number of ranges follows the number of captures, about
-``RANGE_ROWS`` each, so a task holds that many at any size. The bounds come from a sample of
-``KEYS_PER_RANGE`` keys a range and hold page ids, so a host or URL with a third of all captures is split
-like any other range.
+The runs are cut at the same key bounds, which Spark draws for its range partitioning; a range's rows come
+back run by run in their places (by Spark's sort, which spills), and its k sorted slices are merged by a loser
+tree, which gives globally ordered capture histories (``range_id``, ``position``). The number of ranges follows
+the number of captures, about ``RANGE_ROWS`` each, so a task holds that many at any size. The keys hold page
+ids and places, so a host or URL with a third of all captures is split like any other range.
 
 Defined cases: a null html is the empty payload; a null url is empty; line breaks in a URL are
-percent-encoded; of rows that repeat the smallest page id of a payload each is a response; a page
-without an id is always a response; page ids are integers; other columns are ignored; an empty table
+percent-encoded; of rows that repeat the smallest page id of a payload each is a response; rows that repeat
+an id with other payloads are captures of their own; a page without an id is always a response; page ids are integers; other columns are ignored; an empty table
 gives an empty index. No archive file exceeds ``FILE_BYTES`` but for one with a single larger page.
 """
 
@@ -29,7 +28,7 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.session import forget, materialize, scratch_path
@@ -37,8 +36,10 @@ from colloquy.session import forget, materialize, scratch_path
 END = "\r\n\r\n"
 #: Rows and bytes an archive file holds at most.
 ROWS_PER_FILE, FILE_BYTES = 4000, 1_000_000_000
-#: Captures a range aims at, and keys that are drawn for each to place the bounds.
-RANGE_ROWS, KEYS_PER_RANGE = 50_000, 50
+#: Bytes from which pages are written apart: to files of all ``ROWS_PER_FILE``, of some hundred, of as many as fit.
+SIZES = 200_000, 8_000_000
+#: Captures a range aims at.
+RANGE_ROWS = 50_000
 #: Up to this many revisits (16 bytes each) are broadcast to the writer, more are shuffled.
 BROADCAST_ROWS = 200_000
 #: Captures are dated from this second on, one second for each page id, as pages carry no time.
@@ -98,17 +99,20 @@ def parse(data: bytes):
         at = end + 4
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+
+
 def originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload is archived under a smaller page id."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", F.unhex(F.sha1(payload)).alias("h"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
+    """(page_id, h, n, refers_to) of pages whose payload, of SHA-1 ``h`` and ``n`` bytes, is archived under a smaller page id."""
+    rows = pages.select("page_id", F.unhex(F.sha1(_payload())).alias("h"), F.octet_length(_payload()).alias("n")).where(F.col("n") >= min_bytes)
     first = rows.groupBy("h", "n").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     hits = rows.join(first, ["h", "n"]).where("page_id > first")
-    return hits.select("page_id", F.col("first").alias("refers_to")).distinct()
+    return hits.select("page_id", "h", "n", F.col("first").alias("refers_to")).distinct()
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Archive all pages under ``path``."""
+    """Archive all pages under ``path``, one folder for each class of page sizes."""
 
     def records(batches):
         for b in batches:
@@ -116,14 +120,20 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
             out = [record(p, u or "", (h or "").encode(), r).decode() for p, u, h, r in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    refs = kept = materialize(originals(pages, min_bytes).withColumnRenamed("page_id", "_p"), "refs")
+    refs = kept = materialize(originals(pages, min_bytes).withColumnsRenamed({"page_id": "_p", "h": "_h", "n": "_n"}), "refs")
     if refs.count() <= BROADCAST_ROWS:
         refs = F.broadcast(refs)
-    known = pages.select(F.col("page_id").cast("long"), "url", "html")
-    rows = known.join(refs, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "refers_to")
-    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    in_file = max(1, min(ROWS_PER_FILE, FILE_BYTES // (longest + 4096)))
-    rows.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", in_file).text(path)
+    # rows may repeat an id with other payloads: a page is known by both
+    known = pages.select(F.col("page_id").cast("long"), "url", "html", F.octet_length(_payload()).alias("_size"))
+    same = (F.col("page_id") == F.col("_p")) & (F.col("_size") == F.col("_n")) & (F.unhex(F.sha1(_payload())) == F.col("_h"))
+    rows = known.join(refs, same, "left")
+    # so that a long page bounds the files of pages like it, not of all
+    size_class = F.when(F.col("_size") < SIZES[0], 0).when(F.col("_size") < SIZES[1], 1).otherwise(2)
+    longest = known.groupBy(size_class.alias("k")).agg(F.max("_size").alias("longest")).collect()
+    for k, most in longest or [(0, 0)]:
+        in_file = max(1, min(ROWS_PER_FILE, FILE_BYTES // (most + 4096)))
+        own = rows.where(size_class == k).select("page_id", "url", "html", "refers_to")
+        own.mapInArrow(records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", in_file).text(f"{path}/{k}")
     forget(kept)
 
 
@@ -150,7 +160,7 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=lambda r: (r[0], r[1], r[2] is None, r[2] or 0))
                 yield _batch(rows, name)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, CDX + ", run string, rank long")
 
 
@@ -206,25 +216,9 @@ class LoserTree:
 
 def merge_index(entries: DataFrame, ranges: int = 0) -> DataFrame:
     """All entries in global order of (URL key, time, page id): ``CDX`` columns, ``range_id`` and ``position`` in it."""
-    spark = entries.sparkSession
     total = entries.count()
     ranges = ranges or total // RANGE_ROWS + 1
-    share = min(1.0, ranges * KEYS_PER_RANGE / max(1, total))
-    draw = F.pmod(F.xxhash64("url_key", "page_id", "archive", "offset"), F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn = sorted((r["url_key"], r["captured_at"], r["page_id"] or 0) for r in entries.where(draw).select("url_key", "captured_at", "page_id").toLocalIterator()) if ranges > 1 else []
-    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
-    shared = spark.sparkContext.broadcast(bounds)
-
-    def deal(batches):
-        from bisect import bisect_right
-
-        for b in batches:
-            keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            where = [bisect_right(shared.value, (k, t, p or 0)) for k, t, p in keys]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, pa.int64())], [*b.schema.names, "range_id"])
-
-    dealt = entries.mapInArrow(deal, CDX + ", run string, rank long, range_id long")
-    dealt = dealt.repartition(max(1, len(bounds) + 1), "range_id").sortWithinPartitions("range_id", "run", "rank")
+    dealt = entries.repartitionByRange(ranges, "url_key", "captured_at", F.asc_nulls_last("page_id"), "archive", "offset").sortWithinPartitions("run", "rank")
     order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
 
     def merged(number: int, slices: list[list[tuple]]):
@@ -238,13 +232,9 @@ def merge_index(entries: DataFrame, ranges: int = 0) -> DataFrame:
         yield _positions(rows)
 
     def merge(batches):
-        number, run, slices = None, None, []
+        number, run, slices = TaskContext.get().partitionId(), None, []
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if r[12] != number:
-                    if slices:
-                        yield from merged(number, slices)
-                    number, run, slices = r[12], None, []
                 if r[10] != run:
                     run = r[10]
                     slices.append([])

@@ -78,3 +78,12 @@ def test_edited_texts_get_the_same_fingerprint_as_equal_texts_after_a_collision(
     got = {r["doc_id"]: r for r in fingerprints.edit_report(df).collect()}
     assert got[1]["edited_fingerprint"] == got[3]["fingerprint"] != got[1]["fingerprint"]
     assert got[1]["near_edited"] == 0.0
+
+
+def test_ids_at_both_ends_of_a_long(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 2)
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 7, 2**62, 2**63 - 2, 2**63 - 1]
+    rows = [(i, f"text {k % 3} " * (k + 1)) for k, i in enumerate(ids)]
+    for some in (rows, rows[-1:], [rows[0], rows[-1]]):
+        got = fingerprints.edit_report(spark.createDataFrame(some, "doc_id long, text string").repartition(3)).collect()
+        assert sorted(map(tuple, got), key=str) == brute(some)

@@ -76,10 +76,28 @@ def test_files_are_bounded_in_bytes_and_ranges_by_rows(spark, tmp_path, monkeypa
     rows = [(i, f"http://h{i}.org/", str(i) * 50_000 if i < 12 else f"p{i}") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     warc.write(df, str(tmp_path / "w"))
-    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    sizes = [p.stat().st_size for p in (tmp_path / "w").rglob("part-*")]
     assert len(sizes) > 3 and max(sizes) < 300_000
     got = warc.merge_index(warc.captures(spark, str(tmp_path / "w"))).collect()
     assert len(got) == 60 and len({r["range_id"] for r in got}) > 3
     got.sort(key=lambda r: (r["range_id"], r["position"]))
     keys = [(r["url_key"], r["captured_at"], r["page_id"]) for r in got]
     assert keys == sorted(keys)
+
+
+def test_rows_that_repeat_an_id_keep_their_own_payloads(spark, tmp_path):
+    rows = [(1, "u", "AAAA"), (2, "u", "BBBB"), (5, "u", "AAAA"), (5, "u", "UNIQUE"), (6, "u", "BBBB"), (6, "u", "AAAA"), (6, "u", "AAAA"), (7, "u", None), (7, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_and_index(df).collect()
+    assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == brute(rows, 0)
+    warc.write(df, str(tmp_path / "w"))
+    blocks = [block for p in (tmp_path / "w").rglob("part-*") for *_, block in warc.parse(p.read_bytes())]
+    assert sum(b.endswith(b"UNIQUE") for b in blocks) == 1
+
+
+def test_one_long_page_bounds_no_other_file(spark, tmp_path):
+    rows = [(i, f"http://h{i}.org/", "y" * 9_000_000 if i == 3 else "z" * 300_000 if i < 6 else f"p{i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"))
+    files = list((tmp_path / "w").rglob("part-*"))
+    assert len(files) == 3 and len(warc.archive_and_index(df).collect()) == 400
