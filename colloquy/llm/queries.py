@@ -115,6 +115,23 @@ _KEYED_LINES = """
 """
 
 ORACLE_SQL = {
+    "op1_jaccard_join": """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS shingles
+            FROM worded),
+        sized AS (SELECT doc_id, len(shingles) AS n FROM sets),
+        each AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        least_of AS (SELECT a, min(b) AS least FROM reach GROUP BY a),
+        named AS (SELECT doc_id, n, least(doc_id, coalesce(least, doc_id)) AS component_id FROM sized LEFT JOIN least_of ON a = doc_id)
+        SELECT doc_id, n AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS class_size FROM named
+    """,
     "op4_warc": """
         WITH payload AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         digest AS (SELECT page_id, strlen(html) AS n, sha1(html) AS hex FROM payload),
