@@ -18,9 +18,11 @@ down, without loss, which documents can have a partner at all and which may meet
    lists for these by binary search (DivideSkip); the sets reaching the required overlap are linked
    to it. Sets already reached leave the index, so a group of thousands of copies costs one pass.
    Groups over ``GROUP_SHINGLES`` shingles are first thinned around a leader, row by row in parallel
-   tasks, with the triangle inequality of the Jaccard distance, and what remains is searched in blocks:
-   a task searches one block of sets of like size by the sets of another, of their size or up to 4/3 of
-   it, and reports a spanning forest of the links it finds, so no task outgrows two blocks.
+   tasks, with the triangle inequality of the Jaccard distance. What remains is searched in a few rounds of
+   random blocks, whose trees grow together where sets are near copies. Only sets outside their group's largest
+   tree are then searched for in the whole group, block by block: a task searches one block of sets of like
+   size by one of such sets, of their size or within 4/3 of it, and reports a spanning forest of the links
+   it finds, so no task outgrows two blocks.
 
 Shingles are 64-bit hashes; sets are told apart by a 128-bit digest of theirs. The number of hash
 ranges follows the bytes of the texts, so that a task holds about ``RANGE_BYTES`` of shingles.
@@ -66,6 +68,8 @@ BROADCAST_ROWS = 250_000
 #: Shingles of a chunk of documents in a task, and of a group searched in one task.
 CHUNK, GROUP_SHINGLES = 2_000_000, 100_000
 LEADER_ROUNDS = 4
+#: Rounds of random blocks in which the trees of large groups grow together.
+DEAL_ROUNDS = 3
 #: Sizes of one size class differ by less than this factor, which is over 4/3.
 SIZE_CLASS = 1.34
 _WORDS = WordIds()
@@ -582,22 +586,55 @@ def _search_block(batches):
             out = []
 
 
-def _blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Exact links inside large groups. The sets of a size class are dealt to blocks of about ``most`` shingles;
-    each block is searched by the blocks of its own class and of the one below, the only ones that hold
-    partners of its sets' size or less. A task has one block to search and one of queries."""
-    deal = F.pmod(F.xxhash64("digest"), F.col("k")).cast("int")
-    rows = rows.withColumn("size_class", F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(SIZE_CLASS))).cast("int"))
-    sizes = rows.groupBy("component", "size_class").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias("k"))
+def _blocks_of(rows: DataFrame, most: int, k: str, block: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the block of their group and size class they are dealt to, and the number of blocks of each."""
+    sizes = rows.groupBy("component", "size_class").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias(k))
     sizes = materialize(sizes, "blocks")
-    rows = rows.join(sizes, ["component", "size_class"]).withColumn("block", deal).drop("k")
-    # the other side of a search: all its blocks, in the class above for queries and below for the searched
-    other = sizes.select("component", F.col("size_class").alias("other_class"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    deal = F.pmod(F.xxhash64("digest"), F.col(k)).cast("int")
+    return rows.join(sizes, ["component", "size_class"]).withColumn(block, deal).drop(k), sizes
+
+
+def _grown(rows: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links that a few rounds of random blocks find inside large groups, and the sets outside their group's largest tree.
+
+    In a round each set is searched for among the sets of one block of its group, other ones each time. So
+    the trees of near copies soon grow together, at a cost that follows their number.
+    """
+    blocks = rows.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias("k"))
+    blocks, edges, outside = materialize(blocks, "blocks"), None, rows
+    for number in range(DEAL_ROUNDS):
+        block = F.xxhash64("component", F.pmod(F.xxhash64("digest", F.lit(number)), F.col("k")))
+        dealt = rows.join(blocks, "component").select(block.alias("component"), "digest", "shingles")
+        dealt = dealt.repartition("component").sortWithinPartitions("component")
+        found = materialize(dealt.mapInArrow(_search_groups, _EDGE), "met")
+        edges = found if edges is None else edges.unionByName(found)
+        named = components(edges, "digest", "root").select(F.col("node").alias("digest"), F.col("component").alias("tree"))
+        labelled = rows.select("component", "digest").join(named, "digest", "left").withColumn("tree", F.coalesce("tree", "digest"))
+        labelled = materialize(labelled, "trees")
+        sizes = labelled.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("component").agg(F.max_by("tree", F.struct("n", "tree")).alias("tree"))
+        outside = materialize(labelled.join(largest, ["component", "tree"], "left_anti").select("digest"), "outside")
+        if outside.isEmpty():
+            break
+    return edges, rows.join(outside, "digest", "left_semi").select(rows.columns)
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """All links between the ``queries`` and the sets of their group. The sets of a size class, and the queries
+    of one, are dealt to blocks of about ``most`` shingles; a task searches one block of sets by one of queries of
+    the same size class or a neighbouring one, the only ones with partners."""
+    classed = lambda df: df.withColumn("size_class", F.floor(F.log(F.octet_length("shingles") / 8) / float(np.log(SIZE_CLASS))).cast("int"))
+    held, sizes = _blocks_of(classed(rows), most, "k", "block")
+    asked, query_sizes = _blocks_of(classed(queries), most, "query_k", "query_block")
+    near = lambda name: F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])).alias(name)
+    # the other side of a search: all of its blocks in the class
+    to = sizes.select("component", F.col("size_class").alias("other"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("block"))
+    by = query_sizes.select("component", F.col("size_class").alias("other"), F.explode(F.sequence(F.lit(0), F.col("query_k") - 1)).alias("query_block"))
+    asked = asked.select("component", F.col("size_class").alias("query_class"), "query_block", near("other"), F.lit(True).alias("query"), "digest", "shingles").join(to, ["component", "other"])
+    held = held.select("component", "size_class", "block", near("other"), F.lit(False).alias("query"), "digest", "shingles").join(by, ["component", "other"])
+    asked = asked.withColumnRenamed("other", "size_class")
+    held = held.withColumnRenamed("other", "query_class")
     cols = ["component", "query_class", "query_block", "size_class", "block", "query", "digest", "shingles"]
-    asked = rows.withColumn("other_class", F.explode(F.array("size_class", F.col("size_class") + 1))).join(other, ["component", "other_class"])
-    asked = asked.select("component", F.col("size_class").alias("query_class"), F.col("block").alias("query_block"), F.col("other_class").alias("size_class"), F.col("other").alias("block"), F.lit(True).alias("query"), "digest", "shingles")
-    held = rows.withColumn("other_class", F.explode(F.array("size_class", F.col("size_class") - 1))).join(other, ["component", "other_class"])
-    held = held.select("component", F.col("other_class").alias("query_class"), F.col("other").alias("query_block"), "size_class", "block", F.lit(False).alias("query"), "digest", "shingles")
     both = held.select(cols).unionByName(asked.select(cols))
     both = both.repartition(*cols[:5]).sortWithinPartitions(*cols[:6])
     return both.mapInArrow(_search_block, _EDGE)
@@ -621,7 +658,9 @@ def _links(wide: DataFrame, large: bool, most: int) -> tuple[DataFrame | None, D
             last = rows
             if rows.isEmpty():
                 break
-        parts.append(_blocks(rows, most))
+        if not rows.isEmpty():
+            grown, outside = _grown(rows, most)
+            parts += [grown, _blocks(rows, outside, most)]
         edges = parts[0]
         for p in parts[1:]:
             edges = edges.unionByName(p)

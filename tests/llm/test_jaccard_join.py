@@ -5,6 +5,7 @@ import pytest
 
 from colloquy.llm import jaccard_join as jj
 from colloquy.llm.words import split
+from pyspark.sql import functions as F
 
 
 def shingle_set(text):
@@ -112,3 +113,47 @@ def test_components_of_chains(spark):
     rng.shuffle(edges)
     got = jj.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(61)] + [(100 + i, 100) for i in range(21)]
+
+
+def chains(n, words=60, step=6, seed=3):
+    """Texts in a chain: neighbours are linked, those further on are not; with branches, and near misses."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    text, rows = [word() for _ in range(words)], []
+    for i in range(n):
+        text = list(text)
+        for k in range(step):
+            text[(i * step + k) % words] = word()
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            near = list(text)
+            near[rng.randrange(words)] = word()
+            rows.append((1000 + i, " ".join(near)))
+        if i % 5 == 0:
+            rows.append((2000 + i, " ".join(text[: words // 2] + [word() for _ in range(words // 2)])))
+    return rows
+
+
+@pytest.mark.parametrize("step", [2, 4, 6])
+def test_large_groups_of_loosely_linked_sets(spark, step, monkeypatch):
+    """Groups many blocks large whose links form long chains: what the rounds don't join, the blocks do."""
+    monkeypatch.setattr(jj, "LEADER_ROUNDS", 1)
+    rows = chains(60, step=step)
+    got = jj.join_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 300).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_near_copies_grow_together_in_rounds(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        text[rng.randrange(100)] = word()
+        rows.append(text)
+    sets = [(1, jj.digest(s := jj.shingles(" ".join(t))), s.tobytes()) for t in rows]
+    frame = spark.createDataFrame([(c, bytearray(d), bytearray(s)) for c, d, s in sets], "component long, digest binary, shingles binary").repartition(4)
+    edges, outside = jj._grown(frame, 2000)
+    assert len({r["digest"] for r in edges.select("digest").unionByName(edges.select(F.col("root").alias("digest"))).collect()}) > 390
+    assert outside.count() < 40
