@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import WordIds, grams, mix
+from colloquy.llm.words import WordIds, grams, hold, mix
 from colloquy.session import materialize
 
 EDIT_SHARE = 0.2
@@ -286,6 +286,14 @@ class Items:
 _WORKER: dict = {}
 
 
+def _held(token: str, shared) -> tuple[Items, PlainWords]:
+    """A worker's items and words, kept from task to task. (What a task's own function refers to is made anew with it.)"""
+    hold("decontamination", _WORKER.clear)
+    if _WORKER.get("token") != token:
+        _WORKER.update(token=token, items=Items(*shared.value), words=PlainWords())
+    return _WORKER["items"], _WORKER["words"]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row (``SCHEMA``) for each document and benchmark item it contains, with the least edits and the place."""
     spark = docs.sparkSession
@@ -306,9 +314,7 @@ def _search(spark, docs: DataFrame, rows: list[tuple], share: float, min_words:
     token = uuid.uuid4().hex
 
     def run(batches):
-        if _WORKER.get("token") != token:
-            _WORKER.update(token=token, items=Items(*shared.value), words=PlainWords())
-        items, words = _WORKER["items"], _WORKER["words"]
+        items, words = _held(token, shared)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import WordIds, grams, split
+from colloquy.llm.words import WordIds, grams, hold, split
 from colloquy.session import forget, materialize
 
 SHINGLE = 5
@@ -69,12 +69,17 @@ BROADCAST_ROWS = 250_000
 CHUNK, GROUP_SHINGLES = 2_000_000, 100_000
 LEADER_ROUNDS = 4
 #: Rounds of random blocks in which the trees of large groups grow together.
-DEAL_ROUNDS = 3
+DEAL_ROUNDS = 2
 #: Sizes of one size class differ by less than this factor, which is over 4/3.
 SIZE_CLASS = 1.34
 _WORDS = WordIds()
 
 
+def _hold() -> None:
+    """The words of this module's own dictionary are all that a worker remembers."""
+    hold("jaccard_join", _WORDS.clear)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Ascending distinct shingle hashes of a whole text."""
     return np.unique(grams(_WORDS.of(split(text)), SHINGLE))
@@ -160,6 +165,7 @@ def _deal(keys: list[int], limit: int):
     bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
 
     def run(batches):
+        _hold()
         for sets in _chunks(batches):
             nodes = np.array([_node(d) for d, _ in sets], np.uint64)
             sizes = np.array([_dealt_size(s, limit) for _, s in sets], np.int64)
@@ -354,6 +360,7 @@ def _sets(bloom):
     """Every document with its digest; the shingles only of sets whose node may be in a group, once in a task."""
 
     def run(batches):
+        _hold()
         has = np.frombuffer(bloom.value, np.uint8)
         bits, task = 8 * len(has), TaskContext.get().partitionId()
         known: set[bytes] = set()
@@ -594,28 +601,27 @@ def _blocks_of(rows: DataFrame, most: int, k: str, block: str) -> tuple[DataFram
     return rows.join(sizes, ["component", "size_class"]).withColumn(block, deal).drop(k), sizes
 
 
-def _grown(rows: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame]:
+def _grown(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Links that a few rounds of random blocks find inside large groups, and the sets outside their group's largest tree.
 
     In a round each set is searched for among the sets of one block of its group, other ones each time. So
     the trees of near copies soon grow together, at a cost that follows their number.
     """
     blocks = rows.groupBy("component").agg(F.ceil(F.sum(F.octet_length("shingles")) / 8 / most).cast("int").alias("k"))
-    blocks, edges, outside = materialize(blocks, "blocks"), None, rows
+    blocks, edges = materialize(blocks, "blocks"), None
     for number in range(DEAL_ROUNDS):
         block = F.xxhash64("component", F.pmod(F.xxhash64("digest", F.lit(number)), F.col("k")))
         dealt = rows.join(blocks, "component").select(block.alias("component"), "digest", "shingles")
         dealt = dealt.repartition("component").sortWithinPartitions("component")
         found = materialize(dealt.mapInArrow(_search_groups, _EDGE), "met")
         edges = found if edges is None else edges.unionByName(found)
-        named = components(edges, "digest", "root").select(F.col("node").alias("digest"), F.col("component").alias("tree"))
-        labelled = rows.select("component", "digest").join(named, "digest", "left").withColumn("tree", F.coalesce("tree", "digest"))
-        labelled = materialize(labelled, "trees")
-        sizes = labelled.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("n"))
-        largest = sizes.groupBy("component").agg(F.max_by("tree", F.struct("n", "tree")).alias("tree"))
-        outside = materialize(labelled.join(largest, ["component", "tree"], "left_anti").select("digest"), "outside")
-        if outside.isEmpty():
-            break
+    named = components(edges, "digest", "root").select(F.col("node").alias("digest"), F.col("component").alias("tree"))
+    labelled = rows.select("component", "digest").join(named, "digest", "left").withColumn("tree", F.coalesce("tree", "digest"))
+    labelled = materialize(labelled, "trees")
+    sizes = labelled.groupBy("component", "tree").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("component").agg(F.max_by("tree", F.struct("n", "tree")).alias("tree"))
+    outside = materialize(labelled.join(largest, ["component", "tree"], "left_anti").select("digest"), "outside")
+    forget(labelled)
     return edges, rows.join(outside, "digest", "left_semi").select(rows.columns)
 
 

@@ -29,17 +29,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.words import hold
+
 OPEN_BINS = 48
-#: Words whose ids a worker remembers before it forgets the older half.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers before it forgets those it has not seen lately (some 200 bytes each, twice as many at most).
+CACHE_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 #: New words that are encoded as one text.
 JOINED_WORDS = 1000
-_TWO_BLANKS = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_BESIDE_BLANK = re.compile(r"\s | \s")
+#: Texts that are encoded together.
+TOGETHER = 512
 _WORKER: dict = {}
 
 
+def _odd(words: set[str]) -> bool:
+    """Whether any word is empty or has white space at an end."""
+    return "" in words or _BESIDE_BLANK.search(" " + " ".join(words) + " ") is not None
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
@@ -48,8 +57,9 @@ class WordEncoder:
     further word with its leading blank. Ids of words seen lately are remembered.
 
     New words are encoded many at a time as one text, and its ids are cut before every id whose token
-    begins with the blank's sign; words with white space or a special token in them are encoded alone, and
-    so are all when the number of cuts isn't that of the words.
+    begins with the blank's sign. A word may hold line feeds or other white space, but one with a blank in it,
+    white space at an end or a special token is encoded alone, and so are all when the number of cuts isn't
+    that of the words.
     """
 
     def __init__(self, path: str):
@@ -71,8 +81,9 @@ class WordEncoder:
         """Ids of words with their leading blank."""
         out, rest, whole = {}, words, " ".join(words)
         # one look at all words together tells nearly always that none is odd
-        if whole.split() != words or any(t in whole for t in self.special):
-            alone = [w for w in words if w.split() != [w] or any(t in w for t in self.special)]
+        special = [t for t in self.special if t in whole]
+        if special or _BESIDE_BLANK.search(whole):
+            alone = [w for w in words if w != w.strip() or " " in w or any(t in w for t in special)]
             out = dict(zip(alone, self._encode([" " + w for w in alone]), strict=True))
             rest = [w for w in words if w not in out]
         for low in range(0, len(rest), JOINED_WORDS):
@@ -89,25 +100,39 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [_CUT.split(t) if _TWO_BLANKS.search(t) else t.split(" ") for t in texts]
-        firsts = self._encode([words[0] for words in split])
+        split = [t.split(" ") for t in texts]
         new, old = self.new, self.old
-        # the new words of all these texts are encoded together
-        unknown = []
-        for w in set().union(*[words[1:] for words in split]):
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    unknown.append(w)
+        # the new words of all these texts are told by set operations and encoded together
+        seen = set().union(*split)
+        fresh = seen.difference(new)
+        if _odd(fresh):
+            # a blank beside other white space is no cut; such a word is never remembered
+            odd = {w for w in fresh if w != w.strip() or not w}
+            split = [words if odd.isdisjoint(words) else _CUT.split(t) for words, t in zip(split, texts, strict=True)]
+            fresh = set().union(*split).difference(new)
+        unknown = fresh.difference(old)
+        for w in fresh.difference(unknown):
+            new[w] = old[w]
         if unknown:
-            new.update(self._words(unknown))
+            new.update(self._words(list(unknown)))
+        firsts = self._encode([words[0] for words in split])
         out = [first + b"".join(map(new.__getitem__, words[1:])) for first, words in zip(firsts, split, strict=True)]
+        if unknown and _odd(unknown):
+            for w in [w for w in unknown if w != w.strip() or not w]:
+                del new[w]
         if len(new) > CACHE_WORDS:
             self.old, self.new = new, {}
         return out
 
 
+def _encoder(path: str) -> WordEncoder:
+    """A worker's encoder, kept from task to task. (What a task's own function refers to is made anew with it.)"""
+    hold("packing", _WORKER.clear)
+    if _WORKER.get("path") != path:
+        _WORKER.update(path=path, encoder=WordEncoder(path))
+    return _WORKER["encoder"]
+
+
 class Packer:
     """Open bins of one partition; finished pieces gather in ``rows``."""
 
@@ -240,14 +265,11 @@ def pack(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = 2048,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        path = vocabulary() if callable(vocabulary) else vocabulary
-        if _WORKER.get("path") != path:
-            _WORKER.update(path=path, encoder=WordEncoder(path))
-        encoder = _WORKER["encoder"]
+        encoder = _encoder(vocabulary() if callable(vocabulary) else vocabulary)
         packer = Packer(TaskContext.get().partitionId(), size, max_segments, most)
         for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
+            for low in range(0, b.num_rows, TOGETHER):
+                part = b.slice(low, TOGETHER)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids, loss in zip(part.column(0).to_pylist(), encoder.encode(texts), part.column(2).to_pylist(), strict=True):
                     ids += end

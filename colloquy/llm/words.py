@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -10,6 +11,17 @@ import numpy as np
 CACHE_WORDS = 500_000
 
 
+_HELD: dict = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """Let go of what another operator remembers in this worker: one at a time does, whatever a worker has run before."""
+    if _HELD.get("owner") != owner:
+        if _HELD:
+            _HELD["drop"]()
+        _HELD.update(owner=owner, drop=drop)
+
+
 class WordIds(dict):
     """word -> 64-bit number, drawn from the word's bytes alone; remembers what it has seen."""
 
