@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +30,25 @@ FIELD_BYTES = 4000
 TEXT_CUT, THINKING_CUT = "… [turn truncated]", "… [thinking truncated]"
 
 
-#: Literal parts of the patterns, in lower case: a text with none of them holds no secret.
-_SIGNS = ("akia", "sk-", "gh", "bearer", "-----begin", "token", "_live_", "_test_", "whsec_", "://", "eyj", "aiza", "xox", "npm_", "github_pat_")
-_GITHUB = re.compile("gh[pousr]_")
+#: For each pattern a literal that every match of it holds.
+_SIGNS = ("AKIA", "sk-ant-", "sk-", "gh", "bearer", "-----BEGIN ", '"accessToken"', '"refreshToken"', "k_", "whsec_", "://", "eyJ", "AIza", "xox", "npm_", "github_pat_")
+#: A text without any of these holds no secret.
+_LOOK = r"(?i)akia|sk-|gh[pousr]_|bearer|-----begin|token|_live_|_test_|whsec_|://|eyj|aiza|xox|npm_|github_pat_"
 
 
 def scrub(text: Column) -> Column:
-    """The text with every secret replaced; texts without any sign of one are passed on after a single look."""
-    sign = "(?i)" + "|".join(_GITHUB.pattern if s == "gh" else re.escape(s) for s in _SIGNS)
-    clean = text
-    for pattern, replacement in SECRETS:
-        clean = F.regexp_replace(clean, pattern, replacement)
-    return F.when(F.rlike(text, F.lit(sign)), clean).otherwise(text)
+    """The text with every secret replaced; texts without any sign of one are passed on after a single look.
+
+    Where there is a sign, a pattern is only tried if the literal that it needs is there.
+    """
+    rule = lambda sign, pattern, put: F.struct(F.lit(sign).alias("sign"), F.lit(pattern.startswith("(?i)") and sign.isalpha()).alias("any_case"), F.lit(pattern).alias("pattern"), F.lit(put).alias("put"))
+    rules = F.array(*[rule(sign, pattern, put) for sign, (pattern, put) in zip(_SIGNS, SECRETS, strict=True)])
+
+    def step(clean: Column, r: Column) -> Column:
+        there = F.contains(F.when(r["any_case"], F.lower(clean)).otherwise(clean), r["sign"])
+        return F.when(there, F.regexp_replace(clean, r["pattern"], r["put"])).otherwise(clean)
+
+    return F.when(F.rlike(text, F.lit(_LOOK)), F.aggregate(rules, text, step)).otherwise(text)
 
 
 def literal_position(text: Column, query: str) -> Column:

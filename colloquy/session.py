@@ -46,7 +46,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/colloquy-{name}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; ``clear`` deletes all that were given out."""
+    path, sc = f"{scratch_root(spark)}/colloquy-{name}-{uuid.uuid4().hex}", spark.sparkContext
+    sc._colloquy_scratch = [*getattr(sc, "_colloquy_scratch", []), path]
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every folder that this application was given, for its owner to call when no answer is read any more; how many were there."""
+    sc, gone = spark.sparkContext, 0
+    for path in getattr(sc, "_colloquy_scratch", []):
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True))
+    sc._colloquy_scratch = []
+    return gone
 
 
 def materialize(df: DataFrame, name: str, *folders: str) -> DataFrame:

@@ -123,7 +123,8 @@ def _utf8(raw: bytes) -> bool:
     return True
 
 
-def _rows(path: str, mtime: int, at: int, block: bytes) -> pa.RecordBatch:
+def rows(path: str, mtime: int, at: int, block: bytes) -> pa.RecordBatch:
+    """The lines of a stretch that are UTF-8 and not blank."""
     raw = block[:-1].split(b"\n")
     pos = at + np.cumsum([0, *(len(x) + 1 for x in raw[:-1])])
     if at == 0:
@@ -154,7 +155,7 @@ def lines(files: DataFrame, failures: Failures | None = None) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, at, block in _each(batches, failures):
-            yield _rows(piece["path"], piece["mtime"], at, block)
+            yield rows(piece["path"], piece["mtime"], at, block)
 
     return pieces(files).mapInArrow(read, LINES)
 

@@ -3,7 +3,8 @@
 Spark's file source reads a file once; transcripts grow. The offset of this source is the number of
 complete bytes (up to the last line feed) of every file by inode, so a restart resumes where the
 checkpoint says, a torn last line is neither delivered nor counted, and a renamed file isn't read again.
-Files are seen through the machine's file system (local or mounted by every executor).
+Files are seen through the machine's file system (local or mounted by every executor); what was appended is
+read by byte ranges, so a large file is no single task's.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pathlib import Path
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from colloquy.sources import ranges
+
 SCHEMA = "path string, mtime long, pos long, value string"
 
 
@@ -68,27 +71,17 @@ class AppendedReader(DataSourceStreamReader):
         for k, (path, stop) in end.items():
             known = start.get(k, ["", 0])[1]
             low = 0 if stop < known else known
-            if stop > low:
-                out.append(Piece(path, low, stop))
+            out += [Piece(path, at, min(stop, at + ranges.PIECE_BYTES)) for at in range(low, stop, ranges.PIECE_BYTES)]
         return out
 
     def read(self, piece: Piece):
+        """Lines of one piece, as Arrow batches; a file that went since the batch was planned has none any more."""
         try:
-            mtime, f = int(os.stat(piece.path).st_mtime * 1000), open(piece.path, "rb")
-        except OSError:  # gone since the batch was planned; its lines are lost with it
+            mtime = int(os.stat(piece.path).st_mtime * 1000)
+            for at, block in ranges.stretches(piece.path, piece.start, piece.stop):
+                yield ranges.rows(piece.path, mtime, at, block)
+        except OSError:
             return
-        with f:
-            f.seek(piece.start)
-            at = piece.start
-            while at < piece.stop:
-                raw = f.readline()
-                try:
-                    value = raw.rstrip(b"\n").decode()
-                except UnicodeDecodeError:
-                    value = ""
-                if value.strip():
-                    yield piece.path, mtime, at, value
-                at += len(raw)
 
 
 class Appended(DataSource):

@@ -50,7 +50,7 @@ def test_every_line_belongs_to_one_piece(tmp_path, piece):
         got, size = [], path.stat().st_size
         for start in range(0, size, piece):
             for at, block in ranges.stretches(str(path), start, min(size, start + piece)):
-                batch = ranges._rows("p", 1, at, block).to_pylist()
+                batch = ranges.rows("p", 1, at, block).to_pylist()
                 got += [(r["pos"], r["value"]) for r in batch]
         assert got == whole_file(path), k
 

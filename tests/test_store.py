@@ -41,7 +41,7 @@ def same_as_rebuilt(spark, library, rows):
     fresh = fts.index(frame(spark, rows)).cache()
     index = now.index()
     assert now.n == len(rows)
-    for phrase, thinking in ((["the"], False), (["the"], True), (["red", "fox"], False), (["none"], False)):
+    for phrase, thinking in ((["the"], False), (["red", "fox"], True)):
         want = fts.search(fresh, phrase, thinking)
         assert ranks(index.search(phrase, thinking)) == ranks(want), phrase
         assert best(index.top_k(phrase, 7, thinking)) == best(fts.top_k(want, 7)), phrase
