@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.words import hold
+
 DIMENSIONS = 1 << 13
 SAMPLE_ROWS = 2000
 ROUNDS = 150
@@ -87,7 +89,17 @@ def features(text: str | None) -> np.ndarray | None:
     return (counts / max(1.0, counts.sum())).astype(np.float32)
 
 
+def _hold() -> None:
+    """This module remembers nothing in a worker, and needs the room."""
+    hold("langid", _nothing)
+
+
+def _nothing() -> None:
+    pass
+
+
 def _feature_rows(batches):
+    _hold()
     for b in batches:
         langs, rows = [], []
         for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -187,6 +199,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def decide(texts):
         import pandas as pd
 
+        _hold()
         return pd.DataFrame([shared.value.decode(t) for t in texts], columns=["lang_pred", "score", "ambiguous"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]

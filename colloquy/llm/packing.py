@@ -278,6 +278,7 @@ def pack(docs: DataFrame, vocabulary: str | Callable[[], str], size: int = 2048,
                     yield _arrow(packer.rows)
                     packer.rows = []
         packer.finish()
+        encoder.old = {}  # between tasks only what was seen last is kept
         yield _arrow(packer.rows)
 
     loss = F.col(loss_tokens).cast("long") if loss_tokens else F.lit(None).cast("long")
