@@ -248,3 +248,36 @@ def test_redaction_tries_only_patterns_whose_literal_is_there(spark):
 
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(tx.scrub(F.col("t"))).collect()]
     assert got == [None if t is None else plain(t) for (t,) in rows]
+
+
+def _shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_mail_of_a_pane_is_ordered_once_for_all_its_sessions(spark):
+    """Sixty sessions of one pane read the same 600 messages; one is of two panes, one of none."""
+    rows = [(f"c{n % 3}", f"s{n}", 1, None) for n in range(60)] + [("c9", "s60", 2, "x"), ("c9", "s7", 2, "x"), ("c8", "s61", None, "y")]
+    members = spark.createDataFrame(rows, "conversation_id string, session_id string, pid long, pid_start string")
+    mail = [(f"m{i:04}", f"s{i % 65}", i, None, 0, None if i % 2 else 5000 - i) for i in range(600)]
+    messages = spark.createDataFrame(mail, "id string, to_session string, created_at long, read_at long, attempts int, acked_at long")
+    asking = spark.createDataFrame([(f"s{n}",) for n in range(64)] * 2, "session_id string")
+    before = _shuffled(spark)
+    got = {}
+    for r in reach.pane_mail(messages, members, asking, "unread").collect():
+        got.setdefault(r["session_id"], []).append((r["place"], r["id"], r["to_session"], r["alone"]))
+    # all pairs are 36,000 and more
+    assert _shuffled(spark) - before < 12_000
+    one, two = {f"s{n}" for n in range(60)}, {"s60", "s7"}
+    for n in range(64):
+        boxes = one if n < 60 else two if n == 60 else set()
+        boxes = one | two if n == 7 else boxes
+        # without a process there is no pane to read for, but s61 is a member
+        boxes = {f"s{n}"} if n > 61 else boxes
+        want = [(i, m[0], m[1], n > 61) for i, m in enumerate((m for m in mail if m[1] in boxes), 1)]
+        assert sorted(got.get(f"s{n}", [])) == want, n
+    late = reach.pane_mail(messages, members, asking, "acked").where("session_id = 's63'").orderBy("place").collect()
+    assert [r["acked_at"] for r in late] == sorted((m[5] for m in mail if m[1] == "s63" and m[5] is not None), reverse=True)
