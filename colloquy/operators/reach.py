@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -340,30 +341,35 @@ class Buckets:
     """
 
     def __init__(self, entries: dict[str, tuple[float, int]] | None = None, most: int = MOST_KEYS, burst: float = BURST, per_minute: float = PER_MINUTE):
-        self.entries, self.most, self.burst, self.rate = dict(entries or {}), most, float(burst), per_minute / 60_000
+        self.entries, self.most, self.burst, self.per_minute = dict(entries or {}), most, float(burst), per_minute
         self._full = [(self._full_at(k), k) for k in self.entries]
         heapq.heapify(self._full)
 
-    def _full_at(self, key: str) -> float:
+    def _level(self, key: str, now: int) -> float:
+        """What a bucket holds; the same arithmetic as of ``rate_limited``, as whole tokens are told by the last digit."""
         level, last = self.entries[key]
-        return last + (self.burst - level) / self.rate
+        return min(self.burst, level + max(0, now - last) * self.per_minute / 60_000)
+
+    def _full_at(self, key: str) -> int:
+        """A time shortly before which the bucket can't be full."""
+        level, last = self.entries[key]
+        return math.floor(last + (self.burst - level) * 60_000 / self.per_minute) - 1
 
     def _let_go(self, now: int) -> None:
         while self._full and self._full[0][0] <= now:
             _, key = heapq.heappop(self._full)
             if key in self.entries:
-                if (at := self._full_at(key)) <= now:
+                if self._level(key, now) >= self.burst:
                     del self.entries[key]
-                else:  # used since
-                    heapq.heappush(self._full, (at, key))
+                else:  # used since, or full a moment later
+                    heapq.heappush(self._full, (max(self._full_at(key), now + 1), key))
 
     def allow(self, key: str, now: int) -> bool:
         self._let_go(now)
         new = key not in self.entries
         if new and len(self.entries) >= self.most:
             return False
-        level, last = self.entries.get(key, (self.burst, now))
-        level = min(self.burst, level + max(0, now - last) * self.rate)
+        level, last = (self.burst, now) if new else (self._level(key, now), self.entries[key][1])
         passed = level >= 1
         self.entries[key] = (level - passed, max(now, last))
         if new:

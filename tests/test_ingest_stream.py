@@ -4,6 +4,7 @@ import json
 import os
 import random
 import time
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -240,3 +241,13 @@ def test_jobs_of_a_late_peer_are_cancelled(spark):
         time.sleep(0.1)
     assert not tracker.getActiveJobsIds()
     assert spark.range(5).count() == 5
+
+
+def test_buckets_count_to_the_last_digit_as_the_fold_does(spark):
+    # waits whose shares of a token add up to whole ones, exactly or all but
+    rng = random.Random(1)
+    rows = [(f"k{step}", at) for step in (1_000, 3_000, 4_000, 6_000) for at in accumulate(step * rng.randrange(8) for _ in range(300))]
+    asked = spark.createDataFrame(rows, "key string, at long")
+    got = reach.rate_limited_within(asked).select("key", "at", "passed")
+    want = reach.rate_limited(asked).select("key", "at", "passed")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
