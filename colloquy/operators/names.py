@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import base64
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,42 +80,74 @@ def censor(fields: Column) -> Column:
 _IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
 _PERMUTATION = (2, 6, 3, 10, 7, 0, 4, 13, 1, 11, 12, 5, 9, 14, 15, 8)
 _START, _END, _ROOT, _CHUNK = 1, 2, 8, 1024
+#: Base32: the letters that a hash of 256 bits takes.
+_BASE32, _LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", np.uint8), 52
 
 
-def blake3(data: bytes) -> bytes:
-    """BLAKE3 of up to one chunk of bytes; keys are far shorter."""
-    if len(data) > _CHUNK:
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return x >> np.uint32(n) | x << np.uint32(32 - n)
+
+
+def hashes(keys: np.ndarray) -> np.ndarray:
+    """BLAKE3 of keys of one length, up to one chunk of bytes, all at once; keys are far shorter.
+
+    Keys and hashes are rows of bytes. The four columns, then the four diagonals, of all keys are turned together.
+    """
+    n, size = keys.shape
+    if size > _CHUNK:
         raise ValueError("only one chunk can be hashed")
-    turn = lambda x, n: (x >> n | x << (32 - n)) & 0xFFFFFFFF
-    blocks = [data[i : i + 64] for i in range(0, len(data), 64)] or [b""]
-    chain = _IV
-    for i, block in enumerate(blocks):
-        flags = (_START if i == 0 else 0) | (_END | _ROOT if i == len(blocks) - 1 else 0)
-        v = [*chain, *_IV[:4], 0, 0, len(block), flags]
-        words = [int.from_bytes(block.ljust(64, b"\0")[k : k + 4], "little") for k in range(0, 64, 4)]
+    many = max(1, -(-size // 64))
+    padded = np.zeros((n, 64 * many), np.uint8)
+    padded[:, :size] = keys
+    words = np.ascontiguousarray(padded.view("<u4").T).reshape(many, 16, n)
+    lanes = np.arange(4)
+    chain = np.repeat(np.array(_IV, np.uint32)[:, None], n, 1)
+    for i in range(many):
+        flags = (_START if i == 0 else 0) | (_END | _ROOT if i == many - 1 else 0)
+        a, b, c = chain[:4], chain[4:], np.repeat(np.array(_IV[:4], np.uint32)[:, None], n, 1)
+        d = np.repeat(np.array([0, 0, min(64, size - 64 * i), flags], np.uint32)[:, None], n, 1)
+        m = words[i]
         for _ in range(7):
-            for j in range(8):
-                # the four columns, then the four diagonals
-                a, b, c, d = (j, j + 4, j + 8, j + 12) if j < 4 else (j - 4, (j - 3) % 4 + 4, (j - 2) % 4 + 8, (j - 1) % 4 + 12)
-                for word, one, two in ((words[2 * j], 16, 12), (words[2 * j + 1], 8, 7)):
-                    v[a] = (v[a] + v[b] + word) & 0xFFFFFFFF
-                    v[d] = turn(v[d] ^ v[a], one)
-                    v[c] = (v[c] + v[d]) & 0xFFFFFFFF
-                    v[b] = turn(v[b] ^ v[c], two)
-            words = [words[k] for k in _PERMUTATION]
-        chain = tuple(v[k] ^ v[k + 8] for k in range(8))
-    return b"".join(x.to_bytes(4, "little") for x in chain)
+            for first, shift in ((0, 0), (8, 1)):
+                b, c, d = b[(lanes + shift) % 4], c[(lanes + 2 * shift) % 4], d[(lanes + 3 * shift) % 4]
+                for word, one, two in ((m[first : first + 8 : 2], 16, 12), (m[first + 1 : first + 8 : 2], 8, 7)):
+                    a = a + b + word
+                    d = _turn(d ^ a, one)
+                    c = c + d
+                    b = _turn(b ^ c, two)
+                b, c, d = b[(lanes - shift) % 4], c[(lanes - 2 * shift) % 4], d[(lanes - 3 * shift) % 4]
+            m = m[list(_PERMUTATION)]
+        chain = np.concatenate([a ^ c, b ^ d])
+    return np.ascontiguousarray(chain.T).astype("<u4", copy=False).view(np.uint8)
+
+
+def blake3(data: bytes) -> bytes:
+    return hashes(np.frombuffer(data, np.uint8)[None, :]).tobytes()
+
+
+def fingerprints_of(keys: list[bytes]) -> list[str]:
+    """Devices' public keys as people compare them: their hashes in base32, in groups of four."""
+    out: list[str] = [""] * len(keys)
+    size = np.fromiter(map(len, keys), np.int64, len(keys))
+    for n in np.unique(size).tolist():
+        at = np.flatnonzero(size == n)
+        found = hashes(np.frombuffer(b"".join(keys[i] for i in at.tolist()), np.uint8).reshape(len(at), n))
+        bits = np.pad(np.unpackbits(found, axis=1), ((0, 0), (0, _LETTERS * 5 - 256))).reshape(len(at), _LETTERS, 5)
+        letters = _BASE32[bits @ np.array([16, 8, 4, 2, 1], np.uint8)].reshape(len(at), -1, 4)
+        text = np.pad(letters, ((0, 0), (0, 0), (0, 1)), constant_values=ord("-")).reshape(len(at), -1)[:, :-1]
+        for i, one in zip(at.tolist(), np.ascontiguousarray(text).view(f"S{text.shape[1]}").ravel().tolist(), strict=True):
+            out[i] = one.decode()
+    return out
 
 
 def fingerprint_of(key: bytes) -> str:
-    """A device's public key as people compare it: its hash in base32, in groups of four."""
-    text = base64.b32encode(blake3(key)).decode().rstrip("=")
-    return "-".join(text[i : i + 4] for i in range(0, len(text), 4))
+    return fingerprints_of([key])[0]
 
 
 def fingerprint(key: Column) -> Column:
     @F.pandas_udf("string")
     def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else fingerprint_of(bytes(k)))
+        known = keys[keys.notna()]
+        return pd.Series(fingerprints_of(list(map(bytes, known))), known.index, object).reindex(keys.index, fill_value=None)
 
     return run(key)

@@ -1,5 +1,6 @@
 """Readers, providers and small tools that no SQL can check, and edge cases of the registered queries."""
 
+import base64
 import time
 
 import pytest
@@ -281,3 +282,19 @@ def test_mail_of_a_pane_is_ordered_once_for_all_its_sessions(spark):
         assert sorted(got.get(f"s{n}", [])) == want, n
     late = reach.pane_mail(messages, members, asking, "acked").where("session_id = 's63'").orderBy("place").collect()
     assert [r["acked_at"] for r in late] == sorted((m[5] for m in mail if m[1] == "s63" and m[5] is not None), reverse=True)
+
+
+def test_fingerprints_of_many_keys_are_worked_out_together(spark):
+    # published: the hash of 0, 1, .. 250, 0, 1, .. of one and two blocks and of a whole chunk
+    known = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 63: "e9bc37a594daad83", 64: "4eed7141ea4a5cd4", 65: "de1e5fa0be70df6d", 1023: "10108970eeda3eb9", 1024: "42214739f095a406"}
+    for n, first in known.items():
+        assert names.blake3(bytes(i % 251 for i in range(n))).hex().startswith(first), n
+    keys = [bytes([i % 256, i // 256]) * (1 + i % 40) for i in range(20_000)]
+    began = time.time()
+    got = names.fingerprints_of(keys)
+    assert time.time() - began < 2 and len(set(got)) == len(set(keys))
+    for i in range(0, len(keys), 977):
+        # base32 of the hash, padding aside
+        assert got[i].replace("-", "") == base64.b32encode(names.blake3(keys[i])).decode().rstrip("=") and len(got[i].split("-")) == 13
+    rows = spark.createDataFrame([(k,) for k in [*keys[:50], None, b""]], "key binary").withColumn("f", names.fingerprint(F.col("key"))).collect()
+    assert all(r["f"] == (None if r["key"] is None else names.fingerprint_of(bytes(r["key"]))) for r in rows)
