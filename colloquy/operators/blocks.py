@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +26,57 @@ FILE_ENTRIES = 2_000_000
 PAGE_BLOCKS = 16
 ENTRY = "struct<session_id:string,seq:bigint,length:bigint,tf:int,plain:int,text:array<int>,thinking:array<int>,tool_calls:array<int>>"
 BLOCK = f"token string, n int, n_plain int, max_tf int, max_plain int, min_length long, entries array<{ENTRY}>"
+_ENTRIES = "token string, session_id string, seq long, length long, text array<int>, thinking array<int>, tool_calls array<int>, tf int, plain int"
+#: Tokens that are put in order at once, but for a longer turn.
+BATCH_TOKENS = 1 << 20
 #: Counts of a token that are told apart when blocks are skipped by count and length.
 CLASSES = 16
 
 
-def _marked(k: int):
-    return lambda token, pos: F.struct(token.alias("token"), F.lit(k).alias("col"), pos.alias("pos"))
+def _entered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The entries of some turns: their tokens, put in order turn by turn."""
+    row, pos, column, words = [], [], [], []
+    for k, name in enumerate(fts.COLUMNS):
+        size = pc.list_value_length(batch[name]).to_numpy(zero_copy_only=False).astype(np.int64)
+        row.append(np.repeat(np.arange(len(size)), size))
+        pos.append(np.arange(len(row[-1])) - np.repeat(np.cumsum(size) - size, size))
+        column.append(np.full(len(row[-1]), k, np.int8))
+        words.append(batch[name].flatten())
+    known = pa.concat_arrays(words).dictionary_encode()
+    row, pos, column, code = np.concatenate(row), np.concatenate(pos), np.concatenate(column), known.indices.to_numpy()
+    key = row * max(1, len(known.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    # by column and position within a token of a turn, as they were
+    pos, column = pos[order].astype(np.int32), column[order]
+    lists, many = [], []
+    for k in range(len(fts.COLUMNS)):
+        mine = column == k
+        many.append(np.add.reduceat(mine, first, dtype=np.int32) if len(first) else np.zeros(0, np.int32))
+        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many[-1])].astype(np.int32)), pa.array(pos[mine])))
+    turn, tf = pa.array(row[order[first]]), sum(many)
+    keys = [known.dictionary.take(pa.array(code[order[first]])), *[batch[c].take(turn) for c in ("session_id", "seq", "length")]]
+    return pa.RecordBatch.from_arrays([*keys, *lists, pa.array(tf), pa.array(tf - many[fts.COLUMNS.index("thinking")])], [c.split()[0] for c in _ENTRIES.split(", ")])
+
+
+def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        full = np.cumsum(batch["length"].to_numpy()) // BATCH_TOKENS
+        cuts = np.r_[0, np.flatnonzero(np.diff(full)) + 1, len(full)]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if high > low:
+                yield _entered(batch.slice(low, high - low))
 
 
 def entries(indexed: DataFrame) -> DataFrame:
-    """One row for each token of each turn: positions by column, ``tf`` over all columns and ``plain`` without thinking."""
-    marked = F.concat(*[F.transform(c, _marked(k)) for k, c in enumerate(fts.COLUMNS)])
-    each = indexed.select("session_id", "seq", "length", F.explode(marked).alias("t")).select("session_id", "seq", "length", "t.*")
-    own = lambda k: F.array_sort(F.collect_list(F.when(F.col("col") == k, F.col("pos"))))
-    rows = each.groupBy("token", "session_id", "seq", "length").agg(*[own(k).alias(c) for k, c in enumerate(fts.COLUMNS)])
-    return rows.withColumns({"tf": F.size("text") + F.size("thinking") + F.size("tool_calls"), "plain": F.size("text") + F.size("tool_calls")})
+    """One row for each token of each turn: positions by column, ``tf`` over all columns and ``plain`` without thinking.
+
+    A turn has all its tokens in one row, so they are put together where they are, with no shuffle. Turns with
+    an unknown column have no entries.
+    """
+    whole = indexed.where(" and ".join(f"{c} is not null" for c in (*fts.COLUMNS, "length")))
+    rows = whole.select("session_id", F.col("seq").cast("long").alias("seq"), F.col("length").cast("long").alias("length"), *fts.COLUMNS)
+    return rows.mapInArrow(_enter, _ENTRIES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

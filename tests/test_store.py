@@ -239,3 +239,20 @@ def test_the_provider_cuts_before_it_reads_texts(spark, tmp_path):
     for scope in (providers.Scope(since=0), providers.Scope(since=100, until=200), providers.Scope(since=0, folder="/none")):
         rows = [[tuple(r) for r in providers.Retrieval(p).search("word", scope, limit=15)[0].collect()] for p in (plain, stored)]
         assert rows[0] == rows[1] and len(rows[0]) == (0 if scope.folder else 15)
+
+
+def test_postings_of_a_turn_are_put_together_where_it_is(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BATCH_TOKENS", 8)
+    rows = [("s1", 1, ["b", "a", "b"], ["b"], []), ("s1", 2, [], [], []), ("s2", 1, ["é", "a"], [], ["a", "a"]), ("s2", 2, None, ["a"], ["a"]), ("s3", 1, ["a"] * 30, ["x"] * 3, ["y"])]
+    indexed = spark.createDataFrame(rows, "session_id string, seq long, text array<string>, thinking array<string>, tool_calls array<string>")
+    indexed = indexed.withColumn("length", (F.size("text") + F.size("thinking") + F.size("tool_calls")).cast("long"))
+    found = blocks.entries(indexed.repartition(2, "session_id"))
+    assert "Exchange" not in blocks.entries(indexed)._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for session_id, seq, *columns in rows:
+        if None in columns:
+            continue
+        for token in {t for c in columns for t in c}:
+            at = [[i for i, t in enumerate(c) if t == token] for c in columns]
+            want.append((token, session_id, seq, sum(map(len, columns)), *at, sum(map(len, at)), len(at[0]) + len(at[2])))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
