@@ -84,7 +84,8 @@ def streamed_turns(spark, sf_dir):
     rows = _records(spark, sf_dir).drop("conv_id")
     folder = scratch_path(spark, "lines")
     for part in (rows.where("pos < 2"), rows.where("pos between 2 and 3"), rows.where("pos > 3")):
-        part.coalesce(4).write.mode("append").parquet(folder)
+        # the lines are made by as many tasks as the input has; one batch takes the files of one part
+        part.repartition(4, "path", "pos").write.mode("append").parquet(folder)
     library = store.Library(spark, scratch_path(spark, "streamed"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
     write = ingest.writer(library, _FORMAT, "m1", "lines")
