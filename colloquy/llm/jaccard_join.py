@@ -70,6 +70,8 @@ CHUNK, GROUP_SHINGLES = 2_000_000, 100_000
 LEADER_ROUNDS = 4
 #: Rounds of random blocks in which the trees of large groups grow together.
 DEAL_ROUNDS = 2
+#: Nodes of the trees that a task holds at once (some 150 bytes each).
+FOREST_NODES = 200_000
 #: Sizes of one size class differ by less than this factor, which is over 4/3.
 SIZE_CLASS = 1.34
 _WORDS = WordIds()
@@ -388,16 +390,48 @@ def _sets(bloom):
 # -- step 3
 
 
+def _forest(batches):
+    """Stars (node, least node of its tree) in place of the edges of a task, at most ``FOREST_NODES`` nodes at a time."""
+    up: dict = {}
+
+    def top(x):
+        while (y := up[x]) != x:
+            up[x] = x = up[y]
+        return x
+
+    def stars(schema):
+        pairs = [(x, r) for x in up if (r := top(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs, strict=True) if pairs else ((), ()), schema, strict=True)], ["u", "v"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(x, x)
+            up.setdefault(y, y)
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        if len(up) > FOREST_NODES:
+            yield stars(schema)
+            up.clear()
+    if up:
+        yield stars(schema)
+
+
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(``node``, ``component``): the least node reachable, for all ends of the undirected edges.
 
     Alternates large-star and small-star until the edges are stars; each round is written to the
-    shared folder. Works on any type with an order.
+    shared folder. Each task first makes stars of the edges it holds, so that few rounds are left
+    (each takes some of the driver's memory, for good). Works on any type with an order.
     """
     a, b = F.col("u"), F.col("v")
-    now = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(a != b).distinct(), "edges")
-    mark = None
-    while True:
+    starred = lambda df: materialize(df.mapInArrow(_forest, df.schema), "edges")
+    marked = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+    now = starred(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(a != b).distinct())
+    mark = marked(now)
+    while mark[0]:
         both = now.unionByName(now.select(b.alias("u"), a.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: all larger neighbours of u are linked to u's least neighbour
@@ -406,8 +440,8 @@ def components(edges: DataFrame, u: str, v: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(b.alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "edges")
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        after = starred(small)
+        seen = marked(after)
         forget(now)
         now = after
         if seen == mark:

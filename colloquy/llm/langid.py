@@ -17,6 +17,8 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,10 +108,19 @@ def _feature_rows(batches):
             x = features(text)
             if x is not None:
                 langs.append(lang)
-                rows.append(x.tobytes())
+                # few of the numbers are not 0, so what comes to the driver is small
+                rows.append(zlib.compress(x.tobytes(), 1))
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["lang", "x"])
 
 
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    """The features of all drawn rows, of which no second copy is made."""
+    out = np.empty((len(rows), DIMENSIONS), np.float32)
+    for i, raw in enumerate(rows):
+        out[i] = np.frombuffer(zlib.decompress(raw), np.float32)
+    return out
+
+
 class Model:
     """Languages, codewords, one linear classifier for each bit, and the bits' weights."""
 
@@ -183,11 +194,11 @@ def train(docs: DataFrame, rows: Column, sample_rows: int = SAMPLE_ROWS) -> Mode
     for r in drawn.toLocalIterator():
         if seen[r["lang"]] < share:
             seen[r["lang"]] += 1
-            x.append(np.frombuffer(bytes(r["x"]), np.float32))
+            x.append(bytes(r["x"]))
             y.append(languages.index(r["lang"]))
     if not x:
         return Model([], np.ones((0, 1)), np.zeros((DIMENSIONS, 1)), np.zeros(1), np.ones(1))
-    return fit(languages, np.array(x), np.array(y))
+    return fit(languages, _matrix(x), np.array(y))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -157,3 +157,18 @@ def test_near_copies_grow_together_in_rounds(spark):
     edges, outside = jj._grown(frame, 2000)
     assert len({r["digest"] for r in edges.select("digest").unionByName(edges.select(F.col("root").alias("digest"))).collect()}) > 390
     assert outside.count() < 40
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_components_take_few_rounds(spark, most, monkeypatch):
+    monkeypatch.setattr(jj, "FOREST_NODES", most)
+    rng, written, write = random.Random(5), [], jj.materialize
+    monkeypatch.setattr(jj, "materialize", lambda df, name, *rest: written.append(name) or write(df, name, *rest))
+    ids = [b"%05d" % i for i in rng.sample(range(10_000), 300)]
+    edges = [(ids[i], ids[i + 1]) for i in range(299) if i % 30 != 29]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a binary, b binary").coalesce(1)
+    got = {bytes(r["node"]): bytes(r["component"]) for r in jj.components(df, "a", "b").collect()}
+    assert got == {ids[i]: min(ids[i // 30 * 30 : i // 30 * 30 + 30]) for i in range(300)}
+    assert most == 3 or len(written) <= 3
+    assert jj.components(spark.createDataFrame([], "a binary, b binary"), "a", "b").collect() == []

@@ -94,3 +94,13 @@ def test_own_names_of_other_columns_are_kept(spark):
     model = langid.train(spark.createDataFrame(rows(), "doc_id long, text string, lang string"), ~langid.held_out())
     r = langid.predict(df, model).first()
     assert (r["_d"], r["row"], r["said"], r["lang_pred"]) == (5, 6, 7, "aa")
+
+
+def test_features_come_to_the_driver_small_and_exact():
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in rows(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["aa"] * 40)], ["text", "lang"])
+    sent = [x.as_py() for b in langid._feature_rows([batch]) for x in b.column(1)]
+    assert len(sent) == 40 and max(map(len, sent)) < langid.DIMENSIONS
+    assert (langid._matrix(sent) == np.stack([langid.features(t) for t in texts])).all()
