@@ -19,9 +19,12 @@ a null ``doc_id`` stays null; ids are integers; other columns are ignored; an em
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from collections.abc import Callable
+from itertools import compress
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +39,25 @@ OPEN_BINS = 48
 CACHE_WORDS = 500_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 #: New words that are encoded as one text.
-JOINED_WORDS = 1000
+JOINED_WORDS = 100
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _BESIDE_BLANK = re.compile(r"\s | \s")
 #: Texts that are encoded together.
 TOGETHER = 512
 _WORKER: dict = {}
+#: Letters that need no look at the vocabulary's pattern: a run of them is one pre-token; marks that are one after such a run.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = ".,;:!?"
+
+
+def _signs() -> str:
+    """The character that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return "".join(chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256))
+
+
+_SIGNS = _signs()
 
 
 def _odd(words: set[str]) -> bool:
@@ -59,17 +75,22 @@ class WordEncoder:
     New words are encoded many at a time as one text, and its ids are cut before every id whose token
     begins with the blank's sign. A word may hold line feeds or other white space, but one with a blank in it,
     white space at an end or a special token is encoded alone, and so are all when the number of cuts isn't
-    that of the words.
+    that of the words. Words of Latin letters, with marks after them or without, are cut without the
+    vocabulary's pattern, which makes a pre-token of the letters with their blank and one of the marks.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(True)
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.pattern, self.at_blanks = self.tokenizer.pre_tokenizer, pre_tokenizers.Split(_SIGNS[32], "merged_with_next")
+        usual = isinstance(self.pattern, pre_tokenizers.ByteLevel) and self.pattern.use_regex and not self.pattern.add_prefix_space
+        self.usual = usual and self.tokenizer.normalizer is None
+        self.marks: dict[str, bytes] = {"": b""}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -77,25 +98,51 @@ class WordEncoder:
         many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in many(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with their leading blank."""
+    def _joined(self, words: list[str], lettered: bool) -> list[bytes]:
+        """Ids of words with their leading blank, many encoded as one text."""
+        out = []
+        texts = [words[low : low + JOINED_WORDS] for low in range(0, len(words), JOINED_WORDS)]
+        if lettered:
+            self.tokenizer.pre_tokenizer = self.at_blanks
+        try:
+            whole = (" " + " ".join(some) for some in texts)
+            found = self._encode([codecs.charmap_decode(t.encode(), "strict", _SIGNS)[0] if lettered else t for t in whole])
+        finally:
+            if lettered:
+                self.tokenizer.pre_tokenizer = self.pattern
+        for some, raw in zip(texts, found, strict=True):
+            at = np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])
+            if len(at) != len(some) or (len(at) and at[0]):
+                out += self._encode([" " + w for w in some])
+                continue
+            begins = (4 * at).tolist()
+            out += map(raw.__getitem__, map(slice, begins, [*begins[1:], len(raw)]))
+        return out
+
+    def _words(self, words: list[str], odd: bool) -> dict[str, bytes]:
+        """Ids of words with their leading blank; ``odd`` if any may be odd."""
         out, rest, whole = {}, words, " ".join(words)
         # one look at all words together tells nearly always that none is odd
         special = [t for t in self.special if t in whole]
-        if special or _BESIDE_BLANK.search(whole):
+        if special or odd:
             alone = [w for w in words if w != w.strip() or " " in w or any(t in w for t in special)]
             out = dict(zip(alone, self._encode([" " + w for w in alone]), strict=True))
             rest = [w for w in words if w not in out]
-        for low in range(0, len(rest), JOINED_WORDS):
-            some = rest[low : low + JOINED_WORDS]
-            raw = self._encode([" " + " ".join(some)])[0]
-            ids = np.frombuffer(raw, "<u4")
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) != len(some) or (len(at) and at[0]):
-                out.update(zip(some, self._encode([" " + w for w in some]), strict=True))
-                continue
-            begins = (4 * at).tolist()
-            out.update(zip(some, map(raw.__getitem__, map(slice, begins, [*begins[1:], len(raw)])), strict=True))
+        if self.usual:
+            stems = [w.rstrip(_MARKS) for w in rest]
+            lettered = [s.isalpha() and (s.isascii() or _LETTERS.fullmatch(s) is not None) for s in stems]
+            mine = list(compress(rest, lettered))
+            stems = list(compress(stems, lettered))
+            tails = [w[len(s) :] for w, s in zip(mine, stems, strict=True)]
+            for t in set(tails).difference(self.marks):
+                self.marks[t] = self._encode([t])[0]
+            once, new, old = dict.fromkeys(stems), self.new, self.old
+            ids = {s: known for s in once if (known := new.get(s) or old.get(s))}
+            once = [s for s in once if s not in ids]
+            ids.update(zip(once, self._joined(once, True), strict=True))
+            out.update(zip(mine, map(add, map(ids.__getitem__, stems), map(self.marks.__getitem__, tails)), strict=True))
+            rest = [w for w, is_lettered in zip(rest, lettered, strict=True) if not is_lettered]
+        out.update(zip(rest, self._joined(rest, False), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -105,7 +152,8 @@ class WordEncoder:
         # the new words of all these texts are told by set operations and encoded together
         seen = set().union(*split)
         fresh = seen.difference(new)
-        if _odd(fresh):
+        is_odd = _odd(fresh)
+        if is_odd:
             # a blank beside other white space is no cut; such a word is never remembered
             odd = {w for w in fresh if w != w.strip() or not w}
             split = [words if odd.isdisjoint(words) else _CUT.split(t) for words, t in zip(split, texts, strict=True)]
@@ -114,10 +162,10 @@ class WordEncoder:
         for w in fresh.difference(unknown):
             new[w] = old[w]
         if unknown:
-            new.update(self._words(list(unknown)))
+            new.update(self._words(list(unknown), is_odd))
         firsts = self._encode([words[0] for words in split])
         out = [first + b"".join(map(new.__getitem__, words[1:])) for first, words in zip(firsts, split, strict=True)]
-        if unknown and _odd(unknown):
+        if is_odd and unknown:
             for w in [w for w in unknown if w != w.strip() or not w]:
                 del new[w]
         if len(new) > CACHE_WORDS:
@@ -138,7 +186,7 @@ class Packer:
 
     def __init__(self, part: int, size: int, max_segments: int, max_loss: int):
         self.limits = np.array([size, max_segments, max_loss], float)
-        self.size, self.part, self.count = size, part, 0
+        self.size, self.part, self.count, self.squares = size, part, 0, self.limits**2
         self.free = np.zeros((0, 3))
         self.bins: list[list[tuple]] = []
         self.rows: list[tuple] = []
@@ -192,7 +240,7 @@ class Packer:
         """Put the rest of a document, or as much as is cut to fit, into a bin; the number of ids placed."""
         n = min(total - at, self.size)
         item = np.array([n, 1, self._loss(at, n, total, loss)], float)
-        dots = (self.free / self.limits**2) @ item if len(self.free) else np.zeros(0)
+        dots = (self.free / self.squares) @ item if len(self.free) else np.zeros(0)
         fits = (self.free >= item).all(1) if len(self.free) else np.zeros(0, bool)
         if not fits.any():
             if item[2] > self.limits[2] or len(self.bins) >= OPEN_BINS:

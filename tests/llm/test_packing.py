@@ -64,3 +64,18 @@ def test_empty_table_and_checksum(spark):
     r = packing.pack(df, VOCABULARY).withColumn("c", F.crc32("ids")).collect()
     assert sum(x["length"] for x in r) == r[0]["doc_tokens"] and r[0]["c"] == zlib.crc32(bytes(r[0]["ids"]))
     assert packing.pack(df.limit(0), VOCABULARY).count() == 0
+
+
+def test_lettered_words_skip_the_pattern_and_keep_their_ids(tokenizer, monkeypatch):
+    rng = random.Random(4)
+    letters = "abcdefghiklmnorstuvzABCéßàñÿÀþ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ".", "?!", "...", ";,"]) for _ in range(4000)]
+    words += ["don't", "it's.", "x1", "\u00aa", "\u00d7", "\u00ba.", "\u0394x", ".", "!?", "naïve.Ġx", "Ġ", "e\u0301"]
+    rng.shuffle(words)
+    encoder, bare = packing.WordEncoder(VOCABULARY), []
+    joined = packing.WordEncoder._joined
+    monkeypatch.setattr(packing.WordEncoder, "_joined", lambda self, some, lettered: (bare.extend(some if lettered else []), joined(self, some, lettered))[1])
+    for part in (words[:2000], words[2000:]):
+        text = " ".join(part)
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(bare) > 3000 and all(w.isalpha() for w in bare)
