@@ -107,6 +107,13 @@ def test_weights_are_learned_from_all_training_tokens():
     assert mixer.bits == lm.BITS * sum(len(b" ".join(split(t))) + 1 for t in texts)
 
 
+def test_costs_are_the_same_in_chunks_of_few_beginnings(monkeypatch):
+    t, tables, mixer, _, _ = trained([t for _, t in corpus(40)], [b"unseen", b"", b"bationne"])
+    whole = mixer.costs(t, tables)
+    monkeypatch.setattr(lm, "TABLE_ROWS", 7)
+    assert all(np.allclose(a, b, rtol=1e-6) for a, b in zip(whole, mixer.costs(t, tables), strict=True))
+
+
 def test_held_out_words_cost_little_more_than_their_entropy():
     rng = random.Random(8)
     sounds = ["ba", "ne", "tion", "ing", "st", "or", "che", "mi", "lu"]
