@@ -114,6 +114,23 @@ def test_costs_are_the_same_in_chunks_of_few_beginnings(monkeypatch):
     assert all(np.allclose(a, b, rtol=1e-6) for a, b in zip(whole, mixer.costs(t, tables), strict=True))
 
 
+def test_rounds_of_one_task_are_one_online_pass(spark):
+    """A round goes on from what the rounds before have learned."""
+    counts = counted([t for _, t in corpus(80)])
+    words = lm._dealt(spark.createDataFrame([(w, *n) for w, n in counts.items()], "word binary, mid long, last long"))
+    tables = lm._shared_tables(words)
+    got = lm.learn(words, spark.sparkContext.broadcast(tables), "one", 1)
+    ready, plain, sizes = tables.ready(), lm.Mixer(), []
+    for number in range(len(lm.ROUNDS) - 1):
+        mine = sorted(bytes(r["word"]) for r in lm.round_of(words, number).collect())
+        sizes.append(len(mine))
+        if mine:
+            plain.learn(typed(mine, counts), ready)
+    assert sum(sizes) == len(counts) and sum(n > 0 for n in sizes) > 1
+    assert got.bits == plain.bits
+    assert np.allclose(got.weights, plain.weights, rtol=1e-6) and np.allclose(got.map, plain.map, rtol=1e-6)
+
+
 def test_held_out_words_cost_little_more_than_their_entropy():
     rng = random.Random(8)
     sounds = ["ba", "ne", "tion", "ing", "st", "or", "che", "mi", "lu"]
