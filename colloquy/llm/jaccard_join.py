@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.words import WordIds, grams, hold, split
+from colloquy.llm.words import WordIds, grams, hold, release, split
 from colloquy.session import forget, materialize
 
 SHINGLE = 5
@@ -122,6 +122,12 @@ def _chunks(batches):
     """Texts of a partition as lists of (digest, shingles), a chunk's distinct non-empty sets at a time."""
     seen: dict[bytes, np.ndarray] = {}
     size = 0
+
+    def taken():
+        nonlocal seen, size
+        out, seen, size = list(seen.items()), {}, 0
+        return out
+
     for b in batches:
         for text in b.column(0):
             s = shingles(text.as_py())
@@ -129,10 +135,9 @@ def _chunks(batches):
                 seen[d] = s
                 size += len(s)
                 if size >= CHUNK:
-                    yield list(seen.items())
-                    seen, size = {}, 0
+                    yield taken()
     if seen:
-        yield list(seen.items())
+        yield taken()
 
 
 # -- step 1
@@ -204,6 +209,9 @@ def _deal(keys: list[int], limit: int):
                 for i in np.unique(part[once]).tolist():
                     rows.append((keys[i], 3, b"", b"", _packed(token[once[part[once] == i]])))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in _DEALT.split(", ")])
+            # the next chunk is read without this one's arrays beside it
+            del sets, token, owner, order, first, times, hot, part, cold, mine, rows
+        release()
 
     return run
 
@@ -273,6 +281,8 @@ def _count(keys: list[int]):
         shared = holders > 1
         if shared.any():
             yield _shared_rows(node[shared], name[shared], holders[shared])
+        del names, nodes, name, node, order, keep, first, times, holders, shared
+        release()
 
     return run
 
@@ -383,6 +393,7 @@ def _sets(bloom):
                 sizes.append(len(s))
                 sent.append(s.tobytes() if keep else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array([task] * b.num_rows, pa.int32()), pa.array(sent, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
+        release()
 
     return run
 
