@@ -178,39 +178,49 @@ def _deal(keys: list[int], limit: int):
             sizes = np.array([_dealt_size(s, limit) for _, s in sets], np.int64)
             total = np.array([len(s) for _, s in sets], np.int64)
             token = np.concatenate([s[:k] for (_, s), k in zip(sets, sizes[:, 0].tolist(), strict=True)])
-            owner = np.repeat(np.arange(len(sets)), sizes[:, 0])
+            # what is dealt is all that is looked at from here on, in arrays no wider than they must be
+            del sets
+            owner = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes[:, 0])
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
+            del order
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             times = np.diff(np.append(first, len(token)))
+            once = first[times > HOT]
             hot = np.repeat(times > HOT, times)
-            part = np.searchsorted(bounds, token, "right")
+            del first, times
             rows = []
-            cold = np.flatnonzero(~hot)
-            cold = cold[np.lexsort((owner[cold], part[cold]))]
-            ends = np.searchsorted(part[cold], np.arange(buckets + 1))
+            ends = [0, *np.searchsorted(token, bounds).tolist(), len(token)]
             for i in range(buckets):
-                mine = cold[ends[i] : ends[i + 1]]
+                cold = ~hot[ends[i] : ends[i + 1]]
+                mine = owner[ends[i] : ends[i + 1]][cold]
                 if len(mine):
-                    n = np.bincount(owner[mine], minlength=len(sets))
+                    n = np.bincount(mine, minlength=len(nodes))
                     have = np.flatnonzero(n)
-                    rows.append((keys[i], 0, nodes[have].tobytes(), n[have].astype(np.uint32).tobytes(), _packed(token[mine])))
+                    dealt = token[ends[i] : ends[i + 1]][cold][np.argsort(mine, kind="stable")]
+                    rows.append((keys[i], 0, nodes[have].tobytes(), n[have].astype(np.uint32).tobytes(), _packed(dealt)))
             spread = (nodes % np.uint64(buckets)).astype(np.int64)
             for i in np.unique(spread).tolist():
                 mine = np.flatnonzero(spread == i)
                 rows.append((keys[i], 1, nodes[mine].tobytes(), np.stack([total[mine], sizes[mine, 1]], 1).astype(np.uint32).tobytes(), b""))
-            if hot.any():
-                name = token & MASK | part.astype(np.uint64) << np.uint64(NAME_BITS)
+            if len(once):
                 held = np.flatnonzero(hot)
-                for i in np.unique(spread[owner[held]]).tolist():
-                    mine = held[spread[owner[held]] == i]
-                    rows.append((keys[i], 2, nodes[owner[mine]].tobytes(), b"", name[mine].tobytes()))
-                once = first[times > HOT]
-                for i in np.unique(part[once]).tolist():
-                    rows.append((keys[i], 3, b"", b"", _packed(token[once[part[once] == i]])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in _DEALT.split(", ")])
-            # the next chunk is read without this one's arrays beside it
-            del sets, token, owner, order, first, times, hot, part, cold, mine, rows
+                part = np.searchsorted(bounds, token[held], "right")
+                name = token[held] & MASK | part.astype(np.uint64) << np.uint64(NAME_BITS)
+                to = spread[owner[held]]
+                for i in np.unique(to).tolist():
+                    mine = np.flatnonzero(to == i)
+                    rows.append((keys[i], 2, nodes[owner[held[mine]]].tobytes(), b"", name[mine].tobytes()))
+                part = np.searchsorted(bounds, token[once], "right")
+                for i in np.unique(part).tolist():
+                    rows.append((keys[i], 3, b"", b"", _packed(token[once[part == i]])))
+                del held, part, name, to
+            del token, owner, hot, once
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], [c.split()[0] for c in _DEALT.split(", ")])
+            del rows
+            yield out
+            # the next chunk is read without this one's rows beside it
+            del out
         release()
 
     return run
@@ -265,9 +275,13 @@ def _count(keys: list[int]):
                     hot.append(_unpacked(raw) & MASK | at)
         if not names:
             return
-        name, node = np.concatenate(names), np.concatenate(nodes)
+        name = np.concatenate(names)
+        del names
+        node = np.concatenate(nodes)
+        del nodes
         order = np.lexsort((node, name))
         name, node = name[order], node[order]
+        del order
         keep = np.concatenate([[True], (name[1:] != name[:-1]) | (node[1:] != node[:-1])])
         name, node = name[keep], node[keep]
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
@@ -277,11 +291,13 @@ def _count(keys: list[int]):
             hot = np.unique(np.concatenate(hot))
             at = np.minimum(np.searchsorted(hot, name[first]), len(hot) - 1)
             holders = np.where(hot[at] == name[first], MANY, holders)
-        holders = np.repeat(holders, times)
+        holders = np.repeat(holders.astype(np.uint32), times)
         shared = holders > 1
-        if shared.any():
-            yield _shared_rows(node[shared], name[shared], holders[shared])
-        del names, nodes, name, node, order, keep, first, times, holders, shared
+        node, name, holders = node[shared], name[shared], holders[shared]
+        del keep, first, times, shared
+        if len(node):
+            yield _shared_rows(node, name, holders)
+        del name, node, holders
         release()
 
     return run
