@@ -70,8 +70,10 @@ CHUNK, GROUP_SHINGLES = 2_000_000, 100_000
 LEADER_ROUNDS = 4
 #: Rounds of random blocks in which the trees of large groups grow together.
 DEAL_ROUNDS = 2
-#: Nodes of the trees that a task holds at once (some 150 bytes each).
-FOREST_NODES = 200_000
+#: A round around leaders that leaves more than this share of its rows is the last.
+THINNED_SHARE = 0.75
+#: Nodes of the trees that a task holds at once (some 150 bytes each), and tasks for each core that make trees of edges.
+FOREST_NODES, FOREST_TASKS = 200_000, 4
 #: Sizes of one size class differ by less than this factor, which is over 4/3.
 SIZE_CLASS = 1.34
 _WORDS = WordIds()
@@ -449,16 +451,22 @@ def _forest(batches):
 def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """(``node``, ``component``): the least node reachable, for all ends of the undirected edges.
 
-    Alternates large-star and small-star until the edges are stars; each round is written to the
-    shared folder. Each task first makes stars of the edges it holds, so that few rounds are left
-    (each takes some of the driver's memory, for good). Works on any type with an order.
+    Each task makes stars of the edges it holds. If these have no more than ``FOREST_NODES`` ends in all, which
+    a task may hold, one more pass makes them the stars of the whole graph. More of them take rounds of
+    large-star and small-star until nothing changes, each written to the shared folder (and each taking
+    some of the driver's memory, for good). Works on any type with an order.
     """
     a, b = F.col("u"), F.col("v")
     starred = lambda df: materialize(df.mapInArrow(_forest, df.schema), "edges")
     marked = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-    now = starred(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(a != b).distinct())
+    tasks = FOREST_TASKS * edges.sparkSession.sparkContext.defaultParallelism
+    now = starred(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(a != b).coalesce(tasks))
     mark = marked(now)
-    while mark[0]:
+    few = 2 * mark[0] <= FOREST_NODES
+    if few and mark[0]:
+        parts, now = now, starred(now.coalesce(1))
+        forget(parts)
+    while mark[0] and not few:
         both = now.unionByName(now.select(b.alias("u"), a.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: all larger neighbours of u are linked to u's least neighbour
@@ -598,8 +606,8 @@ def _to_leader(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(over, pa.int64()), pa.array(size, pa.int64()), b.column(4)], ["component", "digest", "shingles", "overlap", "leader_size", "leader"])
 
 
-def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One leader round over large groups: links to the leaders, and the rows that may have more links.
+def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """One leader round over large groups: links to the leaders, the rows that may have more links, the number of rows before.
 
     With d = 1 - J to the leader, sets within 0.25 are linked to it and need not be compared with each
     other. A set further off at distance d can only be linked to sets at distances from d - 0.25 on, so
@@ -609,7 +617,7 @@ def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = rows.join(lead, (rows["component"] == lead["component"]) & (rows["digest"] == lead["leader"]), "left_semi")
     first = first.select("component", F.col("digest").alias("leader"), F.col("shingles").alias("leader_shingles"))
     near = rows.join(first, "component").select("component", "digest", "shingles", "leader_shingles", "leader")
-    near = materialize(near.mapInArrow(_to_leader, _NEAR), "leader")
+    stored = near = materialize(near.mapInArrow(_to_leader, _NEAR), "leader")
     size = F.octet_length("shingles") / 8
     near = near.withColumn("d", 1 - F.col("overlap") / (size + F.col("leader_size") - F.col("overlap")))
     is_linked = F.col("overlap") * DEN >= NUM * (size + F.col("leader_size") - F.col("overlap"))
@@ -618,7 +626,7 @@ def _thin(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = near.join(far, "component").where(~is_linked | (F.col("d") >= F.col("least") - 0.25 - 1e-9))
     # the leader itself has been compared with all; the rest goes on without it
     rest = rest.where(F.col("digest") != F.col("leader")).select("component", "digest", "shingles")
-    return links, rest
+    return links, rest, stored.count()
 
 
 def _search_block(batches):
@@ -715,17 +723,17 @@ def _links(wide: DataFrame, large: bool, most: int) -> tuple[DataFrame | None, D
     edges = None
     cols = ["component", "digest", "shingles"]
     if large:
-        rows, parts, last = wide.where(F.col("total") > most).select(cols), [], None
+        rows, parts, last, left = wide.where(F.col("total") > most).select(cols), [], None, True
         for _ in range(LEADER_ROUNDS):
-            links, rows = _thin(rows)
+            links, rows, before = _thin(rows)
             parts.append(links)
             rows = materialize(rows, "thinned")
             if last is not None:
                 forget(last)
-            last = rows
-            if rows.isEmpty():
+            last, left = rows, rows.count()
+            if left > THINNED_SHARE * before or not left:
                 break
-        if not rows.isEmpty():
+        if left:
             grown, outside = _grown(rows, most)
             parts += [grown, _blocks(rows, outside, most)]
         edges = parts[0]
@@ -761,7 +769,8 @@ def join_classes(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     part = F.expr(f"pmod(node, {bits}) div 32768").alias("part")
     maps = groups.groupBy(part).agg(F.expr(f"bitmap_construct_agg(pmod(node, {bits}) % 32768)").alias("bits"))
     bloom = bytearray(bits // 8)
-    for r in maps.toLocalIterator():
+    # a part of the maps is a job: as many as there are MB of the filter, not as there are partitions
+    for r in maps.coalesce(1 + (bits >> 23)).toLocalIterator():
         bloom[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     sets = materialize(texts.mapInArrow(_sets(spark.sparkContext.broadcast(bytes(bloom))), _SETS), "sets")
     # one of the tasks that wrote a set is its home, so that each set travels once

@@ -172,3 +172,24 @@ def test_components_take_few_rounds(spark, most, monkeypatch):
     assert got == {ids[i]: min(ids[i // 30 * 30 : i // 30 * 30 + 30]) for i in range(300)}
     assert most == 3 or len(written) <= 3
     assert jj.components(spark.createDataFrame([], "a binary, b binary"), "a", "b").collect() == []
+
+
+def test_components_of_few_trees_take_one_more_pass_however_they_lie(spark, monkeypatch):
+    rng, written, write = random.Random(8), [], jj.materialize
+    monkeypatch.setattr(jj, "materialize", lambda df, name, *rest: written.append(name) or write(df, name, *rest))
+    ids = rng.sample(range(10_000), 400)
+    edges = [(ids[i], ids[i + 1]) for i in range(399) if i % 40 != 39]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    got = {r["node"]: r["component"] for r in jj.components(df, "a", "b").collect()}
+    assert got == {ids[i]: min(ids[i // 40 * 40 : i // 40 * 40 + 40]) for i in range(400)}
+    assert len(written) == 2
+
+
+def test_rounds_around_leaders_end_when_they_leave_most_rows(spark, monkeypatch):
+    rounds, thin = [], jj._thin
+    monkeypatch.setattr(jj, "_thin", lambda rows: rounds.append(1) or thin(rows))
+    rows = chains(40, step=6)
+    got = jj.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), 300).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert len(rounds) == 1
