@@ -180,8 +180,10 @@ def _deal(keys: list[int], limit: int):
             sizes = np.array([_dealt_size(s, limit) for _, s in sets], np.int64)
             total = np.array([len(s) for _, s in sets], np.int64)
             token = np.concatenate([s[:k] for (_, s), k in zip(sets, sizes[:, 0].tolist(), strict=True)])
-            # what is dealt is all that is looked at from here on, in arrays no wider than they must be
+            # what is dealt is all that is looked at from here on, in arrays no wider than they must be; the chunk's
+            # words, few of which the next one has, would stay beside them and beside the counting that follows
             del sets
+            _WORDS.clear()
             owner = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes[:, 0])
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
@@ -411,6 +413,7 @@ def _sets(bloom):
                 sizes.append(len(s))
                 sent.append(s.tobytes() if keep else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), _signed(np.array(nodes, np.uint64)), pa.array(sizes, pa.int64()), pa.array([task] * b.num_rows, pa.int32()), pa.array(sent, pa.binary())], [c.split()[0] for c in _SETS.split(", ")])
+        _WORDS.clear()
         release()
 
     return run

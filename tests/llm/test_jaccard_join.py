@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colloquy.llm import jaccard_join as jj
@@ -193,3 +194,9 @@ def test_rounds_around_leaders_end_when_they_leave_most_rows(spark, monkeypatch)
     got = jj.join_classes(spark.createDataFrame(rows, "doc_id long, text string"), 300).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert len(rounds) == 1
+
+
+def test_no_words_stay_in_a_worker_when_shingles_are_counted():
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}x{k}" for k in range(30)) for i in range(50)])], ["text"])
+    assert sum(b.num_rows for b in jj._deal([0, 1], 1 << 63)(iter([texts])))
+    assert not jj._WORDS
