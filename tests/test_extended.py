@@ -284,6 +284,38 @@ def test_mail_of_a_pane_is_ordered_once_for_all_its_sessions(spark):
     assert [r["acked_at"] for r in late] == sorted((m[5] for m in mail if m[1] == "s63" and m[5] is not None), reverse=True)
 
 
+def _hot_pane(spark):
+    """250 sessions of one pane in three conversations, two alone, and 300 messages that are small beside their pairs."""
+    members = spark.createDataFrame([(f"c{n % 3}", f"s{n}", 1, None) for n in range(250)], "conversation_id string, session_id string, pid long, pid_start string")
+    mail = [(f"m{i:04}", f"s{i * 7 % 252}", i, None if i % 2 else i, 0, None if i % 2 else 5000 - i) for i in range(300)]
+    messages = spark.createDataFrame(mail, "id string, to_session string, created_at long, read_at long, attempts int, acked_at long")
+    return messages, members, spark.createDataFrame([(f"s{n}",) for n in range(252)], "session_id string"), mail
+
+
+def _dealt(spark, kind):
+    """Pairs of the pane by task, after a look at every pair."""
+    messages, members, asking, mail = _hot_pane(spark)
+    rows = reach.pane_mail(messages, members, asking, kind).withColumn("task", F.spark_partition_id()).collect()
+    box, tasks, got = {f"s{n}" for n in range(250)}, {}, {}
+    for r in rows:
+        got.setdefault(r["session_id"], []).append((r["place"], r["id"], r["to_session"], r["alone"]))
+        if not r["alone"]:
+            tasks[r["task"]] = tasks.get(r["task"], 0) + 1
+    kept = [m for m in mail if (m[5] is not None if kind == "acked" else m[3] is None)]
+    for n in range(252):
+        mine = [m for m in kept if (m[1] in box if n < 250 else m[1] == f"s{n}")]
+        if n >= 250 and kind == "acked":
+            mine.sort(key=lambda m: -m[5])
+        assert sorted(got.get(f"s{n}", [])) == [(i, m[0], m[1], n >= 250) for i, m in enumerate(mine, 1)], n
+    return tasks
+
+
+def test_unread_pairs_of_one_pane_are_spread_over_tasks(spark):
+    tasks = _dealt(spark, "unread")
+    # whatever adaptive execution makes of some kilobytes of messages
+    assert len(tasks) >= 8 and max(tasks.values()) < sum(tasks.values()) / 4
+
+
 def test_fingerprints_of_many_keys_are_worked_out_together(spark):
     # published: the hash of 0, 1, .. 250, 0, 1, .. of one and two blocks and of a whole chunk
     known = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 63: "e9bc37a594daad83", 64: "4eed7141ea4a5cd4", 65: "de1e5fa0be70df6d", 1023: "10108970eeda3eb9", 1024: "42214739f095a406"}
