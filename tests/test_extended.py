@@ -316,6 +316,11 @@ def test_unread_pairs_of_one_pane_are_spread_over_tasks(spark):
     assert len(tasks) >= 8 and max(tasks.values()) < sum(tasks.values()) / 4
 
 
+def test_acknowledged_pairs_of_one_pane_are_spread_over_tasks(spark):
+    tasks = _dealt(spark, "acked")
+    assert len(tasks) >= 8 and max(tasks.values()) < sum(tasks.values()) / 4
+
+
 def test_fingerprints_of_many_keys_are_worked_out_together(spark):
     # published: the hash of 0, 1, .. 250, 0, 1, .. of one and two blocks and of a whole chunk
     known = {0: "af1349b9f5f9a1a6", 1: "2d3adedff11b61f1", 63: "e9bc37a594daad83", 64: "4eed7141ea4a5cd4", 65: "de1e5fa0be70df6d", 1023: "10108970eeda3eb9", 1024: "42214739f095a406"}
